@@ -7,8 +7,9 @@ differing symbols. Each chunk therefore gives one key for each way of leaving on
 the threshold meets in a key. At J = 0.85 a pair fails to meet with probability 1.3e-4; pairs that meet are
 confirmed on their full shingle sets.
 
-Pairs within a group are not enumerated: members of a key are first linked with one centre, then only members whose
-components still differ are compared (again with one centre each, twice, and at last in full).
+Pairs within a group are not enumerated: members of a key are linked with one centre, those whose components still
+differ with another, and only what is left is compared block by block, inside tasks that return links between
+components alone.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ CHUNKS, PER_CHUNK = 6, 6
 SYMBOLS = CHUNKS * PER_CHUNK
 #: Signatures further apart than this are no candidates: at J = 0.85 one pair in 100,000 is.
 MOST_APART = 16
+#: Members of a family that one block holds; a task compares two blocks.
+FAMILY_BLOCK = 256
 _MASK = (1 << 64) - 1
 _MULTIPLY = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 _ODD = np.array([xxhash.xxh3_64_intdigest(b"symbol %d" % k) | 1 for k in range(SYMBOLS)], dtype=np.uint64)[:, None]
@@ -140,6 +143,56 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").mapInPandas(check, "a long, b long")
 
 
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of a bounded number of sets, as products of incidence matrices."""
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shared = np.bincount(at, minlength=len(values)) > 1
+    place = np.cumsum(shared) - 1
+    row, at = row[shared[at]], place[at[shared[at]]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(shared.sum()), 8192):
+        low, high = np.searchsorted(at, [first, first + 8192])
+        incidence = np.zeros((len(sets), 8192), np.float32)
+        incidence[row[low:high], at[low:high] - first] = 1
+        total += incidence @ incidence.T
+    return total
+
+
+def _family_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the parts that members of the mixed keys belong to.
+
+    Members that share keys, directly or by a chain, are a family. Each family is dealt into blocks of about
+    FAMILY_BLOCK members, and each pair of blocks is compared in full in one task, which returns one link for each
+    pair of parts, not one for each pair of members.
+    """
+    chained = mixed.select("rep", F.min("rep").over(Window.partitionBy("key")).alias("first"))
+    families = connected_components(chained, "rep", "first").withColumnRenamed("node", "rep")
+    members = mixed.select("rep", "part").distinct().join(families, "rep", "left")
+    members = members.select("rep", "part", F.coalesce("component", "rep").alias("family"))
+    blocks = members.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_BLOCK).alias("blocks"))
+    placed = members.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    others = F.explode(F.expr("sequence(0L, blocks - 1)"))
+    dealt = placed.join(sets, "rep").select("family", "rep", "part", "block", "shingles", others.alias("other"))
+    pair = [F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")]
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = pdf["part"].to_numpy(np.int64)
+        if len(pdf) < 2 or (part == part[0]).all():
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        found = [np.frombuffer(s, dtype=np.uint64) for s in pdf["shingles"]]
+        size, both = np.array([len(s) for s in found]), _overlaps(found)
+        linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+        i, j = np.nonzero(linked & (part[:, None] < part[None, :]))
+        return pd.DataFrame({"a": part[i], "b": part[j]}).drop_duplicates()
+
+    return dealt.select("family", *pair, "rep", "part", "shingles").groupBy("family", "low", "high").applyInPandas(
+        compare, "a long, b long"
+    )
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Classes of documents whose shingle sets are linked, directly or by a chain, at `percent` % Jaccard or more.
 
@@ -177,34 +230,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         close = pairs.join(sig_a, "a").join(sig_b, "b").filter(distance("sig_a", "sig_b") <= MOST_APART)
         return _confirmed(close.select("a", "b"), sets, percent)
 
-    tried = cut(met.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct())
-    edges = cut(confirm(tried))
+    star = met.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    edges = cut(confirm(star))
     parts = connected_components(edges)
-    for turn in range(3):
+
+    def still_mixed() -> DataFrame:
         placed = met.select("key", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
         placed = placed.select("key", "rep", F.coalesce("component", "rep").alias("part"))
-        mixed = cut(
-            placed.withColumn("low", F.min("part").over(by_key))
-            .withColumn("high", F.max("part").over(by_key))
-            .filter("low < high")
-            .select("key", "rep", "part")
-        )
-        if mixed.isEmpty():
-            break
-        if turn < 2:  # every key picks another member as its centre
-            pick = F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep", "part")).over(by_key)
-            met_again = mixed.withColumn("centre", pick).filter("part <> centre.part")
-            met_again = met_again.select(F.col("centre.rep").alias("a"), F.col("rep").alias("b"))
-        else:  # what is left: keys whose members still belong to different components
-            other = mixed.select("key", F.col("rep").alias("b"), F.col("part").alias("part_b"))
-            met_again = mixed.withColumnRenamed("rep", "a").join(other, "key").filter("part < part_b").select("a", "b")
-        pairs = met_again.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-        found = cut(confirm(pairs))
-        tried = tried.union(pairs)
-        if not found.isEmpty():
-            edges = edges.union(found)
-            parts = connected_components(edges)
+        ends = placed.withColumn("low", F.min("part").over(by_key)).withColumn("high", F.max("part").over(by_key))
+        return cut(ends.filter("low < high").select("key", "rep", "part"))
+
+    mixed = still_mixed()
+    if not mixed.isEmpty():  # every key picks another member as its centre
+        pick = F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep", "part")).over(by_key)
+        again = mixed.withColumn("centre", pick).filter("part <> centre.part")
+        again = again.select(F.least("centre.rep", "rep").alias("a"), F.greatest("centre.rep", "rep").alias("b"))
+        edges = edges.union(cut(confirm(again.distinct())))
+        parts = connected_components(edges)
+        mixed = still_mixed()
+        edges = edges.union(cut(_family_links(mixed, sets, percent)))
+        parts = connected_components(edges)
     members = reps.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
         "set_id", F.coalesce("component", "rep").alias("part")
     )

@@ -1,7 +1,10 @@
 import random
 import re
 
-from outing.llm.minhash_dedup import near_duplicates
+import numpy as np
+
+from outing.llm import minhash_dedup
+from outing.llm.minhash_dedup import _overlaps, near_duplicates
 
 
 def brute(rows, size, percent):
@@ -49,6 +52,26 @@ def test_a_chain_and_a_large_group(spark):
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1 and len(got) == 300
 
 
+def test_overlaps():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 30_000, size=n).astype(np.uint64)) for n in (3, 9000, 9000, 20, 15_000)]
+    assert _overlaps(sets)[1, 4] == len(np.intersect1d(sets[1], sets[4])) and _overlaps(sets)[0, 3] == len(np.intersect1d(sets[0], sets[3]))
+
+
+def test_a_family_near_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "FAMILY_BLOCK", 7)
+    rng = random.Random(9)
+    base = ["w%d" % i for i in range(150)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        for _ in range(rng.randint(3, 6)):
+            copy[rng.randrange(150)] = "x%d" % rng.randrange(10**6)
+        rows.append((i, " ".join(copy)))
+    got = {tuple(r) for r in near_duplicates(documents(spark, rows), 3, 85).collect()}
+    assert got == brute(rows, 3, 85) and 1 < len({r[2] for r in got}) < 60
+
+
 def test_edges(spark):
     none = documents(spark, [(1, "a")]).filter("doc_id = 2")
     assert near_duplicates(none, 3, 85).collect() == []

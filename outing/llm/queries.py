@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 from outing.llm.minhash_dedup import op8_minhash_near_dedup
+from outing.llm.packing import op1_best_fit_packing
+from outing.llm.secrets import op10_secret_scan
+from outing.llm.token_counts import op9_token_counts
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op9_token_counts": op9_token_counts,
+    "op10_secret_scan": op10_secret_scan,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
 

@@ -7,8 +7,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Entries a worker keeps in a word cache before it starts again; bounds memory for any vocabulary.
 CACHE_LIMIT = 400_000
@@ -136,3 +139,36 @@ def batches_of(iterator: Iterable[pd.DataFrame], rows: int) -> Iterator[pd.DataF
     for pdf in iterator:
         for at in range(0, len(pdf), rows):
             yield pdf.iloc[at : at + rows]
+
+
+def map_pandas(df: DataFrame, make, schema: str) -> DataFrame:
+    """df.mapInPandas(make, schema) with 64-bit integers as pandas' nullable ones, so that a null next to a large
+    id does not turn the column into floats."""
+    fields = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frames = (b.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get) for b in batches)
+        for pdf in make(frames):
+            yield from pa.Table.from_pandas(pdf, schema=fields, preserve_index=False).to_batches()
+
+    return df.mapInArrow(run, schema)
+
+
+def append_columns(df: DataFrame, make, added: str, column: str = "text", rows: int = 256) -> DataFrame:
+    """`df` with the columns `added` (DDL); make() gives a worker's function from a list of `column` to their lists.
+
+    All other columns pass as they are, whatever their names and types.
+    """
+    new = df.sparkSession.createDataFrame([], added).schema
+    kinds = [f.type for f in to_arrow_schema(new)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                lists = of(part.column(column).to_pylist())
+                arrays = [pa.array(x, type=k) for x, k in zip(lists, kinds)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=[*part.schema.names, *new.names])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, *new.fields]))

@@ -37,7 +37,7 @@ SYMBOLS = CHUNKS * PER_CHUNK
 #: Signatures further apart than this are no candidates: at J = 0.85 one pair in 100,000 is.
 MOST_APART = 16
 #: Members of a family that one block holds; a task compares two blocks.
-FAMILY_BLOCK = 256
+FAMILY_BLOCK = 1024
 _MASK = (1 << 64) - 1
 _MULTIPLY = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 _ODD = np.array([xxhash.xxh3_64_intdigest(b"symbol %d" % k) | 1 for k in range(SYMBOLS)], dtype=np.uint64)[:, None]

@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
+from outing.llm.decontamination import op5_benchmark_decontamination
+from outing.llm.embedding_dedup import op2_embedding_near_dedup
+from outing.llm.language_id import op6_language_id
+from outing.llm.line_dedup import op7_line_dedup
 from outing.llm.minhash_dedup import op8_minhash_near_dedup
 from outing.llm.packing import op1_best_fit_packing
+from outing.llm.quality import op3_quality_classifier
 from outing.llm.secrets import op10_secret_scan
 from outing.llm.token_counts import op9_token_counts
+from outing.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_toxicity": op4_toxicity,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_language_id": op6_language_id,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_secret_scan": op10_secret_scan,
-    "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
 
-#: DuckDB SQL where it can state the operator on whole tables.
+#: DuckDB SQL where it can state an operator on whole tables. It states none of these: tokenizers, trained models,
+#: random projections and character offsets are outside it, and all pairs by SQL are too slow on whole tables.
 ORACLE_SQL: dict[str, str] = {}

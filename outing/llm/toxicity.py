@@ -23,7 +23,7 @@ from outing.llm.quality import held_out_fold, learnable
 SAMPLE = {1: 6000, 0: 12_000}
 #: Words kept as evidence, their least document count and their least chi-squared statistic.
 MOST_WORDS, LEAST_DOCS, LEAST_CHI2 = 4000, 4, 25.0
-LEARNED_STEPS, WEIGHT_PENALTY, SWAP_PENALTY = 600, 0.3, 50.0
+LEARNED_STEPS, WEIGHT_PENALTY, SWAP_PENALTY = 800, 0.03, 50.0
 FLAG = 0.7
 #: Groups of terms that may stand for each other; the neutral word of the swap carries no weight.
 IDENTITY = (

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 
 import numpy as np
 
 #: A chunk that is longer is encoded each time.
 LONGEST_CHUNK = 64
-CACHE_LIMIT = 600_000
+CACHE_LIMIT = 1_000_000
 #: Python's split() takes these as white space, the tokenizer does not.
 _NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -37,21 +38,42 @@ class Encoder:
         found = self._tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
+    @staticmethod
+    def _lowered(text: str) -> str:
+        """The text in lower case where that is sure to leave its ids as they are."""
+        low = text.lower()
+        if text.isascii():
+            return low
+        safe = "\u03a3" not in text and "\u0130" not in text  # these depend on what is around, or grow
+        return low if safe and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low) else text
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode the new chunks; a chunk's last full stop or comma is a token of its own after a letter or digit."""
+        known, ends = self._known, {}
+        for c in new:
+            if len(c) > 1 and c[-1] in ".," and c[-2].isalnum():
+                ends[c] = c[:-1]
+        ask = {*(c for c in new if c not in ends), *ends.values(), ".", ","}
+        ask = [c for c in ask if c not in known]
+        known.update(zip(ask, self._encode(ask)))
+        known.update((c, known[word] + known[c[-1]]) for c, word in ends.items())
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         known = self._known
         odd = [any(c in t for c in _NOT_SPACE) for t in texts]
-        split = [[t] if o else t.split() for t, o in zip(texts, odd)]
+        split = [[t] if o else self._lowered(t).split() for t, o in zip(texts, odd)]
         seen = set().union(*split) if split else set()
         new = [c for c in seen if c not in known]
-        if len(known) + len(new) > CACHE_LIMIT:
+        if len(known) + 2 * len(new) > CACHE_LIMIT:
             known.clear()
             new = list(seen)
-        long = [c for c in new if len(c) > LONGEST_CHUNK]
-        known.update(zip(new, self._encode(new)))
+        self._learn(new)
         out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
-        for c in long:
-            del known[c]
+        for c in new:
+            if len(c) > LONGEST_CHUNK:
+                del known[c]
+                known.pop(c[:-1], None)
         return out
 
 

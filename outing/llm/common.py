@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -112,22 +112,20 @@ def _edge_state(edges: DataFrame) -> tuple[int, int]:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node but the smallest of each component, by alternating large and small stars.
 
-    `edges` has long columns a, b; self loops and repeats are fine. Every step is an aggregation with
-    map-side combine and equi-joins, and its result is checkpointed, so a component may be of any size.
+    `edges` has long columns a, b; self loops and repeats are fine. A round is three shuffles by node, and its result
+    is checkpointed; a component may be of any size.
     """
-    now = cut(
-        edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    )
+    ends = edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    now = cut(ends.distinct())
     state = _edge_state(now)
-    while True:
-        if state[0] == 0:
-            break
+    of_node = Window.partitionBy("u")
+    while state[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.union(least).distinct())
+        low = both.select("u", "v", F.least("u", F.min("v").over(of_node)).alias("m"))
+        large = low.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.select("u", "v", F.min("v").over(of_node).alias("m"))
+        links = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
+        now = cut(low.select(links.alias("x")).select("x.u", "x.v").filter("u <> v").distinct())
         before, state = state, _edge_state(now)
         if state == before:
             break

@@ -27,9 +27,10 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop repeated lines, and documents that had nothing else; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs)
-    left = (F.size("dropped") == 0) | (F.length(F.trim("text")) > 0)
-    chars = F.when(F.size("dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    out = line_dedup.dedup_lines(docs, added=("_n_lines", "_lines_gone"))
+    changed = F.size("_lines_gone") > 0
+    left = ~changed | (F.length(F.regexp_replace("text", r"\s", "")) > 0)
+    chars = F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.filter(left).withColumn("n_chars", chars).select(*docs.columns)
 
 

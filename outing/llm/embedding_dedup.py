@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outing.llm.common import batches_of, collect_slots, connected_components, cut, sum_partials, table
+from outing.llm.common import batches_of, collect_slots, connected_components, cut, map_pandas, sum_partials, table
 
 #: Principal axes whose grid cells order the sequence, and those whose bounds are kept for intervals.
 GRID_AXES, BOX_AXES = 6, 8
@@ -51,7 +51,7 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
                 vecs.append(x.tobytes() if good else None)
             yield pd.DataFrame({"vec_id": pdf["vec_id"], "dim": dims, "copy": copies, "vec": vecs})
 
-    return vectors.select("vec_id", "embedding").mapInPandas(make, "vec_id long, dim int, copy binary, vec binary")
+    return map_pandas(vectors.select("vec_id", "embedding"), make, "vec_id long, dim int, copy binary, vec binary")
 
 
 def principal_axes(reps: DataFrame, dim: int) -> np.ndarray:

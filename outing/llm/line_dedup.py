@@ -213,9 +213,13 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = L
     return repeated.select("doc_id", "text_id", "line")
 
 
-def dedup_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, added: tuple[str, str] = ("n_lines", "dropped")
+) -> DataFrame:
     """`docs` (doc_id, text, any more columns) without repeated lines, with n_lines and dropped (line numbers from 0).
 
+    `added` names those two columns, for tables that have such names themselves.
+
     Lines are separated by \\n. Lines of fewer than `least_words` words, null and empty texts, and rows with a null
     doc_id are left as they are (dropped is empty). A group's first line stays even if every other line of its
     document goes. Rows that share doc_id and text are one document and share the result; different texts under one
@@ -231,8 +235,8 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAS
     names = [F.col(f"`{c}`") if c != "text" else text.alias("text") for c in docs.columns]
     return joined.select(
         *names,
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce("_dropped", F.expr("cast(array() as array<int>)")).alias("dropped"),
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(added[0]),
+        F.coalesce("_dropped", F.expr("cast(array() as array<int>)")).alias(added[1]),
     )
 
 

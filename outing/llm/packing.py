@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outing.llm.common import batches_of, cut, table
+from outing.llm.common import batches_of, cut, map_pandas, table
 from outing.llm.tokens import encoder, tokenizer_path
 
 CAPACITY = 4096
@@ -51,7 +51,7 @@ def tokenize_pieces(
 
     schema = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
     names = [c.split()[0] for c in schema.split(", ")]
-    return docs.select("doc_id", "text").mapInPandas(pieces, schema)
+    return map_pandas(docs.select("doc_id", "text"), pieces, schema)
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:

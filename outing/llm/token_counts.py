@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from outing.llm.common import batches_of, cut, table
+from outing.llm.common import batches_of, cut, map_pandas, table
 from outing.llm.tokens import encoder, tokenizer_path
 
 #: Lengths that one window of the suffix sums covers; the blocks' own sums are a table this many times smaller.
@@ -24,7 +24,7 @@ def lengths(docs: DataFrame, path: str) -> DataFrame:
             got = encode.ids([t or "" for t in pdf["text"]])
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "tokens": [len(x) // 4 for x in got]})
 
-    return docs.select("doc_id", "text").mapInPandas(count, "doc_id long, tokens long")
+    return map_pandas(docs.select("doc_id", "text"), count, "doc_id long, tokens long")
 
 
 def histogram(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -65,7 +65,6 @@ def _sample(docs: DataFrame, labels: DataFrame, most: dict[int, int], groups) ->
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches_of(batches, 1000):
-            pdf = pdf[pdf["doc_id"].notna()]
             pdf = pdf[bitmap_has(bitmap.value, pdf["doc_id"].to_numpy(np.int64))]
             yield pd.DataFrame(
                 {
@@ -75,7 +74,7 @@ def _sample(docs: DataFrame, labels: DataFrame, most: dict[int, int], groups) ->
                 }
             )
 
-    read_docs = docs.select("doc_id", "text").mapInPandas(read, "of long, words array<string>, swaps array<string>")
+    read_docs = docs.filter("doc_id is not null").select("doc_id", "text").mapInPandas(read, "of long, words array<string>, swaps array<string>")
     sample = read_docs.join(chosen, F.col("of") == F.col("doc_id")).select("label", "words", "swaps")
     return cut(sample.dropDuplicates(["label", "words"])), share
 

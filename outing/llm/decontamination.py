@@ -87,46 +87,53 @@ def passages(items: DataFrame) -> DataFrame:
     return items.select("item_id", "text").mapInPandas(split, "item_id long, passage int, words array<string>")
 
 
-def latent_space(parts: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """(BUCKETS, r) orthonormal columns: leading right singular vectors of the passages' TF-IDF matrix A.
+def latent_space(parts: DataFrame, idf: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, V): leading right singular vectors of the passages' TF-IDF matrix A, as rows for its buckets.
 
     Two rounds of range finding (A'A times a Gaussian block) and a Rayleigh-Ritz step; every product is a sum that
     partitions report by bucket, so no task holds the matrix.
     """
-    wide = rank + OVERSAMPLE
-    weights = parts.sparkSession.sparkContext.broadcast(idf)
+    context = parts.sparkSession.sparkContext
+    words = parts.select(F.explode("words").alias("word")).distinct()
 
-    def rows(pdf: pd.DataFrame, cache: WordCache) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for words in pdf["words"]:
-            at, tf = np.unique(_buckets(list(words), cache), return_counts=True)
-            value = tf * weights.value[at].astype(np.float64)
-            yield at, value / max(1e-12, np.sqrt(value @ value))
+    def bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"bucket": np.unique([_bucket(w) for w in pdf["word"]])}, dtype="int64")
+
+    used = words.mapInPandas(bucket, "bucket long").distinct().collect()  # at most BUCKETS
+    used = np.array(sorted(r[0] for r in used), dtype=np.int64)
+    weights = context.broadcast((used, idf[used].astype(np.float64)))
 
     def product(block: np.ndarray) -> np.ndarray:
-        sent = parts.sparkSession.sparkContext.broadcast(block)
+        sent = context.broadcast(block)
 
         def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             cache, total = WordCache(_bucket), {}
+            known, idf = weights.value
             for pdf in batches:
-                for at, value in rows(pdf, cache):
+                for words in pdf["words"]:
+                    at, tf = np.unique(np.searchsorted(known, _buckets(list(words), cache)), return_counts=True)
+                    value = tf * idf[at]
+                    value /= max(1e-12, np.sqrt(value @ value))
                     y = value @ sent.value[at]
                     for k, x in zip(at, value):
                         total[k] = total[k] + x * y if k in total else x * y
             if total:
                 yield pd.DataFrame({"slot": list(total), "vec": [v.tobytes() for v in total.values()]})
 
-        return collect_slots(sum_partials(parts.mapInPandas(gather, "slot int, vec binary"), BUCKETS), BUCKETS, block.shape[1])
+        summed = sum_partials(parts.mapInPandas(gather, "slot int, vec binary"), len(used))
+        return collect_slots(summed, len(used), block.shape[1])
 
     n = parts.count()
-    wide = min(wide, n + OVERSAMPLE)
-    block = np.random.default_rng(5).normal(size=(BUCKETS, wide))
+    wide = min(rank, n, len(used)) + min(OVERSAMPLE, len(used))
+    block = np.random.default_rng(5).normal(size=(len(used), min(wide, max(1, len(used)))))
     for _ in range(2):
         block = np.linalg.qr(product(block))[0]
     small = block.T @ product(block)
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     order = np.argsort(-values)[: min(rank, n)]
-    order = order[values[order] > 1e-9 * max(1e-12, values.max())]
-    return block @ vectors[:, order]
+    order = order[values[order] > 1e-9 * max(1e-12, values.max(initial=0.0))]
+    return used, block @ vectors[:, order]
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:
@@ -146,74 +153,89 @@ def lcs_length(a: list[str], b: list[str]) -> int:
 class Index:
     """What a search needs of a block of items: all bounded by ITEM_BLOCK, BUCKETS and RANK but their texts."""
 
-    def __init__(self, items: dict[int, tuple[list[str], list[str]]], parts: list, idf: np.ndarray, space: np.ndarray):
+    def __init__(self, items: dict[int, tuple[list[str], list[str]]], parts: list, idf: np.ndarray, used: np.ndarray, space: np.ndarray):
         self.items, self.idf, cache = items, idf, WordCache(_bucket)
-        used = np.nonzero(np.abs(space).max(axis=1) > 1e-12)[0] if space.size else np.empty(0, np.int64)
         self.row = np.full(BUCKETS, -1, np.int32)
-        self.row[used] = np.arange(len(used))
-        self.space = (space[used] * idf[used, None]).astype(np.float32)
-        self.by_width: dict[int, tuple[list[tuple[int, int]], np.ndarray]] = {}
+        weighty = idf[used] > 0
+        self.row[used[weighty]] = np.arange(weighty.sum())
+        space = space[weighty]
+        self.space = (space * idf[used[weighty], None]).astype(np.float32)
         made: dict[int, tuple[list, list]] = {}
         for item_id, passage, words in parts:
-            at, tf = np.unique(_buckets(list(words), cache), return_counts=True)
-            value = tf * idf[at]
-            norm = np.sqrt(value @ value)
-            if norm > 0:
+            at, tf = np.unique(self.row[_buckets(list(words), cache)], return_counts=True)
+            at, tf = at[at >= 0], tf[at >= 0]
+            if len(at):
+                value = tf * idf[used[weighty]][at]
                 width = next(w for w in WIDTHS if w * STRIDE - STRIDE + 1 >= len(words))
                 names, vecs = made.setdefault(width, ([], []))
                 names.append((item_id, passage))
-                vecs.append(value @ space[at] / norm)
-        for width, (names, vecs) in made.items():
-            self.by_width[width] = (names, np.array(vecs, dtype=np.float32))
-
-    def candidates(self, at: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(item_id, passage, first word, last word) of windows of a document's buckets past the cosine threshold."""
-        n = len(at)
-        blocks = -(-n // STRIDE)
-        if not blocks:
+                vecs.append(value @ space[at] / np.sqrt(value @ value))
+        self.by_width = {w: (names, np.array(vecs, dtype=np.float32)) for w, (names, vecs) in made.items()}
+
+    def candidates(self, at: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """(document, item_id, passage, first word, last word) of windows past the cosine threshold.
+
+        `at` holds the buckets of documents of `sizes` words in turn. A window starts at each block of a document and
+        ends within it. The part of its TF-IDF weight that lies on the passages' words bounds its cosine, so most
+        windows are passed over before anything is projected.
+        """
+        blocks = -(-sizes // STRIDE)
+        n, last = int(blocks.sum()), np.cumsum(blocks)
+        if not n or not self.by_width:
             return
-        place, idf = np.arange(n) // STRIDE, self.idf[at]
-        energy = np.concatenate([[0.0], np.cumsum(np.bincount(place, idf.astype(np.float64) ** 2, blocks))])
-        row = self.row[at]
+        first_word, first_block = np.cumsum(sizes) - sizes, last - blocks
+        doc_of_word = np.repeat(np.arange(len(sizes)), sizes)
+        place = first_block[doc_of_word] + (np.arange(len(at)) - first_word[doc_of_word]) // STRIDE
+        row, weight = self.row[at], self.idf[at].astype(np.float64) ** 2
         known = np.nonzero(row >= 0)[0]
-        if not len(known):
-            return
-        sums = np.zeros((blocks, self.space.shape[1]), np.float32)
-        of = place[known]
-        firsts = np.nonzero(np.diff(of, prepend=-1))[0]
-        sums[of[firsts]] = np.add.reduceat(self.space[row[known]], firsts, axis=0)
+        running = lambda x: np.concatenate([[0.0], np.cumsum(x)])
+        energy, inside = running(np.bincount(place, weight, n)), running(np.bincount(place[known], weight[known], n))
+        doc = np.repeat(np.arange(len(sizes)), blocks)
+        start = np.arange(n)
+        word_at = first_word[doc] + (start - first_block[doc]) * STRIDE  # of a block's first word
         for width, (names, vecs) in self.by_width.items():
-            start = np.arange(max(1, blocks - width + 1))
-            stop = np.minimum(start + width, blocks)
-            window = sum(sums[np.minimum(start + k, blocks - 1)] * ((start + k) < stop)[:, None] for k in range(width))
-            norm = np.sqrt(np.maximum(energy[stop] - energy[start], 1e-12))
-            # no passage can be nearer than the window's share inside the space
-            live = np.nonzero(np.sqrt((window**2).sum(axis=1)) >= COSINE * norm)[0]
-            if len(live):
-                cosine = window[live] @ vecs.T / norm[live, None]
+            stop = np.minimum(start + width, last[doc])
+            whole = (start + width <= last[doc]) | (start == first_block[doc])
+            norm2 = energy[stop] - energy[start]
+            live = np.nonzero(whole & (norm2 > 0) & (inside[stop] - inside[start] >= COSINE**2 * norm2))[0]
+            for k in range(0, len(live), 2000):
+                of = live[k : k + 2000]
+                a = word_at[of]
+                b = np.minimum(a + (stop[of] - start[of]) * STRIDE, (first_word + sizes)[doc[of]])
+                low, high = np.searchsorted(known, a), np.searchsorted(known, b)
+                count = high - low
+                of, a, b, low, count = (x[count > 0] for x in (of, a, b, low, count))
+                if not len(of):
+                    continue
+                begin = np.cumsum(count) - count
+                picked = np.repeat(low - begin, count) + np.arange(count.sum())
+                window = np.add.reduceat(self.space[row[known[picked]]], begin, axis=0)
+                cosine = window @ vecs.T / np.sqrt(norm2[of])[:, None]
                 for i, j in zip(*np.nonzero(cosine >= COSINE)):
-                    yield (*names[j], int(start[live[i]]) * STRIDE, min(n, int(stop[live[i]]) * STRIDE))
-
-    def hits(self, text: str | None, cache: WordCache) -> list[dict]:
-        """A row of HITS for each item found in a whole text."""
-        words = words_of(text)
-        spans: dict[int, list[list[int]]] = {}
-        for item_id, passage, a, b in self.candidates(_buckets(words, cache)):
-            item = self.items[item_id][0]
-            reach = (a - passage * PASSAGE - STRIDE, b + len(item) - min(len(item), (passage + 1) * PASSAGE) + STRIDE)
-            spans.setdefault(item_id, []).append([max(0, reach[0]), min(len(words), reach[1])])
-        found = []
-        for item_id, reaches in spans.items():
+                    d = doc[of[i]]
+                    yield int(d), *names[j], int(a[i] - first_word[d]), int(b[i] - first_word[d])
+
+    def hits(self, texts: list[str | None], cache: WordCache) -> list[list[dict]]:
+        """For each whole text, a row of HITS for each item found in it."""
+        words = [words_of(t) for t in texts]
+        at = np.concatenate([_buckets(w, cache) for w in words]) if words else np.empty(0, np.int64)
+        spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for d, item_id, passage, a, b in self.candidates(at, np.array([len(w) for w in words], dtype=np.int64)):
+            size = len(self.items[item_id][0])
+            reach = (a - passage * PASSAGE - STRIDE, b + size - min(size, (passage + 1) * PASSAGE) + STRIDE)
+            spans.setdefault((d, item_id), []).append((max(0, reach[0]), min(len(words[d]), reach[1])))
+        found: list[list[tuple]] = [[] for _ in texts]
+        for (d, item_id), reaches in spans.items():
             item, answer = self.items[item_id]
-            best = (-1, 0, None)
+            best = (-1, 0, (0, 0))
             for a, b in reaches:  # a window at a time, so that common words far away don't add up
-                best = max(best, (lcs_length(item, words[a:b]), -a, (a, b)))
+                best = max(best, (lcs_length(item, words[d][a:b]), -a, (a, b)))
             common, (a, b) = best[0], best[2]
             if common >= COPY * len(item):
-                found.append((item_id, "copy", a, common, len(item)))
-            elif common >= PARAPHRASE * len(item) and lcs_length(answer, words[a:b]) >= ANSWER * len(answer):
-                found.append((item_id, "paraphrase", a, common, len(item)))
-        return [dict(zip(("item_id", "kind", "start_word", "lcs_words", "item_words"), hit)) for hit in sorted(found)]
+                found[d].append((item_id, "copy", a, common, len(item)))
+            elif common >= PARAPHRASE * len(item) and lcs_length(answer, words[d][a:b]) >= ANSWER * len(answer):
+                found[d].append((item_id, "paraphrase", a, common, len(item)))
+        return [[dict(zip(("item_id", "kind", "start_word", "lcs_words", "item_words"), h)) for h in sorted(x)] for x in found]
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLOCK) -> DataFrame:
@@ -233,16 +255,16 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLOC
     for turn in range(passes):
         block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == turn)
         parts = cut(passages(block))
-        space = latent_space(parts, idf)
+        used, space = latent_space(parts, idf)
         texts = {}
         for r in block.collect():  # about item_block items
             words = words_of(r["text"])
             texts[r["item_id"]] = (words, words_of(r["answer"]) or words[-ANSWER_WORDS:])
-        index = spark.sparkContext.broadcast(Index(texts, sorted(map(tuple, parts.collect()), key=lambda p: p[:2]), idf, space))
+        index = spark.sparkContext.broadcast(Index(texts, sorted(map(tuple, parts.collect()), key=lambda p: p[:2]), idf, used, space))
 
         def make(index=index):
             cache = WordCache(_bucket)
-            return lambda texts: ([index.value.hits(t, cache) for t in texts],)
+            return lambda texts: (index.value.hits(texts, cache),)
 
         out = append_columns(out, make, f"_hits_{turn} {HITS}")
     names = [f"_hits_{turn}" for turn in range(passes)]

@@ -72,6 +72,7 @@ def test_randomised_svd_spans_the_passages(spark):
     items, docs, _ = corpus(random.Random(5))
     idf = inverse_frequencies(spark.createDataFrame(list(docs.items()), "doc_id long, text string"))
     parts = passages(spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")).cache()
-    full, half = latent_space(parts, idf), latent_space(parts, idf, rank=10)
+    (used, full), (_, half) = latent_space(parts, idf), latent_space(parts, idf, rank=10)
+    assert len(used) == len(full)
     assert np.allclose(full.T @ full, np.eye(full.shape[1]), atol=1e-8) and full.shape[1] == parts.count() and half.shape[1] == 10
     assert np.linalg.norm(full[:, :10].T @ half) > 2.2  # the spectrum is flat, so near the ten leading directions is enough

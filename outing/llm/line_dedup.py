@@ -1,7 +1,7 @@
 """Fuzzy line deduplication: SimHash of normalised lines, pigeonhole blocks, edit similarity, connected groups.
 
 A line is normalised to its lower-case words. Equal lines are one group from the start. Distinct lines get a 64-bit
-SimHash of their words; its bits are split into BLOCKS blocks, so two fingerprints within DISTANCE bits agree on at
+SimHash of their words, weighted by length; its bits are split into BLOCKS blocks, so two fingerprints within DISTANCE bits agree on at
 least BLOCKS - DISTANCE whole blocks and meet in the key of one such choice. Pairs that meet are verified by edit
 similarity, linked lines form connected groups, and of each group the first occurrence stays: the one with the
 smallest (doc_id, line number).
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from outing.llm.common import CACHE_LIMIT, batches_of, bitmap_has, connected_components, cut, membership_bitmap, table
+from outing.llm.common import CACHE_LIMIT, batches_of, bitmap_has, connected_components, cut, cut_table, membership_bitmap, table
 
 DISTANCE, BLOCKS, BITS = 3, 5, 64
 #: Lines with fewer words say too little to be a repetition; they stay.
@@ -36,7 +36,7 @@ def normalise(text: str) -> str:
 
 
 class _Words:
-    """Two 64-bit hashes of each word and the +-1 votes of the first one's bits, as growing arrays."""
+    """Two 64-bit hashes of each word and the weighted votes of the first one's bits, as growing arrays."""
 
     def __init__(self):
         self._at: dict[str, int] = {}
@@ -57,7 +57,9 @@ class _Words:
             raw = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w.encode("utf-8", "surrogatepass")) for w in new), "<u8")
             self.hashes[first:last] = raw.reshape(-1, 2)
             bits = np.unpackbits(self.hashes[first:last, :1].copy().view(np.uint8), axis=1, bitorder="little")
-            self.votes[first:last] = bits.astype(np.int8) * 2 - 1
+            # longer words say more about a line
+            weight = np.array([1 + min(3, len(w) // 3) for w in new], np.int8)
+            self.votes[first:last] = (bits.astype(np.int8) * 2 - 1) * weight[:, None]
         return np.fromiter(map(self._at.__getitem__, words), np.int64, len(words))
 
 
@@ -161,29 +163,38 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, text_id, line) of every line that repeats an earlier one, in documents named by id and text hash."""
-    lines = cut(lines_of(docs, least_words))
+    lines = cut_table(lines_of(docs, least_words))
     place = F.struct("doc_id", "text_id", "line")
-    groups = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("sim").alias("sim"))
-    groups = cut(groups.select("h1", "h2", "sim", "first.*", F.xxhash64("h1", "h2").alias("node")))
+    groups = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("sim").alias("sim"), F.count("*").alias("n"))
+    groups = cut_table(groups.select("h1", "h2", "sim", "n", "first.*", F.xxhash64("h1", "h2").alias("node")))
     # a key for each choice of blocks; the choice's number is part of it
     masks = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(m if m < 1 << 63 else m - (1 << 64)).alias("mask")) for n, m in block_keys()])
     keyed = groups.select("node", "sim", F.explode(masks).alias("choice")).select(
-        F.xxhash64("choice.n", F.col("sim").bitwiseAND(F.col("choice.mask"))).alias("key"), "node", "sim"
+        F.xxhash64("choice.n", F.col("sim").bitwiseAND(F.col("choice.mask"))).alias("key"), "node"
     )
     by_key = Window.partitionBy("key")
-    centred = keyed.withColumn("centre", F.min(F.struct("node", "sim")).over(by_key)).withColumn("n", F.count("*").over(by_key))
-    two_apart = F.bit_count(F.min("sim").over(by_key).bitwiseXOR(F.max("sim").over(by_key)))
-    # most keys with two members join lines that are far apart
-    met = centred.withColumn("apart", two_apart).filter((F.col("n") > 2) | ((F.col("n") == 2) & (F.col("apart") <= DISTANCE)))
-    met = cut(met.select("key", "node", "sim", "centre"))
-    apart = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-    star = met.filter("node <> centre.node").filter(apart("sim", "centre.sim") <= DISTANCE)
-    tried = cut(star.select(F.col("centre.node").alias("a"), F.col("node").alias("b")).distinct())
-    texts = cut(_texts(docs, groups.join(met.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_id", "line")))
-    edges = cut(_verified(tried, texts, percent))
+    centred = keyed.withColumn("centre", F.min("node").over(by_key)).withColumn("size", F.count("*").over(by_key))
+    met = cut(centred.filter("size > 1"))
+    sims = groups.select("node", "sim")
+    firsts = groups.select("node", "doc_id", "text_id", "line")
+
+    def close(pairs: DataFrame) -> DataFrame:
+        """The distinct pairs (a, b) within the Hamming distance."""
+        both = pairs.distinct().join(sims.select(F.col("node").alias("a"), F.col("sim").alias("sim_a")), "a")
+        both = both.join(sims.select(F.col("node").alias("b"), F.col("sim").alias("sim_b")), "b")
+        return cut(both.filter(F.bit_count(F.col("sim_a").bitwiseXOR(F.col("sim_b"))) <= DISTANCE).select("a", "b"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        return cut(_verified(pairs, cut(_texts(docs, cut(firsts.join(ends, "node", "left_semi")))), percent))
+
+    tried = close(met.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")))
+    edges = verified(tried)
     parts = connected_components(edges)
+    # keys with two members are done; in larger ones, members of different components may still be linked
+    more = cut(met.filter("size > 2").select("key", "node").join(sims, "node"))
     for turn in range(2):
-        placed = met.select("key", "node", "sim").join(parts, "node", "left").select("key", "node", "sim", F.coalesce("component", "node").alias("part"))
+        placed = more.join(parts, "node", "left").select("key", "node", "sim", F.coalesce("component", "node").alias("part"))
         mixed = cut(
             placed.withColumn("low", F.min("part").over(by_key)).withColumn("high", F.max("part").over(by_key))
             .filter("low < high").select("key", "node", "sim", "part")
@@ -192,22 +203,25 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = L
             break
         if turn == 0:  # another centre for each key
             pick = F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node", "sim", "part")).over(by_key)
-            again = mixed.withColumn("centre", pick).filter("part <> centre.part").filter(apart("sim", "centre.sim") <= DISTANCE)
+            again = mixed.withColumn("centre", pick).filter("part <> centre.part")
+            again = again.filter(F.bit_count(F.col("sim").bitwiseXOR(F.col("centre.sim"))) <= DISTANCE)
             again = again.select(F.col("centre.node").alias("a"), F.col("node").alias("b"))
         else:
             other = mixed.select("key", F.col("node").alias("b"), F.col("sim").alias("sim_b"), F.col("part").alias("part_b"))
-            again = mixed.withColumnRenamed("node", "a").join(other, "key")
-            again = again.filter("part < part_b").filter(apart("sim", "sim_b") <= DISTANCE).select("a", "b")
+            near = (F.col("part") < F.col("part_b")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("sim_b"))) <= DISTANCE)
+            again = mixed.withColumnRenamed("node", "a").join(other, "key").filter(near).select("a", "b")
         pairs = again.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-        found = cut(_verified(pairs, texts, percent))
+        if pairs.isEmpty():
+            continue
+        found = verified(pairs)
         tried = tried.union(pairs)
         if not found.isEmpty():
             edges = edges.union(found)
             parts = connected_components(edges)
-    named = groups.select("h1", "h2", "doc_id", "text_id", "line", "node").join(parts, "node", "left")
+    named = groups.select("h1", "h2", "n", "doc_id", "text_id", "line", "node").join(parts, "node", "left")
     named = named.withColumn("part", F.coalesce("component", "node"))
-    of_part = named.groupBy("part").agg(F.min(place).alias("keep"))
+    of_part = named.groupBy("part").agg(F.min(place).alias("keep"), F.sum("n").alias("all")).filter("all > 1")
     keep = named.join(of_part, "part").select("h1", "h2", "keep")
     repeated = lines.join(keep, ["h1", "h2"]).withColumn("own", place).filter("own <> keep")
     return repeated.select("doc_id", "text_id", "line")

@@ -172,6 +172,15 @@ class Index:
                 vecs.append(value @ space[at] / np.sqrt(value @ value))
         self.by_width = {w: (names, np.array(vecs, dtype=np.float32)) for w, (names, vecs) in made.items()}
 
+    def _tables(self) -> dict[int, np.ndarray]:
+        """For each width, every word's share of the cosine with every passage; a worker makes them once.
+
+        A window's projection is the sum of its words', so its products with the passages are sums of these.
+        """
+        if not hasattr(self, "_made"):
+            self._made = {w: self.space @ vecs.T for w, (_, vecs) in self.by_width.items()}
+        return self._made
+
     def candidates(self, at: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(document, item_id, passage, first word, last word) of windows past the cosine threshold.
 
@@ -193,7 +202,8 @@ class Index:
         doc = np.repeat(np.arange(len(sizes)), blocks)
         start = np.arange(n)
         word_at = first_word[doc] + (start - first_block[doc]) * STRIDE  # of a block's first word
-        for width, (names, vecs) in self.by_width.items():
+        for width, (names, _) in self.by_width.items():
+            table = self._tables()[width]
             stop = np.minimum(start + width, last[doc])
             whole = (start + width <= last[doc]) | (start == first_block[doc])
             norm2 = energy[stop] - energy[start]
@@ -209,8 +219,7 @@ class Index:
                     continue
                 begin = np.cumsum(count) - count
                 picked = np.repeat(low - begin, count) + np.arange(count.sum())
-                window = np.add.reduceat(self.space[row[known[picked]]], begin, axis=0)
-                cosine = window @ vecs.T / np.sqrt(norm2[of])[:, None]
+                cosine = np.add.reduceat(table[row[known[picked]]], begin, axis=0) / np.sqrt(norm2[of])[:, None]
                 for i, j in zip(*np.nonzero(cosine >= COSINE)):
                     d = doc[of[i]]
                     yield int(d), *names[j], int(a[i] - first_word[d]), int(b[i] - first_word[d])

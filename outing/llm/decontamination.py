@@ -11,14 +11,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outing.llm.common import WordCache, append_columns, batches_of, collect_slots, cut, sum_partials, table
+from outing.llm.common import append_columns, batches_of, collect_slots, cut, sum_partials, table
 
 #: Buckets that words are hashed to; bounds what is broadcast for any vocabulary.
 BUCKETS = 1 << 16
@@ -36,19 +36,28 @@ COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
 #: The answer of an item without one is its last words.
 ANSWER_WORDS = 8
 _WORD = re.compile(r"\w+")
+#: What \w leaves out of ASCII, as spaces.
+_GAPS = {i: " " for i in range(128) if not _WORD.match(chr(i))}
 HITS = "array<struct<item_id:bigint,kind:string,start_word:bigint,lcs_words:int,item_words:int>>"
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    text = (text or "").lower()
+    return text.translate(_GAPS).split() if text.isascii() else _WORD.findall(text)
 
 
-def _bucket(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % BUCKETS
+def _hashed(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(crc32, words), np.int64, len(words)) % BUCKETS
 
 
-def _buckets(words: list[str], cache: WordCache) -> np.ndarray:
-    return np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
+def _buckets(words: list[str]) -> np.ndarray:
+    return _hashed([w.encode() for w in words])
+
+
+def _buckets_of(text: str | None) -> np.ndarray:
+    """_buckets(words_of(text)), encoding a text at once."""
+    text = (text or "").lower()
+    return _hashed((text.translate(_GAPS) if text.isascii() else " ".join(_WORD.findall(text))).encode().split())
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
@@ -56,12 +65,12 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     width = 1024
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, seen = WordCache(_bucket), np.zeros(BUCKETS + width)
+        seen = np.zeros(BUCKETS + width)
         for pdf in batches_of(batches, 500):
             for text in pdf["text"]:
-                words = set(words_of(text))
-                if words:
-                    seen[np.unique(_buckets(list(words), cache))] += 1
+                at = _buckets_of(text)
+                if len(at):
+                    seen[np.unique(at)] += 1
                     seen[BUCKETS] += 1
         yield pd.DataFrame({"slot": range(BUCKETS // width + 1), "vec": [x.tobytes() for x in seen.reshape(-1, width)]})
 
@@ -98,7 +107,7 @@ def latent_space(parts: DataFrame, idf: np.ndarray, rank: int = RANK) -> tuple[n
 
     def bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"bucket": np.unique([_bucket(w) for w in pdf["word"]])}, dtype="int64")
+            yield pd.DataFrame({"bucket": np.unique(_buckets(list(pdf["word"])))}, dtype="int64")
 
     used = words.mapInPandas(bucket, "bucket long").distinct().collect()  # at most BUCKETS
     used = np.array(sorted(r[0] for r in used), dtype=np.int64)
@@ -108,11 +117,11 @@ def latent_space(parts: DataFrame, idf: np.ndarray, rank: int = RANK) -> tuple[n
         sent = context.broadcast(block)
 
         def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            cache, total = WordCache(_bucket), {}
+            total = {}
             known, idf = weights.value
             for pdf in batches:
                 for words in pdf["words"]:
-                    at, tf = np.unique(np.searchsorted(known, _buckets(list(words), cache)), return_counts=True)
+                    at, tf = np.unique(np.searchsorted(known, _buckets(list(words))), return_counts=True)
                     value = tf * idf[at]
                     value /= max(1e-12, np.sqrt(value @ value))
                     y = value @ sent.value[at]
@@ -154,7 +163,7 @@ class Index:
     """What a search needs of a block of items: all bounded by ITEM_BLOCK, BUCKETS and RANK but their texts."""
 
     def __init__(self, items: dict[int, tuple[list[str], list[str]]], parts: list, idf: np.ndarray, used: np.ndarray, space: np.ndarray):
-        self.items, self.idf, cache = items, idf, WordCache(_bucket)
+        self.items, self.idf = items, idf
         self.row = np.full(BUCKETS, -1, np.int32)
         weighty = idf[used] > 0
         self.row[used[weighty]] = np.arange(weighty.sum())
@@ -162,7 +171,7 @@ class Index:
         self.space = (space * idf[used[weighty], None]).astype(np.float32)
         made: dict[int, tuple[list, list]] = {}
         for item_id, passage, words in parts:
-            at, tf = np.unique(self.row[_buckets(list(words), cache)], return_counts=True)
+            at, tf = np.unique(self.row[_buckets(list(words))], return_counts=True)
             at, tf = at[at >= 0], tf[at >= 0]
             if len(at):
                 value = tf * idf[used[weighty]][at]
@@ -224,15 +233,17 @@ class Index:
                     d = doc[of[i]]
                     yield int(d), *names[j], int(a[i] - first_word[d]), int(b[i] - first_word[d])
 
-    def hits(self, texts: list[str | None], cache: WordCache) -> list[list[dict]]:
+    def hits(self, texts: list[str | None]) -> list[list[dict]]:
         """For each whole text, a row of HITS for each item found in it."""
-        words = [words_of(t) for t in texts]
-        at = np.concatenate([_buckets(w, cache) for w in words]) if words else np.empty(0, np.int64)
+        at = [_buckets_of(t) for t in texts]
+        sizes = np.array([len(x) for x in at], dtype=np.int64)
+        at = np.concatenate(at) if at else np.empty(0, np.int64)
         spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for d, item_id, passage, a, b in self.candidates(at, np.array([len(w) for w in words], dtype=np.int64)):
+        for d, item_id, passage, a, b in self.candidates(at, sizes):
             size = len(self.items[item_id][0])
             reach = (a - passage * PASSAGE - STRIDE, b + size - min(size, (passage + 1) * PASSAGE) + STRIDE)
-            spans.setdefault((d, item_id), []).append((max(0, reach[0]), min(len(words[d]), reach[1])))
+            spans.setdefault((d, item_id), []).append((max(0, reach[0]), min(sizes[d], reach[1])))
+        words = {d: words_of(texts[d]) for d, _ in spans}
         found: list[list[tuple]] = [[] for _ in texts]
         for (d, item_id), reaches in spans.items():
             item, answer = self.items[item_id]
@@ -272,8 +283,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLOC
         index = spark.sparkContext.broadcast(Index(texts, sorted(map(tuple, parts.collect()), key=lambda p: p[:2]), idf, used, space))
 
         def make(index=index):
-            cache = WordCache(_bucket)
-            return lambda texts: (index.value.hits(texts, cache),)
+            return lambda texts: (index.value.hits(texts),)
 
         out = append_columns(out, make, f"_hits_{turn} {HITS}")
     names = [f"_hits_{turn}" for turn in range(passes)]

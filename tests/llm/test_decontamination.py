@@ -1,8 +1,11 @@
 import random
+import re
 
 import numpy as np
 
 from outing.llm.decontamination import (
+    _buckets,
+    _buckets_of,
     contaminated,
     decontaminate,
     inverse_frequencies,
@@ -29,6 +32,16 @@ def test_lcs():
         assert lcs_length(a, b) == lcs(a, b)
 
 
+def test_words_and_their_buckets():
+    rng = random.Random(3)
+    for alphabet in ("aZ_9 .-\n\x1c'", "aÉ_ß İ\u2028١k\u00a0K"):
+        for _ in range(300):
+            text = "".join(rng.choices(alphabet, k=rng.randint(0, 40)))
+            assert words_of(text) == re.findall(r"\w+", text.lower())
+            assert _buckets_of(text).tolist() == _buckets(words_of(text)).tolist()
+    assert words_of(None) == [] and len(_buckets_of(None)) == 0
+
+
 def corpus(rng):
     common = ["c%d" % i for i in range(20)]
     rare = ["r%d" % i for i in range(3000)]

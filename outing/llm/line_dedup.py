@@ -27,21 +27,25 @@ LEAST_WORDS = 5
 #: Edit similarity (1 - distance / longer length, in characters of the normalised lines) in percent.
 PERCENT = 80
 _OTHER = re.compile(r"[^\w\n]+|_+")
-_P = np.uint64(0x9E3779B97F4A7C15)
+#: What _OTHER takes of ASCII, as spaces.
+_GAPS = {i: " " for i in range(128) if _OTHER.match(chr(i))}
+#: Words whose votes a byte can hold: the longest word counts 4.
+SPAN = 255 // 4
 
 
 def normalise(text: str) -> str:
-    """Lower-case words with single spaces; line breaks stay."""
-    return _OTHER.sub(" ", text.lower())
+    """Lower-case words between spaces; line breaks stay."""
+    text = text.lower()
+    return text.translate(_GAPS) if text.isascii() else _OTHER.sub(" ", text)
 
 
 class _Words:
-    """Two 64-bit hashes of each word and the weighted votes of the first one's bits, as growing arrays."""
+    """The weight of each word, and its 64-bit hash's set bits times the weight, as growing arrays."""
 
     def __init__(self):
         self._at: dict[str, int] = {}
-        self.hashes = np.empty((1024, 2), np.uint64)
-        self.votes = np.empty((1024, BITS), np.int8)
+        self.weight = np.empty(1024, np.int64)
+        self.votes = np.empty((1024, BITS // 8), np.uint64)  # a byte for each bit
 
     def places(self, words: list[str]) -> np.ndarray:
         new = [w for w in set(words) if w not in self._at]
@@ -49,17 +53,17 @@ class _Words:
             self._at.clear()
             new = list(set(words))
         first, last = len(self._at), len(self._at) + len(new)
-        while last > len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.empty_like(self.hashes)])
+        while last > len(self.votes):
+            self.weight = np.concatenate([self.weight, np.empty_like(self.weight)])
             self.votes = np.concatenate([self.votes, np.empty_like(self.votes)])
         if new:
             self._at.update(zip(new, range(first, last)))
-            raw = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w.encode("utf-8", "surrogatepass")) for w in new), "<u8")
-            self.hashes[first:last] = raw.reshape(-1, 2)
-            bits = np.unpackbits(self.hashes[first:last, :1].copy().view(np.uint8), axis=1, bitorder="little")
+            raw = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, map(str.encode, new))), np.uint8)
+            bits = np.unpackbits(raw.reshape(-1, BITS // 8), axis=1)
             # longer words say more about a line
-            weight = np.array([1 + min(3, len(w) // 3) for w in new], np.int8)
-            self.votes[first:last] = (bits.astype(np.int8) * 2 - 1) * weight[:, None]
+            weight = np.array([1 + min(3, len(w) // 3) for w in new], np.uint8)
+            self.weight[first:last] = weight
+            self.votes[first:last] = (bits * weight[:, None]).view(np.uint64)
         return np.fromiter(map(self._at.__getitem__, words), np.int64, len(words))
 
 
@@ -68,13 +72,16 @@ def _fingerprints(known: _Words, lines: list[list[str]]) -> tuple[np.ndarray, np
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     at = known.places([w for line in lines for w in line])
-    place = np.arange(len(at)) - np.repeat(starts, sizes)
-    mixed = (known.hashes[at] ^ (place.astype(np.uint64) * _P)[:, None]) * _P
-    mixed ^= mixed >> np.uint64(31)
-    mixed *= np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-    ids = np.add.reduceat(mixed, starts, axis=0)
-    votes = np.add.reduceat(known.votes[at], starts, axis=0, dtype=np.int32)
-    return ids, np.packbits(votes > 0, axis=1, bitorder="little").view("<u8")[:, 0]
+    ids = np.frombuffer(b"".join(xxhash.xxh3_128_digest(" ".join(line).encode()) for line in lines), "<u8").reshape(-1, 2)
+    # eight votes are added at once, over spans of words that no byte overflows in
+    spans = -(-sizes // SPAN)
+    first = np.cumsum(spans) - spans
+    begin = np.repeat(starts, spans) + (np.arange(spans.sum()) - np.repeat(first, spans)) * SPAN
+    votes = np.add.reduceat(known.votes[at], begin, axis=0).view(np.uint8)
+    if len(begin) > len(starts):
+        votes = np.add.reduceat(votes, first, axis=0, dtype=np.int64)
+    total = np.add.reduceat(known.weight[at], starts)
+    return ids, np.packbits(2 * votes.astype(np.int64) > total[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
 
 
 def lines_of(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -170,29 +177,25 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = L
     # a key for each choice of blocks; the choice's number is part of it
     masks = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(m if m < 1 << 63 else m - (1 << 64)).alias("mask")) for n, m in block_keys()])
     keyed = groups.select("node", "sim", F.explode(masks).alias("choice")).select(
-        F.xxhash64("choice.n", F.col("sim").bitwiseAND(F.col("choice.mask"))).alias("key"), "node"
+        F.xxhash64("choice.n", F.col("sim").bitwiseAND(F.col("choice.mask"))).alias("key"), "node", "sim"
     )
     by_key = Window.partitionBy("key")
-    centred = keyed.withColumn("centre", F.min("node").over(by_key)).withColumn("size", F.count("*").over(by_key))
-    met = cut(centred.filter("size > 1"))
-    sims = groups.select("node", "sim")
+    centre = F.min(F.struct("node", "sim")).over(by_key)
+    centred = keyed.withColumn("centre", centre).withColumn("size", F.count("*").over(by_key))
+    # most keys of two members hold two lines that are far apart
+    far = F.bit_count(F.col("sim").bitwiseXOR(F.col("centre.sim"))) > DISTANCE
+    met = cut_table(centred.filter((F.col("size") > 2) | (F.col("node") != F.col("centre.node")) & ~far))
     firsts = groups.select("node", "doc_id", "text_id", "line")
 
-    def close(pairs: DataFrame) -> DataFrame:
-        """The distinct pairs (a, b) within the Hamming distance."""
-        both = pairs.distinct().join(sims.select(F.col("node").alias("a"), F.col("sim").alias("sim_a")), "a")
-        both = both.join(sims.select(F.col("node").alias("b"), F.col("sim").alias("sim_b")), "b")
-        return cut(both.filter(F.bit_count(F.col("sim_a").bitwiseXOR(F.col("sim_b"))) <= DISTANCE).select("a", "b"))
-
     def verified(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         return cut(_verified(pairs, cut(_texts(docs, cut(firsts.join(ends, "node", "left_semi")))), percent))
 
-    tried = close(met.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")))
+    tried = cut(met.filter(F.col("node") != F.col("centre.node")).filter(~far).select(F.col("centre.node").alias("a"), F.col("node").alias("b")).distinct())
     edges = verified(tried)
     parts = connected_components(edges)
     # keys with two members are done; in larger ones, members of different components may still be linked
-    more = cut(met.filter("size > 2").select("key", "node").join(sims, "node"))
+    more = met.filter("size > 2").select("key", "node", "sim")
     for turn in range(2):
         placed = more.join(parts, "node", "left").select("key", "node", "sim", F.coalesce("component", "node").alias("part"))
         mixed = cut(

@@ -3,14 +3,17 @@
 Benchmark items are cut into passages of words; their TF-IDF vectors (inverse document frequencies of hashed words
 over all documents) span a latent space found by a distributed randomised SVD. Every window of every document, at
 several widths, is projected into it from running sums over blocks of words. Windows whose cosine with a passage
-passes a threshold are candidates, and a candidate counts if the longest common subsequence of words covers the item,
-or covers most of it and the item's answer as well, which finds paraphrases.
+passes a threshold are candidates. Those weights say nothing about an item that stands in many documents, whose words
+are frequent for that very reason, so stretches that share enough word pairs with a passage are candidates as well,
+whatever their weights. A candidate counts if the longest common subsequence of words covers the item, or covers most
+of it and the item's answer as well, which finds paraphrases.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -33,6 +36,8 @@ ITEM_BLOCK, RANK, OVERSAMPLE = 512, 256, 16
 COSINE = 0.4
 #: Share of an item's words that a copy keeps in order; a paraphrase, of the item's and of its answer's.
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
+#: Word positions that starts of a passage are counted over; slots of the table of word pairs, as bits; pairs at a time.
+BAND, PAIR_BITS, PAIRS = 64, 22, 200_000
 #: The answer of an item without one is its last words.
 ANSWER_WORDS = 8
 _WORD = re.compile(r"\w+")
@@ -159,6 +164,22 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return len(a) - v.bit_count()
 
 
+def needed_pairs(size: int) -> int:
+    """The least number of neighbouring word pairs of a passage that a copy with the share PARAPHRASE of its words keeps.
+
+    Of n words k stay and n - k go, so at least k - (n - k) - 1 pairs stay whole; a word put in splits one pair more.
+    """
+    return max(1, int((2 * PARAPHRASE - 1) * size + 1e-9) - 1)
+
+
+def _pairs(at: np.ndarray) -> np.ndarray:
+    return (at[:-1] << 16) | at[1:]
+
+
+def _pair_slots(pairs: np.ndarray) -> np.ndarray:
+    return ((pairs * 2654435761) & 0xFFFFFFFF) >> (32 - PAIR_BITS)
+
+
 class Index:
     """What a search needs of a block of items: all bounded by ITEM_BLOCK, BUCKETS and RANK but their texts."""
 
@@ -180,6 +201,12 @@ class Index:
                 names.append((item_id, passage))
                 vecs.append(value @ space[at] / np.sqrt(value @ value))
         self.by_width = {w: (names, np.array(vecs, dtype=np.float32)) for w, (names, vecs) in made.items()}
+        self.parts = [(item_id, passage, len(words)) for item_id, passage, words in parts]
+        pairs = [_pairs(_buckets(list(words))) for _, _, words in parts]
+        keys, of = np.concatenate([*pairs, np.empty(0, np.int64)]), np.repeat(np.arange(len(pairs)), [len(x) for x in pairs])
+        offset = np.concatenate([*(np.arange(len(x)) for x in pairs), np.empty(0, np.int64)])
+        order = np.argsort(keys, kind="stable")
+        self.pairs, self.pair_of, self.pair_offset = keys[order], of[order], offset[order]
 
     def _tables(self) -> dict[int, np.ndarray]:
         """For each width, every word's share of the cosine with every passage; a worker makes them once.
@@ -233,16 +260,68 @@ class Index:
                     d = doc[of[i]]
                     yield int(d), *names[j], int(a[i] - first_word[d]), int(b[i] - first_word[d])
 
+    def _pair_table(self) -> np.ndarray:
+        """Whether a passage may have the word pair of a slot; a worker makes it once."""
+        if not hasattr(self, "_slots"):
+            self._slots = np.zeros(1 << PAIR_BITS, bool)
+            self._slots[_pair_slots(self.pairs)] = True
+        return self._slots
+
+    def copies(self, at: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """As candidates(), where a document shares needed_pairs of a passage's word pairs, at starts that lie together.
+
+        No weights are used: a passage is found in however many documents it stands.
+        """
+        if len(at) < 2 or not len(self.pairs):
+            return
+        first = np.cumsum(sizes) - sizes
+        pairs = _pairs(at)
+        known = self._pair_table()[_pair_slots(pairs)]
+        known[(first + sizes - 1)[(sizes > 0) & (first + sizes < len(at))]] = False  # of two documents
+        place = np.nonzero(known)[0]
+        low, high = (np.searchsorted(self.pairs, pairs[place], side) for side in ("left", "right"))
+        place, low, count = place[high > low], low[high > low], (high - low)[high > low]
+        if not len(place):
+            return
+        doc = np.searchsorted(first + sizes, place, "right")
+        # about PAIRS at a time, whole documents
+        turn = (np.cumsum(count) // PAIRS)[np.searchsorted(doc, doc)]
+        edges = [0, *(np.nonzero(np.diff(turn))[0] + 1), len(place)]
+        bands = int(sizes.max()) // BAND + 4
+        need = np.array([needed_pairs(size) for _, _, size in self.parts])
+        for lo, hi in zip(edges, edges[1:]):
+            n = count[lo:hi]
+            begin = np.cumsum(n) - n
+            picked = np.repeat(low[lo:hi] - begin, n) + np.arange(n.sum())
+            of, offset, d = self.pair_of[picked], self.pair_offset[picked], np.repeat(doc[lo:hi], n)
+            start = np.repeat(place[lo:hi], n) - first[d] - offset
+            code = (d * len(self.parts) + of) * bands + (start + PASSAGE) // BAND
+            groups, sizes_of = np.unique(code, return_counts=True)
+            follows = np.append(np.diff(groups) == 1, False)
+            both = sizes_of + np.where(follows, np.append(sizes_of[1:], 0), 0)
+            live = np.nonzero(both >= need[groups // bands % len(self.parts)])[0]
+            if not len(live):
+                continue
+            order = np.argsort(code, kind="stable")
+            ends = np.cumsum(sizes_of)
+            for g in live:
+                group = order[ends[g] - sizes_of[g] : ends[g + follows[g]]]
+                k = of[group[0]]
+                if len(np.unique(offset[group])) >= need[k]:
+                    item_id, passage, size = self.parts[k]
+                    a = int(np.median(start[group]))
+                    yield int(d[group[0]]), item_id, passage, a - STRIDE, a + size + STRIDE
+
     def hits(self, texts: list[str | None]) -> list[list[dict]]:
         """For each whole text, a row of HITS for each item found in it."""
         at = [_buckets_of(t) for t in texts]
         sizes = np.array([len(x) for x in at], dtype=np.int64)
         at = np.concatenate(at) if at else np.empty(0, np.int64)
-        spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for d, item_id, passage, a, b in self.candidates(at, sizes):
+        spans: dict[tuple[int, int], set[tuple[int, int]]] = {}
+        for d, item_id, passage, a, b in chain(self.candidates(at, sizes), self.copies(at, sizes)):
             size = len(self.items[item_id][0])
             reach = (a - passage * PASSAGE - STRIDE, b + size - min(size, (passage + 1) * PASSAGE) + STRIDE)
-            spans.setdefault((d, item_id), []).append((max(0, reach[0]), min(sizes[d], reach[1])))
+            spans.setdefault((d, item_id), set()).add((max(0, reach[0]), min(int(sizes[d]), reach[1])))
         words = {d: words_of(texts[d]) for d, _ in spans}
         found: list[list[tuple]] = [[] for _ in texts]
         for (d, item_id), reaches in spans.items():

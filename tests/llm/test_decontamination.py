@@ -89,3 +89,29 @@ def test_randomised_svd_spans_the_passages(spark):
     assert len(used) == len(full)
     assert np.allclose(full.T @ full, np.eye(full.shape[1]), atol=1e-8) and full.shape[1] == parts.count() and half.shape[1] == 10
     assert np.linalg.norm(full[:, :10].T @ half) > 2.2  # the spectrum is flat, so near the ten leading directions is enough
+
+
+def test_items_in_a_third_of_all_rows_are_found(spark):
+    rng = random.Random(6)
+    items = {i: ["h%d_%d" % (i, k) for k in range(n)] for i, n in enumerate((15, 39, 60, 150))}
+    docs, truth, changed = {}, set(), set()
+    for d in range(600):
+        words = ["r%d" % rng.randrange(10**6) for _ in range(rng.randint(20, 250))]
+        if d % 3 == 0:
+            i = d // 3 % 5 % 4  # the first stands in two fifteenths, the others in a fifteenth of the documents each
+            copy = list(items[i])
+            if rng.random() < 0.3:  # a paraphrase: every third word but the answer's replaced
+                copy = [rng.choice(words) if k % 3 == 0 and k < len(copy) - 8 else w for k, w in enumerate(copy)]
+                changed.add((d, i))
+            for k in {0, i}:  # the first stands in every third document
+                at = rng.randint(0, len(words))
+                words[at:at] = copy if k == i else items[k]
+                truth.add((d, k))
+        docs[d] = " ".join(words)
+    # an insertion may have cut a copy in two
+    truth = {(d, i) for d, i in truth if i or " ".join(items[0]) in docs[d] or (d, 0) in changed}
+    docs = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()}
+    assert len(truth) >= 300 and truth - changed <= got and len(truth & got) >= 0.97 * len(truth)
+    assert {d for d, _ in got} <= set(range(0, 600, 3))

@@ -31,7 +31,8 @@ STOP_SHARE = 0.1
 STRIDE, WIDTHS = 8, (3, 4, 5, 7, 9)
 #: Words of the longest passage that the widest window holds wherever it starts.
 PASSAGE = STRIDE * WIDTHS[-1] - STRIDE + 1
-#: Items searched for in one pass over the documents, and the most dimensions of their latent space.
+#: Passages searched for at once, and the most of them whatever a caller asks for, each a dimension of their latent
+#: space: with fewer dimensions than passages, even verbatim copies lose cosine.
 ITEM_BLOCK, RANK, OVERSAMPLE = 512, 256, 16
 COSINE = 0.4
 #: Share of an item's words that a copy keeps in order; a paraphrase, of the item's and of its answer's.
@@ -181,7 +182,7 @@ def _pair_slots(pairs: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """What a search needs of a block of items: all bounded by ITEM_BLOCK, BUCKETS and RANK but their texts."""
+    """What a search needs of a block of items: all bounded by BUCKETS and RANK but their texts."""
 
     def __init__(self, items: dict[int, tuple[list[str], list[str]]], parts: list, idf: np.ndarray, used: np.ndarray, space: np.ndarray):
         self.items, self.idf = items, idf
@@ -312,11 +313,8 @@ class Index:
                     a = int(np.median(start[group]))
                     yield int(d[group[0]]), item_id, passage, a - STRIDE, a + size + STRIDE
 
-    def hits(self, texts: list[str | None]) -> list[list[dict]]:
-        """For each whole text, a row of HITS for each item found in it."""
-        at = [_buckets_of(t) for t in texts]
-        sizes = np.array([len(x) for x in at], dtype=np.int64)
-        at = np.concatenate(at) if at else np.empty(0, np.int64)
+    def hits(self, texts: list[str | None], at: np.ndarray, sizes: np.ndarray) -> list[list[dict]]:
+        """For each whole text, a row of HITS for each item found in it; `at` and `sizes` as for candidates()."""
         spans: dict[tuple[int, int], set[tuple[int, int]]] = {}
         for d, item_id, passage, a, b in chain(self.candidates(at, sizes), self.copies(at, sizes)):
             size = len(self.items[item_id][0])
@@ -341,33 +339,50 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLOC
     """`docs` (text, any more columns) with _hits: the benchmark items found in each whole text, in order of item_id.
 
     `benchmark` has item_id, text and optionally answer. Null and empty texts hold nothing, and items without words
-    are found nowhere; of rows that share an item_id one text is searched for. Every item_block items make one more
-    pass over the documents.
+    are found nowhere; of rows that share an item_id one text is searched for. A block holds item_block passages, RANK at
+    most; every block is searched for in the same read of the documents.
     """
     spark = docs.sparkSession
     answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.filter("item_id is not null").select("item_id", "text", answer.alias("answer"))
     items = cut(items.groupBy("item_id").agg(F.max(F.struct("text", "answer")).alias("x")).select("item_id", "x.*"))
-    passes = -(-items.count() // item_block)
-    out = docs
+    parts = cut(passages(items).sort("item_id", "passage"))
+    # blocks of passages, numbered across partitions
+    size = min(item_block, RANK)
+    numbered = parts.rdd.zipWithIndex().map(lambda x: (x[1] // size, *x[0]))
+    numbered = cut(spark.createDataFrame(numbered, "block long, item_id long, passage int, words array<string>"))
+    passes = -(-numbered.count() // size)
     idf = inverse_frequencies(docs) if passes else None
+    indexes = []
     for turn in range(passes):
-        block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == turn)
-        parts = cut(passages(block))
-        used, space = latent_space(parts, idf)
+        block = cut(numbered.filter(F.col("block") == turn).drop("block"))
+        used, space = latent_space(block, idf)
         texts = {}
-        for r in block.collect():  # about item_block items
+        for r in items.join(F.broadcast(block.select("item_id").distinct()), "item_id", "left_semi").collect():  # at most `size`
             words = words_of(r["text"])
             texts[r["item_id"]] = (words, words_of(r["answer"]) or words[-ANSWER_WORDS:])
-        index = spark.sparkContext.broadcast(Index(texts, sorted(map(tuple, parts.collect()), key=lambda p: p[:2]), idf, used, space))
-
-        def make(index=index):
-            return lambda texts: (index.value.hits(texts),)
-
-        out = append_columns(out, make, f"_hits_{turn} {HITS}")
-    names = [f"_hits_{turn}" for turn in range(passes)]
-    found = F.array_sort(F.concat(*names)) if names else F.expr(f"cast(array() as {HITS})")
-    return out.withColumn("_hits", found).drop(*names)
+        found = sorted(map(tuple, block.collect()), key=lambda p: p[:2])
+        indexes.append(spark.sparkContext.broadcast(Index(texts, found, idf, used, space)))
+    if not indexes:
+        return docs.withColumn("_hits", F.expr(f"cast(array() as {HITS})"))
+
+    def make():
+        def search(texts: list[str | None]) -> tuple[list[list[dict]]]:
+            at = [_buckets_of(t) for t in texts]
+            sizes = np.array([len(x) for x in at], dtype=np.int64)
+            at = np.concatenate(at) if at else np.empty(0, np.int64)
+            best: list[dict[int, dict]] = [{} for _ in texts]
+            for index in indexes:
+                for kept, hits in zip(best, index.value.hits(texts, at, sizes)):
+                    for h in hits:  # an item whose passages are in two blocks may be found by both
+                        old = kept.get(h["item_id"])
+                        if old is None or (h["lcs_words"], -h["start_word"]) > (old["lcs_words"], -old["start_word"]):
+                            kept[h["item_id"]] = h
+            return ([[kept[i] for i in sorted(kept)] for kept in best],)
+
+        return search
+
+    return append_columns(docs, make, f"_hits {HITS}")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLOCK) -> DataFrame:

@@ -324,14 +324,18 @@ class Index:
         found: list[list[tuple]] = [[] for _ in texts]
         for (d, item_id), reaches in spans.items():
             item, answer = self.items[item_id]
-            best = (-1, 0, (0, 0))
-            for a, b in reaches:  # a window at a time, so that common words far away don't add up
-                best = max(best, (lcs_length(item, words[d][a:b]), -a, (a, b)))
-            common, (a, b) = best[0], best[2]
+            # a window at a time, so that common words far away don't add up
+            tried = sorted(((lcs_length(item, words[d][a:b]), -a, (a, b)) for a, b in reaches), reverse=True)
+            common, _, (a, b) = tried[0]
             if common >= COPY * len(item):
                 found[d].append((item_id, "copy", a, common, len(item)))
-            elif common >= PARAPHRASE * len(item) and lcs_length(answer, words[d][a:b]) >= ANSWER * len(answer):
-                found[d].append((item_id, "paraphrase", a, common, len(item)))
+                continue
+            for common, _, (a, b) in tried:  # the closest window need not be the one with the answer
+                if common < PARAPHRASE * len(item):
+                    break
+                if lcs_length(answer, words[d][a:b]) >= ANSWER * len(answer):
+                    found[d].append((item_id, "paraphrase", a, common, len(item)))
+                    break
         return [[dict(zip(("item_id", "kind", "start_word", "lcs_words", "item_words"), h)) for h in sorted(x)] for x in found]
 
 

@@ -27,7 +27,7 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop repeated lines, and documents that had nothing else; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs, added=("_n_lines", "_lines_gone"))
+    out = line_dedup.dedup_lines(docs, added=("_n_lines", "_lines_gone"), short=True)
     changed = F.size("_lines_gone") > 0
     left = ~changed | (F.length(F.regexp_replace("text", r"\s", "")) > 0)
     chars = F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))

@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from outing.llm.common import CACHE_LIMIT, batches_of, bitmap_has, connected_components, cut, cut_table, membership_bitmap, table
 
 DISTANCE, BLOCKS, BITS = 3, 5, 64
-#: Lines with fewer words say too little to be a repetition; they stay.
-LEAST_WORDS = 5
+#: Lines with fewer words say too little to be a fuzzy repetition, unless they have so many characters; such lines are
+#: compared by their character n-grams, as scripts without spaces need.
+LEAST_WORDS, LEAST_CHARS, GRAM = 5, 20, 3
 #: Edit similarity (1 - distance / longer length, in characters of the normalised lines) in percent.
 PERCENT = 80
 _OTHER = re.compile(r"[^\w\n]+|_+")
@@ -67,11 +68,20 @@ class _Words:
         return np.fromiter(map(self._at.__getitem__, words), np.int64, len(words))
 
 
-def _fingerprints(known: _Words, lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """(n, 2) ids of the word sequences and (n,) SimHashes; every line has a word."""
-    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+def _grams(words: list[str]) -> list[str]:
+    line = " ".join(words)
+    return [line[k : k + GRAM] for k in range(max(1, len(line) - GRAM + 1))]
+
+
+def _fingerprints(known: _Words, lines: list[list[str]], least_words: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(n, 2) ids of the word sequences and (n,) SimHashes; every line has a word.
+
+    Lines of fewer than least_words words have SimHashes of their character n-grams.
+    """
+    parts = [line if len(line) >= least_words else _grams(line) for line in lines]
+    sizes = np.fromiter(map(len, parts), np.int64, len(lines))
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    at = known.places([w for line in lines for w in line])
+    at = known.places([w for part in parts for w in part])
     ids = np.frombuffer(b"".join(xxhash.xxh3_128_digest(" ".join(line).encode()) for line in lines), "<u8").reshape(-1, 2)
     # eight votes are added at once, over spans of words that no byte overflows in
     spans = -(-sizes // SPAN)
@@ -84,23 +94,28 @@ def _fingerprints(known: _Words, lines: list[list[str]]) -> tuple[np.ndarray, np
     return ids, np.packbits(2 * votes.astype(np.int64) > total[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def lines_of(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, text_id, line, h1, h2, sim) of every line of at least `least_words` words, in documents with an id."""
+def lines_of(docs: DataFrame, least_words: int = LEAST_WORDS, short: bool = False) -> DataFrame:
+    """(doc_id, text_id, line, h1, h2, sim) of every line of at least `least_words` words, in documents with an id.
+
+    With `short`, of every line with a word; sim is null where the line is too short for a fuzzy repetition.
+    """
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Words()
         for pdf in batches_of(batches, 256):
-            where, lines = [], []
+            where, lines, fuzzy = [], [], []
             for doc_id, text_id, text in zip(pdf["doc_id"], pdf["_text_id"], pdf["text"]):
                 for n, line in enumerate(normalise(text).split("\n")):
                     words = line.split()
-                    if len(words) >= least_words:
+                    if len(words) >= least_words or short and words:
                         where.append((doc_id, text_id, n))
                         lines.append(words)
+                        fuzzy.append(len(words) >= least_words or sum(map(len, words)) + len(words) - 1 >= LEAST_CHARS)
             if lines:
-                ids, sims = _fingerprints(known, lines)
+                ids, sims = _fingerprints(known, lines, least_words)
+                sims = pd.Series(sims.view(np.int64)).astype("Int64").where(pd.Series(fuzzy))
                 out = pd.DataFrame(where, columns=["doc_id", "text_id", "line"])
-                yield out.assign(h1=ids[:, 0].view(np.int64), h2=ids[:, 1].view(np.int64), sim=sims.view(np.int64))
+                yield out.assign(h1=ids[:, 0].view(np.int64), h2=ids[:, 1].view(np.int64), sim=sims)
 
     wanted = docs.filter("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("text").alias("_text_id"))
     return wanted.mapInPandas(split, "doc_id long, text_id long, line int, h1 long, h2 long, sim long")
@@ -168,15 +183,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").mapInPandas(check, "a long, b long")
 
 
-def repeated_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, short: bool = False) -> DataFrame:
     """(doc_id, text_id, line) of every line that repeats an earlier one, in documents named by id and text hash."""
-    lines = cut_table(lines_of(docs, least_words))
+    lines = cut_table(lines_of(docs, least_words, short))
     place = F.struct("doc_id", "text_id", "line")
     groups = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("sim").alias("sim"), F.count("*").alias("n"))
     groups = cut_table(groups.select("h1", "h2", "sim", "n", "first.*", F.xxhash64("h1", "h2").alias("node")))
     # a key for each choice of blocks; the choice's number is part of it
     masks = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(m if m < 1 << 63 else m - (1 << 64)).alias("mask")) for n, m in block_keys()])
-    keyed = groups.select("node", "sim", F.explode(masks).alias("choice")).select(
+    keyed = groups.filter("sim is not null").select("node", "sim", F.explode(masks).alias("choice")).select(
         F.xxhash64("choice.n", F.col("sim").bitwiseAND(F.col("choice.mask"))).alias("key"), "node", "sim"
     )
     by_key = Window.partitionBy("key")
@@ -231,18 +246,20 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = L
 
 
 def dedup_lines(
-    docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, added: tuple[str, str] = ("n_lines", "dropped")
+    docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, added: tuple[str, str] = ("n_lines", "dropped"), short: bool = False
 ) -> DataFrame:
     """`docs` (doc_id, text, any more columns) without repeated lines, with n_lines and dropped (line numbers from 0).
 
     `added` names those two columns, for tables that have such names themselves.
 
-    Lines are separated by \\n. Lines of fewer than `least_words` words, null and empty texts, and rows with a null
+    Lines are separated by \n. Lines of fewer than `least_words` words stay, or with `short`, as the query and the
+    pipeline call it, are compared too: equal ones of any length, similar ones from LEAST_CHARS characters. Lines
+    without a word, null and empty texts, and rows with a null
     doc_id are left as they are (dropped is empty). A group's first line stays even if every other line of its
     document goes. Rows that share doc_id and text are one document and share the result; different texts under one
     doc_id are told apart. n_lines counts the lines before, 0 for a null text.
     """
-    gone = repeated_lines(docs, percent, least_words).groupBy("doc_id", "text_id")
+    gone = repeated_lines(docs, percent, least_words, short).groupBy("doc_id", "text_id")
     gone = gone.agg(F.array_sort(F.collect_set("line")).alias("_dropped"))  # at most the lines of one document
     gone = gone.select(F.col("doc_id").alias("_of"), F.col("text_id").alias("_text_of"), "_dropped")
     joined = docs.join(gone, (F.col("doc_id") == F.col("_of")) & (F.xxhash64("text") == F.col("_text_of")), "left")
@@ -259,4 +276,4 @@ def dedup_lines(
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without repeated lines."""
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), short=True)

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from outing.llm.line_dedup import DISTANCE, _fingerprints, _Words, dedup_lines, edit_similar, normalise
+from outing.llm.line_dedup import DISTANCE, _fingerprints, _Words, dedup_lines, edit_similar, normalise, op7_line_dedup
 
 
 def levenshtein(a, b):
@@ -94,3 +94,25 @@ def test_fingerprints_do_not_depend_on_batches():
     a = _fingerprints(known, [["a", "b"], ["c"]])
     b = _fingerprints(known, [["c"], ["x", "y"], ["a", "b"]])
     assert (a[0][0] == b[0][2]).all() and a[1][0] == b[1][2] and np.unique(a[0]).size == 4
+
+
+def test_short_lines_and_scripts_without_spaces(spark, tmp_path):
+    chinese = "这是一个没有空格的很长的句子用来测试重复的行是否会被找到并且删除"
+    rows = [
+        (1, f"Read more.\n--\n\nand ornd.\n{chinese}\nsome other line here"), (2, f"read MORE\n--\n\n{chinese}。\nand, ornd\nx"),
+        (3, "Read less.\nx\nX!"),
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.dropped) for r in op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (rows[0][1], []), 2: ("--\n\nx", [0, 3, 4]), 3: ("Read less.", [1, 2])}
+
+
+def test_long_lines_without_spaces_are_compared_by_characters():
+    rng = random.Random(8)
+    near = far = 0
+    for _ in range(100):
+        line = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(200))
+        sims = _fingerprints(_Words(), [[line], [line + "了"], [line[::-1]]], 5)[1].tolist()
+        near += (sims[0] ^ sims[1]).bit_count() <= DISTANCE
+        far += (sims[0] ^ sims[2]).bit_count() <= DISTANCE
+    assert near > 50 and far == 0

@@ -32,6 +32,16 @@ IDENTITY = (
     ("gay", "lesbian", "straight", "bisexual", "transgender", "queer", "heterosexual", "homosexual"),
     ("african", "asian", "european", "latino", "arab", "american", "black", "white", "indigenous"),
     ("deaf", "blind", "disabled", "autistic", "paralysed", "elderly", "young"),
+    ("christ", "muslim", "jude", "hindu", "buddhist", "katholik", "protestant", "atheist"),
+    ("frau", "mann", "mädchen", "junge", "weiblich", "männlich"),
+    ("schwul", "lesbisch", "heterosexuell", "homosexuell", "bisexuell"),
+    ("afrikaner", "asiate", "europäer", "araber", "türke", "pole", "schwarzer", "weißer"),
+    ("chrétien", "musulman", "juif", "hindou", "bouddhiste", "catholique", "athée"),
+    ("femme", "homme", "fille", "garçon"),
+    ("africain", "asiatique", "européen", "arabe", "noir", "blanc"),
+    ("cristiano", "musulmán", "judío", "hindú", "budista", "católico", "ateo"),
+    ("mujer", "hombre", "chica", "chico"),
+    ("africano", "asiático", "europeo", "árabe", "negro", "blanco"),
 )
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -66,13 +76,14 @@ def _sample(docs: DataFrame, labels: DataFrame, most: dict[int, int], groups) ->
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches_of(batches, 1000):
             pdf = pdf[bitmap_has(bitmap.value, pdf["doc_id"].to_numpy(np.int64))]
-            yield pd.DataFrame(
-                {
-                    "of": pdf["doc_id"].astype("int64"),
-                    "words": [sorted(words_of(t)) for t in pdf["text"]],
-                    "swaps": [["\t".join(s) for s in swaps(t, groups)] for t in pdf["text"]],
-                }
-            )
+            if len(pdf):  # columns of lists have no type in an empty frame
+                yield pd.DataFrame(
+                    {
+                        "of": pdf["doc_id"].astype("int64"),
+                        "words": [sorted(words_of(t)) for t in pdf["text"]],
+                        "swaps": [["\t".join(s) for s in swaps(t, groups)] for t in pdf["text"]],
+                    }
+                )
 
     read_docs = docs.filter("doc_id is not null").select("doc_id", "text").mapInPandas(read, "of long, words array<string>, swaps array<string>")
     sample = read_docs.join(chosen, F.col("of") == F.col("doc_id")).select("label", "words", "swaps")
@@ -132,8 +143,9 @@ def train(docs: DataFrame, labels: DataFrame, strength: float = SWAP_PENALTY, mo
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [sorted(known.value[w] for w in ws if w in known.value) for ws in pdf["words"]]
-            yield pd.DataFrame({"label": pdf["label"], "found": found})
+            if len(pdf):
+                found = [sorted(known.value[w] for w in ws if w in known.value) for ws in pdf["words"]]
+                yield pd.DataFrame({"label": pdf["label"], "found": found})
 
     rows = sample.select("label", "words").mapInPandas(index, "label int, found array<int>")
     rows = sorted((r["label"], r["found"]) for r in rows.collect())  # bounded by `most` and MOST_WORDS

@@ -14,7 +14,7 @@ def corpus(rng, n):
     for i in range(n):
         toxic = rng.random() < 0.3
         w = rng.choices(PLAIN, k=rng.randint(3, 80))
-        if toxic:
+        if toxic and i % 5:  # a fifth of the toxic documents have no word of their own: only whom they are about
             for _ in range(rng.randint(1, 3)):
                 w.insert(rng.randrange(len(w)), rng.choice(BAD))
         if rng.random() < (0.6 if toxic else 0.02):  # a group that toxic documents mention far more often
@@ -39,15 +39,25 @@ def test_held_out_accuracy_and_neutral_mentions(spark):
     assert len(got) == len(rows) + len(extra) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
     held = [r for r in got if r.held_out and r.doc_id in truth]
-    assert sum(r.predicted == truth[r.doc_id] for r in held) / len(held) > 0.97
+    assert sum(r.predicted == truth[r.doc_id] for r in held) / len(held) > 0.9
     known = labels.filter("toxic is not null").select("doc_id", F.col("toxic").alias("label"))
-    mention = spark.createDataFrame([(1, "A muslim family w1 w2 w3."), (2, "A family w1 w2 w3."), (3, "A hindu family w1 w2 w3.")], "doc_id long, text string")
-    scores = {}
+    people = ["muslim", "hindu", "jewish", "nice"]
+    mention = spark.createDataFrame([(k, f"A {who} family w1 w2 w3.") for k, who in enumerate(people)], "doc_id long, text string")
+    scores, weights = {}, {}
     for strength in (0.0, 50.0):
-        weights, start = train(docs, known, strength)
-        scores[strength] = [r.score for r in score_texts(mention, weights, start).orderBy("doc_id").collect()]
+        weights[strength], start = train(docs, known, strength)
+        scores[strength] = [r.score for r in score_texts(mention, weights[strength], start).orderBy("doc_id").collect()]
     plain, regular = scores[0.0], scores[50.0]
-    assert plain[0] - plain[1] > 0.2 and abs(regular[0] - regular[1]) < 0.05 and abs(regular[0] - regular[2]) < 0.05
+    # without the penalty the group itself is evidence; with it, mentions score as their swaps and as no mention do
+    assert weights[0.0]["muslim"] > 1 and plain[0] > 3 * plain[3] and plain[0] > 3 * plain[1]
+    assert abs(weights[50.0]["muslim"]) < 0.1 and max(regular) - min(regular) < 0.02
+
+
+def test_batches_without_a_sampled_document(spark):
+    rows = [(i, "plain words of no kind" if i % 40 else ("scum" if i % 80 else "fine words")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(40, "doc_id")
+    labels = spark.createDataFrame([(i, int(i % 80 > 0)) for i in range(0, 400, 40)], "doc_id long, toxic int")
+    assert score_toxicity(docs, labels).count() == 400
 
 
 def test_no_labels_and_no_documents(spark):

@@ -3,7 +3,8 @@
 Documents are dealt by hash into partitions of a fixed size, each packed by best-fit decreasing. Dual feasible
 functions give a lower bound on the bins of each partition and of the whole table; where the total meets the bound,
 it is proven least. Otherwise every bin with a gap gives its documents back: they are dealt anew, into fewer
-partitions, and packed again, until the bound is met, one partition was left or a round saved nothing.
+partitions, and packed again, until the bound is met, one partition was left or a round saved less than LEAST_GAIN
+of the sequences above the bound.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from outing.llm.common import batches_of, cut, map_pandas, table
 from outing.llm.tokens import encoder, tokenizer_path
@@ -24,7 +27,8 @@ CAPACITY = 4096
 END = 1
 #: Pieces that one task packs at once.
 GROUP_ROWS = 20_000
-ROUNDS = 6
+#: Share of the sequences above the bound that a round has to save for another to follow.
+LEAST_GAIN = 0.01
 
 
 def tokenize_pieces(
@@ -97,11 +101,12 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
 
 
 def pack_pieces(
-    pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, rounds: int = ROUNDS
+    pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, least_gain: float = LEAST_GAIN
 ) -> tuple[DataFrame, dict[str, int]]:
     """`pieces` (uid long, length long from 1 to capacity, any more columns) with sequence_id and offset.
 
-    Also returns the certificate: sequences used, the lower bound for the whole table and the rounds taken.
+    Also returns the certificate: sequences used, the lower bound for the whole table, the rounds taken, and of the
+    last round's partitions how many there were and how many met their own bound.
     """
     names = pieces.columns
     counts = np.zeros(capacity + 1, dtype=np.int64)
@@ -110,34 +115,43 @@ def pack_pieces(
     bound, left, used, done, turn = lower_bound(counts, capacity), int(counts.sum()), 0, [], 0
     if not left:
         empty = pieces.select(*names, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-        return empty, {"sequences": 0, "bound": 0, "rounds": 0}
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    schema += ", sequence_id long, offset long, fill long, opens int, certified boolean"
+        return empty, {"sequences": 0, "bound": 0, "rounds": 0, "partitions": 0, "certified": 0}
+    added = "sequence_id long, offset long, fill long, opens int, partition long, certified boolean"
+    schema = StructType([*pieces.schema.fields, *pieces.sparkSession.createDataFrame([], added).schema.fields])
     active, before = pieces, None
     while True:
         groups, first_id = -(-left // group_rows), turn << 48
 
-        def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            sizes = pdf["length"].to_numpy(dtype=np.int64)
+        def pack(key: tuple, rows: pa.Table) -> pa.Table:
+            sizes, group = rows.column("length").to_numpy().astype(np.int64), int(key[0].as_py())
             bins, offsets, fill = best_fit_decreasing(sizes, capacity)
             least = lower_bound(np.bincount(sizes, minlength=capacity + 1), capacity)
-            return pdf[names].assign(
-                sequence_id=first_id + (int(key[0]) << 24) + bins,
-                offset=offsets,
-                fill=fill[bins],
-                opens=(offsets == 0).astype(np.int32),
-                certified=len(fill) == least,
-            )
+            n = len(sizes)
+            more = [
+                first_id + (group << 24) + bins,
+                offsets,
+                fill[bins],
+                (offsets == 0).astype(np.int32),
+                np.full(n, group, np.int64),
+                np.full(n, len(fill) == least),
+            ]
+            columns = [*(rows.column(c) for c in names), *map(pa.array, more)]
+            return pa.Table.from_arrays(columns, names=[*names, *schema.names[len(names) :]])
 
         dealt = active.withColumn("_group", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(groups)))
-        placed = cut(dealt.groupBy("_group").applyInPandas(pack, schema))
+        placed = cut(dealt.groupBy("_group").applyInArrow(pack, schema))
         gap = F.col("fill") < capacity
-        opened, gaps, released = placed.agg(
-            F.sum("opens"), F.sum(F.when(gap, F.col("opens"))), F.sum(F.when(gap, 1))
+        opened, gaps, released, partitions, certified = placed.agg(
+            F.sum("opens"),
+            F.coalesce(F.sum(F.when(gap, F.col("opens"))), F.lit(0)),
+            F.coalesce(F.sum(F.when(gap, 1)), F.lit(0)),
+            F.countDistinct("partition"),
+            F.countDistinct(F.when(F.col("certified"), F.col("partition"))),
         ).first()
         turn += 1
         total = used + opened
-        if total == bound or groups == 1 or turn == rounds or not gaps or total == before:
+        slow = before is not None and before - total <= least_gain * (before - bound)
+        if total == bound or partitions == 1 or not gaps or slow:
             done.append(placed)
             break
         done.append(placed.filter(~gap))
@@ -145,7 +159,8 @@ def pack_pieces(
     packed = done[0]
     for more in done[1:]:
         packed = packed.union(more)
-    return packed.select(*names, "sequence_id", "offset"), {"sequences": total, "bound": bound, "rounds": turn}
+    certificate = {"sequences": total, "bound": bound, "rounds": turn, "partitions": partitions, "certified": certified}
+    return packed.select(*names, "sequence_id", "offset"), certificate
 
 
 def pack_documents(
@@ -155,10 +170,14 @@ def pack_documents(
 
     Returns one row for each piece (doc_id, piece, start, length, ids_crc32, with keep_ids the ids themselves, then
     sequence_id, offset) and the certificate. Null and empty texts are one piece of the end id alone; repeated rows
-    are packed once each; a null doc_id stays null; an empty table gives no rows. Extra columns are not read.
+    are packed once each; a null doc_id stays null; an empty table gives no rows. Extra columns are not read. The
+    ids, where kept, do not take part in the rounds: they are joined to their places at the end.
     """
     pieces = cut(tokenize_pieces(docs, path or tokenizer_path(), capacity, end, keep_ids))
-    packed, certificate = pack_pieces(pieces, capacity)
+    packed, certificate = pack_pieces(pieces.drop("ids"), capacity)
+    if keep_ids:
+        placed = packed.select("uid", "sequence_id", "offset")
+        packed = pieces.join(placed, "uid").select(*pieces.columns, "sequence_id", "offset")
     return packed.drop("uid"), certificate
 
 
@@ -176,5 +195,7 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents packed at 4096; the ids are given by their CRC-32."""
-    return pack_documents(table(spark, sf_dir, "documents"), keep_ids=False)[0]
+    """All documents packed at 4096, with the certificate; the ids are given by their CRC-32."""
+    packed, certificate = pack_documents(table(spark, sf_dir, "documents"), keep_ids=False)
+    proven = {f"n_{k}" if k == "sequences" else f"lower_{k}": certificate[k] for k in ("sequences", "bound")}
+    return packed.select("*", *[F.lit(v).cast("long").alias(k) for k, v in proven.items()])

@@ -3,15 +3,24 @@
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
+from array import array
 
-import numpy as np
-
-#: A chunk that is longer is encoded each time.
+#: A chunk that is longer is not remembered.
 LONGEST_CHUNK = 64
-CACHE_LIMIT = 1_000_000
+#: Chunks that a task remembers; with LONGEST_CHUNK this bounds the memory, at some 100 MB.
+CACHE_LIMIT = 400_000
 #: Python's split() takes these as white space, the tokenizer does not.
 _NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Begins the strings of special tokens, which the tokenizer looks for before it lowers a text.
+_SPECIAL = "<|"
+#: The words that the pre-tokenizer of word_bpe_49k.json makes of an ASCII text.
+_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: The tokenizer settings that the shortcuts below are made for.
+_EXPECTED = ("NFC", "Replace", "Lowercase"), r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Latin letters up to here are the same letters in every version of Unicode that is in use.
+_LATIN = "ɏ"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -21,67 +30,104 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, int]:
+    """Byte-level BPE's letter for each byte: itself where it is printable Latin-1, else the next from U+0100."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (b for b in range(256) if b not in plain)
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(others)}
+
+
+def _has_word_rules(tokenizer) -> bool:
+    """Whether the tokenizer prepares texts as word_bpe_49k does, which the shortcuts rely on."""
+    import json
+
+    made = json.loads(tokenizer.to_str())
+    steps = tuple(n["type"] for n in (made["normalizer"] or {}).get("normalizers", ()))
+    split = next(iter((made["pre_tokenizer"] or {}).get("pretokenizers", ())), {})
+    specials = all(t["content"].startswith(_SPECIAL) for t in made["added_tokens"])
+    return (steps, split.get("pattern", {}).get("Regex")) == _EXPECTED and specials
+
+
+class _Chunks(dict):
+    """white-space chunk (in lower case) -> its ids as bytes, remembered up to CACHE_LIMIT chunks."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self._tokenizer, self._model, self._letters = tokenizer, tokenizer.model, _byte_letters()
+
+    def _word(self, word: str) -> bytes:
+        return array("I", [t.id for t in self._model.tokenize(word)]).tobytes()
+
+    def _make(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isprintable():
+            if chunk.isalpha():
+                return self._word(chunk)
+            return b"".join(map(self._word, _ASCII_WORDS.findall(chunk)))
+        if len(chunk) > 1 and chunk[-1] in ".,":
+            if chunk[-2].isalnum():  # a full stop or comma after a letter or digit is a token of its own
+                return self[chunk[:-1]] + self[chunk[-1]]
+        elif chunk.isalpha() and max(chunk) <= _LATIN:
+            return self._word(chunk.encode().decode("latin-1").translate(self._letters))
+        return array("I", self._tokenizer.encode_batch_fast([chunk], add_special_tokens=False)[0].ids).tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self._make(chunk)
+        if len(chunk) <= LONGEST_CHUNK:
+            if len(self) >= CACHE_LIMIT:
+                self.clear()
+            self[chunk] = found
+        return found
+
+
 class Encoder:
-    """ids(text) of a tokenizers file whose pre-tokenizer never joins text across white space, as word_bpe_49k's.
+    """ids(text) of a tokenizers file; texts prepared as word_bpe_49k prepares them are encoded by chunk.
 
-    Such a text's ids are those of its white-space chunks in turn, so frequent chunks are encoded once per worker.
+    Such a tokenizer never joins text across white space, so a text's ids are those of its chunks in turn, and a
+    frequent chunk is encoded once. Any other tokenizer encodes whole texts.
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[str, bytes] = {}
-
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        self._tokenizer = _tokenizer(path)
+        self._known = _Chunks(self._tokenizer) if path in _BY_WORD else None
 
     @staticmethod
-    def _lowered(text: str) -> str:
-        """The text in lower case where that is sure to leave its ids as they are."""
-        low = text.lower()
+    def _by_chunk(text: str) -> bool:
+        """Whether the text may be lowered and split before the tokenizer sees it."""
+        if _SPECIAL in text or any(c in text for c in _NOT_SPACE):
+            return False
         if text.isascii():
-            return low
-        safe = "\u03a3" not in text and "\u0130" not in text  # these depend on what is around, or grow
-        return low if safe and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low) else text
-
-    def _learn(self, new: list[str]) -> None:
-        """Encode the new chunks; a chunk's last full stop or comma is a token of its own after a letter or digit."""
-        known, ends = self._known, {}
-        for c in new:
-            if len(c) > 1 and c[-1] in ".," and c[-2].isalnum():
-                ends[c] = c[:-1]
-        ask = {*(c for c in new if c not in ends), *ends.values(), ".", ","}
-        ask = [c for c in ask if c not in known]
-        known.update(zip(ask, self._encode(ask)))
-        known.update((c, known[word] + known[c[-1]]) for c, word in ends.items())
+            return True
+        if "Σ" in text or "İ" in text:  # their lower case depends on what is around, or grows
+            return False
+        return unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", text.lower())
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        known = self._known
-        odd = [any(c in t for c in _NOT_SPACE) for t in texts]
-        split = [[t] if o else self._lowered(t).split() for t, o in zip(texts, odd)]
-        seen = set().union(*split) if split else set()
-        new = [c for c in seen if c not in known]
-        if len(known) + 2 * len(new) > CACHE_LIMIT:
-            known.clear()
-            new = list(seen)
-        self._learn(new)
-        out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
-        for c in new:
-            if len(c) > LONGEST_CHUNK:
-                del known[c]
-                known.pop(c[:-1], None)
+        known, out = self._known, []
+        for text in texts:
+            if known is not None and self._by_chunk(text):
+                out.append(b"".join(map(known.__getitem__, text.lower().split())))
+            else:
+                out.append(array("I", self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes())
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_TOKENIZERS: dict[str, object] = {}
+_BY_WORD: set[str] = set()
+
+
+def _tokenizer(path: str):
+    """This worker's tokenizer for `path`."""
+    if path not in _TOKENIZERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        made = _TOKENIZERS[path] = Tokenizer.from_file(path)
+        if _has_word_rules(made):
+            _BY_WORD.add(path)
+    return _TOKENIZERS[path]
 
 
 def encoder(path: str) -> Encoder:
-    """This worker's encoder for `path`."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """An encoder for one task: what it remembers goes when the task ends."""
+    return Encoder(path)

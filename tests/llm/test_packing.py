@@ -73,3 +73,19 @@ def test_round_trip(spark):
     assert len(made) == certificate["sequences"] and all(len(r.ids) <= 512 for r in made)
     assert sum(len(r.ids) for r in made) == sum(r.length for r in got)
     assert pack_documents(docs.filter("doc_id < 0"))[0].collect() == []
+
+
+def test_large_ids_next_to_a_null(spark):
+    big = 1 << 60
+    rows = [(big + 1, "a"), (big + 2, "b c"), (big + 3, None), (None, "d")]
+    packed, certificate = pack_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), keep_ids=False)
+    assert {r.doc_id for r in packed.collect()} == {big + 1, big + 2, big + 3, None}
+    assert certificate["sequences"] == certificate["bound"] == certificate["partitions"] == certificate["certified"] == 1
+
+
+def test_other_tokenizers_encode_whole_texts():
+    texts = ["The  quick\nbrown fox", ""]
+    path = tokenizer_path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    for text, got in zip(texts, Encoder(path).ids(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids

@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -28,10 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; only where none is set (tests), a temporary folder."""
+    """Use the cluster's spark.checkpoint.dir; a temporary folder only where none is set on a local master (tests)."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -122,20 +125,22 @@ def _edge_state(edges: DataFrame) -> tuple[int, int]:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node but the smallest of each component, by alternating large and small stars.
 
-    `edges` has long columns a, b; self loops and repeats are fine. A round is three shuffles by node, and its result
-    is checkpointed; a component may be of any size.
+    `edges` has long columns a, b; self loops and repeats are fine. Edges are kept as (u, v) with u > v, so a node's
+    least neighbour is the least v of its rows, which partial aggregation finds without bringing the rows together.
+    The minima come back by joins, whose skewed sides adaptive execution splits; no window holds a whole star. Every
+    round is checkpointed.
     """
     ends = edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     now = cut(ends.distinct())
     state = _edge_state(now)
-    of_node = Window.partitionBy("u")
     while state[0]:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.select("u", "v", F.least("u", F.min("v").over(of_node)).alias("m"))
-        large = low.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.select("u", "v", F.min("v").over(of_node).alias("m"))
+        # large star: each larger neighbour of a node goes to the node's least neighbour
+        least = now.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        now = now.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
+        # small star: a node and its smaller neighbours go to the least of them
+        least = now.groupBy("u").agg(F.min("v").alias("m"))
         links = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
-        now = cut(low.select(links.alias("x")).select("x.u", "x.v").filter("u <> v").distinct())
+        now = cut(now.join(least, "u").select(links.alias("x")).select("x.u", "x.v").filter("u <> v").distinct())
         before, state = state, _edge_state(now)
         if state == before:
             break

@@ -28,6 +28,7 @@ from outing.llm.common import (
     bitmap_has,
     connected_components,
     cut,
+    map_pandas,
     membership_bitmap,
     table,
 )
@@ -83,9 +84,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 sigs.append(signature(s) if len(s) else None)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": counts, "set_id": set_ids, "sig": sigs})
 
-    return docs.select("doc_id", "text").mapInPandas(
-        sign, "doc_id long, n_shingles long, set_id binary, sig binary"
-    )
+    return map_pandas(docs.select("doc_id", "text"), sign, "doc_id long, n_shingles long, set_id binary, sig binary")
 
 
 def chunk_keys(sig: Column) -> Column:
@@ -123,7 +122,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             )
 
     # a doc_id may stand in several rows; (rep, set_id) names the set that the pairs mean
-    return docs.select("doc_id", "text").mapInPandas(of, "rep long, set_id binary, shingles binary")
+    return map_pandas(docs.select("doc_id", "text"), of, "rep long, set_id binary, shingles binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

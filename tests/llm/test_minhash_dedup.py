@@ -78,3 +78,11 @@ def test_edges(spark):
     rows = [(7, "a b c d"), (7, "a b c d"), (None, "a b c d"), (9, "a b c d"), (8, "x " * 200_000)]
     got = sorted(map(tuple, near_duplicates(documents(spark, rows), 3, 85).collect()), key=str)
     assert got == sorted([(7, 2, 7, True), (7, 2, 7, True), (None, 2, None, None), (9, 2, 7, False), (8, 1, 8, True)], key=str)
+
+
+def test_large_ids_next_to_a_null(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    big = 1 << 60
+    rows = [(big + 1, text), (big + 2, text + " more"), (big + 3, "others"), (None, text)]
+    got = {r.doc_id: (r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got == {big + 1: (big + 1, True), big + 2: (big + 1, False), big + 3: (big + 3, True), None: (None, None)}

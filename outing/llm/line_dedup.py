@@ -1,37 +1,60 @@
 """Fuzzy line deduplication: SimHash of normalised lines, pigeonhole blocks, edit similarity, connected groups.
 
-A line is normalised to its lower-case words. Equal lines are one group from the start. Distinct lines get a 64-bit
-SimHash of their words, weighted by length; its bits are split into BLOCKS blocks, so two fingerprints within DISTANCE bits agree on at
-least BLOCKS - DISTANCE whole blocks and meet in the key of one such choice. Pairs that meet are verified by edit
-similarity, linked lines form connected groups, and of each group the first occurrence stays: the one with the
-smallest (doc_id, line number).
+A line is normalised to its lower-case words. Equal lines are one group from the start. Of every distinct line,
+blocks of its words get 64-bit SimHashes, and two lines meet where enough of these blocks agree, by the pigeonhole
+principle: a few changes can't touch all blocks. One Hamming distance over a whole line could not do that: a changed
+word turns a fifth of the bits of a line of six words, and no set of bit blocks is left whole by so many errors.
+
+- up to SHORT words: the line, and the line without each one of its words, so one word changed, added or gone leaves a
+  common block whatever the line;
+- up to LONG words: two blocks from the front and two from the back, of a size that a few neighbouring lengths share;
+  any two of the four make a key, so one change anywhere, and two changes in most places, leave a key;
+- longer lines: PARTS or more parts cut where words of the line have the least hash near even distances; one part is a
+  key, so all but one may change, and words added or gone move few cuts.
+
+Pairs that meet are filtered by the Hamming distance of SimHashes of the whole lines (NEAR bits, a bound that edits
+within PERCENT hardly ever pass) and verified by edit similarity. Linked lines form connected groups, and of each group
+the first occurrence stays: the one with the smallest (doc_id, line number).
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outing.llm.common import CACHE_LIMIT, batches_of, bitmap_has, connected_components, cut, cut_table, membership_bitmap, table
-
-DISTANCE, BLOCKS, BITS = 3, 5, 64
+from outing.llm.common import batches_of, bitmap_has, connected_components, cut, cut_table, membership_bitmap, table
+
+#: Words up to which every single word is left out; words up to which there are front and back blocks; parts beyond.
+SHORT, LONG, PARTS = 12, 48, 8
+#: Words of a part of a line that has more than PARTS, and words around an even cut among which the least hash is
+#: sought; words whose votes a byte can count for certain.
+PER_PART, REACH, PART_WORDS = 16, 3, 200
+#: Neighbouring lengths share their block size: each size is this much larger than the one before.
+GROWTH = 1.2
+#: Bits of 64 that the SimHashes of two whole lines may differ in.
+NEAR = 24
 #: Lines with fewer words say too little to be a fuzzy repetition, unless they have so many characters; such lines are
-#: compared by their character n-grams, as scripts without spaces need.
-LEAST_WORDS, LEAST_CHARS, GRAM = 5, 20, 3
+#: compared by their characters instead of words, as scripts without spaces need.
+LEAST_WORDS, LEAST_CHARS = 5, 20
 #: Edit similarity (1 - distance / longer length, in characters of the normalised lines) in percent.
 PERCENT = 80
+#: Characters of text that are parsed at once (more only where one line is longer), and lines of a block of a key.
+SPAN, KEY_BLOCK = 1 << 18, 512
 _OTHER = re.compile(r"[^\w\n]+|_+")
-#: What _OTHER takes of ASCII, as spaces.
+#: What _OTHER takes of ASCII, as spaces; and what it takes beyond.
 _GAPS = {i: " " for i in range(128) if _OTHER.match(chr(i))}
-#: Words whose votes a byte can hold: the longest word counts 4.
-SPAN = 255 // 4
+_ODD = re.compile(r"[^\w\x00-\x7f]")
+_IN_WORD = np.array([i >= 128 or (chr(i).isalnum()) for i in range(256)])
+_RANDOM = np.random.default_rng(7)
+_BYTES = _RANDOM.integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_OTHERS = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def normalise(text: str) -> str:
@@ -40,107 +63,268 @@ def normalise(text: str) -> str:
     return text.translate(_GAPS) if text.isascii() else _OTHER.sub(" ", text)
 
 
-class _Words:
-    """The weight of each word, and its 64-bit hash's set bits times the weight, as growing arrays."""
-
-    def __init__(self):
-        self._at: dict[str, int] = {}
-        self.weight = np.empty(1024, np.int64)
-        self.votes = np.empty((1024, BITS // 8), np.uint64)  # a byte for each bit
-
-    def places(self, words: list[str]) -> np.ndarray:
-        new = [w for w in set(words) if w not in self._at]
-        if len(self._at) + len(new) > CACHE_LIMIT:
-            self._at.clear()
-            new = list(set(words))
-        first, last = len(self._at), len(self._at) + len(new)
-        while last > len(self.votes):
-            self.weight = np.concatenate([self.weight, np.empty_like(self.weight)])
-            self.votes = np.concatenate([self.votes, np.empty_like(self.votes)])
-        if new:
-            self._at.update(zip(new, range(first, last)))
-            raw = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, map(str.encode, new))), np.uint8)
-            bits = np.unpackbits(raw.reshape(-1, BITS // 8), axis=1)
-            # longer words say more about a line
-            weight = np.array([1 + min(3, len(w) // 3) for w in new], np.uint8)
-            self.weight[first:last] = weight
-            self.votes[first:last] = (bits * weight[:, None]).view(np.uint64)
-        return np.fromiter(map(self._at.__getitem__, words), np.int64, len(words))
-
-
-def _grams(words: list[str]) -> list[str]:
-    line = " ".join(words)
-    return [line[k : k + GRAM] for k in range(max(1, len(line) - GRAM + 1))]
-
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(32))
+    x = x * np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
-def _fingerprints(known: _Words, lines: list[list[str]], least_words: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(n, 2) ids of the word sequences and (n,) SimHashes; every line has a word.
 
-    Lines of fewer than least_words words have SimHashes of their character n-grams.
-    """
-    parts = [line if len(line) >= least_words else _grams(line) for line in lines]
-    sizes = np.fromiter(map(len, parts), np.int64, len(lines))
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    at = known.places([w for part in parts for w in part])
-    ids = np.frombuffer(b"".join(xxhash.xxh3_128_digest(" ".join(line).encode()) for line in lines), "<u8").reshape(-1, 2)
-    # eight votes are added at once, over spans of words that no byte overflows in
-    spans = -(-sizes // SPAN)
-    first = np.cumsum(spans) - spans
-    begin = np.repeat(starts, spans) + (np.arange(spans.sum()) - np.repeat(first, spans)) * SPAN
-    votes = np.add.reduceat(known.votes[at], begin, axis=0).view(np.uint8)
-    if len(begin) > len(starts):
-        votes = np.add.reduceat(votes, first, axis=0, dtype=np.int64)
-    total = np.add.reduceat(known.weight[at], starts)
-    return ids, np.packbits(2 * votes.astype(np.int64) > total[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
-
-
-def lines_of(docs: DataFrame, least_words: int = LEAST_WORDS, short: bool = False) -> DataFrame:
-    """(doc_id, text_id, line, h1, h2, sim) of every line of at least `least_words` words, in documents with an id.
-
-    With `short`, of every line with a word; sim is null where the line is too short for a fuzzy repetition.
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of _BASE and of its inverse."""
+    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+#: Enough for a span of ordinary lines; longer ones have their own.
+_POWERS = _powers(2 * SPAN)
+
+
+class _Sums:
+    """Hashes of any stretches of a sequence, from running sums of its values times powers of an odd base."""
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        up, self._back = _POWERS if n < 2 * SPAN else _powers(n + 1)
+        self._total = np.zeros(n + 1, np.uint64)
+        np.cumsum(values * up[:n], out=self._total[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _mix((self._total[end] - self._total[start]) * self._back[start] + (end - start).astype(np.uint64))
+
+
+def _votes(words: np.ndarray) -> np.ndarray:
+    """(n, 8) uint64: a byte for each bit of each hash, so that eight votes are added at once."""
+    return np.unpackbits(words.view(np.uint8)).reshape(-1, 64).view(np.uint64)
+
+
+def _signs(votes: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.packbits(2 * votes.astype(np.int64) > size[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def _sums(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(n, 64) votes of words[start:end] for each stretch of 1 to 255 words."""
+    size = end - start
+    first = np.cumsum(size) - size
+    return np.add.reduceat(_votes(words[np.repeat(start - first, size) + np.arange(size.sum())]), first, axis=0).view(np.uint8)
+
+
+def _simhashes(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """SimHash of words[start:end] for each stretch of 1 to 255 words."""
+    return _signs(_sums(words, start, end), end - start) if len(start) else np.empty(0, np.uint64)
+
+
+def whole_simhashes(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """SimHash of words[start:end] of any length from 1, in pieces that a byte can count."""
+    if not len(start):
+        return np.empty(0, np.uint64)
+    pieces = -(-(end - start) // PART_WORDS)
+    first = np.cumsum(pieces) - pieces
+    a = np.repeat(start, pieces) + (np.arange(pieces.sum()) - np.repeat(first, pieces)) * PART_WORDS
+    votes = _sums(words, a, np.minimum(a + PART_WORDS, np.repeat(end, pieces)))
+    return _signs(np.add.reduceat(votes, first, axis=0, dtype=np.int64), end - start)
+
+
+def _without_one(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stretch, key): SimHashes of each stretch and of the stretch without each of its words."""
+    size = end - start
+    of = np.repeat(np.arange(len(start)), size)
+    first = np.cumsum(size) - size
+    own = _votes(words[np.repeat(start - first, size) + np.arange(size.sum())]).view(np.uint8).astype(np.int16)
+    total = np.add.reduceat(own, first, axis=0) if len(first) else own
+    whole = _signs(total, size)
+    less = _signs(total[of] - own, size[of] - 1)
+    # the number of words belongs to the key: few words make equal signs likely
+    keys = np.concatenate([_mix(whole + size.astype(np.uint64)), _mix(less + (size[of] - 1).astype(np.uint64))])
+    return np.concatenate([np.arange(len(start)), of]), keys
+
+
+#: Least lengths of the sizes that front and back blocks have.
+_LENGTHS = np.unique([int(5 * GROWTH**k) for k in range(40)])
+_LENGTHS = _LENGTHS[_LENGTHS <= LONG]
+
+
+def _ends(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stretch, key): pairs of SimHashes of two front and two back blocks."""
+    n = end - start
+    cell = np.searchsorted(_LENGTHS, n, "right") - 1
+    # the first length of a cell is one word from the cell before, and has its keys too
+    edge = (n == _LENGTHS[cell]) & (_LENGTHS[cell] // 4 != _LENGTHS[cell - 1] // 4)
+    of = np.concatenate([np.arange(len(n)), np.nonzero(edge)[0]])
+    cell = np.concatenate([cell, cell[edge] - 1])
+    a, b, quarter = start[of], end[of], _LENGTHS[cell] // 4
+    starts = np.stack([a, a + quarter, b - 2 * quarter, b - quarter])
+    sims = _simhashes(words, starts.T.ravel(), (starts + quarter).T.ravel()).reshape(-1, 4)
+    keys = []
+    for i in range(4):
+        for j in range(i + 1, 4):
+            tag = np.uint64(1000 + 10 * i + j) + quarter.astype(np.uint64) * np.uint64(100_000)
+            keys.append(_mix(_mix(sims[:, i]) * np.uint64(_BASE) + _mix(sims[:, j] ^ tag)))
+    return np.tile(of, 6), np.concatenate(keys)
+
+
+def _parts(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stretch, key): SimHashes of parts that are cut at words of least hash near even distances."""
+    n = end - start
+    parts = np.maximum(PARTS, n // PER_PART)
+    cuts = parts - 1
+    of = np.repeat(np.arange(len(n)), cuts)
+    first = np.cumsum(cuts) - cuts
+    number = np.arange(cuts.sum()) - np.repeat(first, cuts) + 1
+    even = start[of] + number * n[of] // parts[of]
+    # windows of neighbouring cuts do not overlap
+    reach = np.minimum(REACH, (n[of] // parts[of] - 1) // 2)
+    best, at = np.full(len(even), np.uint64(2**64 - 1)), even.copy()
+    for d in range(-REACH, REACH + 1):
+        inside = np.abs(d) <= reach
+        value = words[np.where(inside, even + d, even)]
+        better = inside & (value < best)
+        best, at = np.where(better, value, best), np.where(better, even + d, at)
+    edges = np.full(int((parts + 1).sum()), 0)
+    begin = np.cumsum(parts + 1) - parts - 1
+    edges[begin], edges[begin + parts] = start, end
+    edges[np.repeat(begin, cuts) + number] = at
+    inner = np.ones(len(edges), bool)
+    inner[begin + parts] = False
+    low = np.nonzero(inner)[0]
+    sims = _simhashes(words, edges[low], edges[low + 1])
+    return np.repeat(np.arange(len(n)), parts), _mix(sims + np.uint64(77))
+
+
+def block_keys(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of every line words[start:end]; two lines that share a key are candidates."""
+    n = end - start
+    found_of, found = [], []
+    # lengths where one rule ends and the next begins follow both
+    for rule, takes in ((_without_one, (n > 1) & (n <= SHORT + 1)), (_ends, (n >= 8) & (n <= LONG)), (_parts, n >= LONG)):
+        lines = np.nonzero(takes)[0]
+        if len(lines):
+            of, keys = rule(words, start[lines], end[lines])
+            found_of.append(lines[of])
+            found.append(keys)
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    return np.concatenate(found_of), np.concatenate(found)
+
+
+class Lines:
+    """The lines with a word of a stretch of text: line number, both halves of a 128-bit id, unit hashes.
+
+    A unit is a word; of lines of less than LEAST_WORDS words and at least LEAST_CHARS characters, a character; shorter
+    lines have no units to compare (first == last).
     """
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Words()
-        for pdf in batches_of(batches, 256):
-            where, lines, fuzzy = [], [], []
-            for doc_id, text_id, text in zip(pdf["doc_id"], pdf["_text_id"], pdf["text"]):
-                for n, line in enumerate(normalise(text).split("\n")):
-                    words = line.split()
-                    if len(words) >= least_words or short and words:
-                        where.append((doc_id, text_id, n))
-                        lines.append(words)
-                        fuzzy.append(len(words) >= least_words or sum(map(len, words)) + len(words) - 1 >= LEAST_CHARS)
-            if lines:
-                ids, sims = _fingerprints(known, lines, least_words)
-                sims = pd.Series(sims.view(np.int64)).astype("Int64").where(pd.Series(fuzzy))
-                out = pd.DataFrame(where, columns=["doc_id", "text_id", "line"])
-                yield out.assign(h1=ids[:, 0].view(np.int64), h2=ids[:, 1].view(np.int64), sim=sims)
-
-    wanted = docs.filter("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("text").alias("_text_id"))
-    return wanted.mapInPandas(split, "doc_id long, text_id long, line int, h1 long, h2 long, sim long")
-
-
-def block_keys() -> list[tuple[int, int]]:
-    """(number, bit mask) of every choice of BLOCKS - DISTANCE blocks."""
-    edges = np.linspace(0, BITS, BLOCKS + 1).astype(int)
-    blocks = [(1 << int(b)) - (1 << int(a)) for a, b in zip(edges, edges[1:])]
-    return list(enumerate(sum(c) for c in combinations(blocks, BLOCKS - DISTANCE)))
+    def __init__(self, text: str, least_words: int = LEAST_WORDS):
+        text = text.lower()
+        if not text.isascii():
+            text = _ODD.sub(" ", text)
+        data = text.encode("utf-8", "surrogatepass")
+        raw = np.frombuffer(data, np.uint8)
+        inside = np.concatenate([[False], _IN_WORD[raw], [False]])
+        change = np.nonzero(inside[1:] != inside[:-1])[0]
+        a, b = change[::2], change[1::2]
+        self.words = _Sums(_BYTES[raw]).of(a, b)
+        of = np.searchsorted(np.nonzero(raw == 10)[0], a)
+        new = np.nonzero(np.concatenate([[True], of[1:] != of[:-1]]))[0] if len(of) else np.empty(0, np.int64)
+        self.first, self.last = new, np.append(new[1:], len(of))
+        self.number = of[new]
+        self.id1 = _Sums(self.words).of(self.first, self.last)
+        self.id2 = _Sums(_mix(self.words ^ _OTHERS)).of(self.first, self.last)
+        few = np.nonzero(self.last - self.first < least_words)[0]
+        more, n = [self.words], len(self.words)
+        for k in few:
+            start, end = a[self.first[k]], b[self.last[k] - 1]
+            self.first[k] = self.last[k] = n
+            if end - start >= LEAST_CHARS:
+                line = " ".join(normalise(data[start:end].decode("utf-8", "surrogatepass")).split())
+                if len(line) >= LEAST_CHARS:
+                    more.append(_mix(np.array([*map(ord, line)], np.uint64) + np.uint64(1 << 40)))
+                    n += len(line)
+                    self.last[k] = n
+        self.words = np.concatenate(more)
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """(place in these arrays, key)."""
+        some = np.nonzero(self.last > self.first)[0]
+        of, keys = block_keys(self.words, self.first[some], self.last[some])
+        return some[of], keys
+
+
+def _spans(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, str]]:
+    """Texts joined to about SPAN characters; very long texts are cut at lines.
+
+    Of each piece: the number of its text, the line that it begins at in the joined text and in its own; and the text.
+    """
+    rows, held, size, lines = [], [], 0, 0
+    for k, text in enumerate(texts):
+        at, line = 0, 0
+        while at >= 0:
+            end = text.find("\n", at + SPAN) if len(text) - at > SPAN else -1
+            part = text[at:] if end < 0 else text[at:end]
+            rows.append((k, lines, line))
+            held.append(part)
+            n = part.count("\n") + 1
+            size, lines, line = size + len(part), lines + n, line + n
+            at = end + 1 if end >= 0 else -1
+            if size >= SPAN:
+                yield *np.array(rows).T, "\n".join(held)
+                rows, held, size, lines = [], [], 0, 0
+    if held:
+        yield *np.array(rows).T, "\n".join(held)
+
+
+def _with_id(docs: DataFrame) -> DataFrame:
+    return docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("text_id"), "text")
+
+
+def lines_of(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(doc_id, text_id, line, h1, h2, keys) of every line with a word, in documents with an id."""
+    schema = "doc_id long, text_id long, line int, h1 long, h2 long, keys array<long>"
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                for of, begins, starts, text in _spans(batch.column(2).to_pylist()):
+                    lines = Lines(text, least_words)
+                    piece = np.searchsorted(begins, lines.number, "right") - 1
+                    rows, number = pa.array(of[piece]), lines.number - begins[piece] + starts[piece]
+                    owner, keys = lines.keys()
+                    order = np.argsort(owner, kind="stable")
+                    offsets = np.searchsorted(owner[order], np.arange(len(number) + 1))
+                    listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[order].view(np.int64)))
+                    ids = [pa.array(h.view(np.int64)) for h in (lines.id1, lines.id2)]
+                    own = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays([*own, *ids, listed], names=["doc_id", "text_id", "line", "h1", "h2", "keys"])
+
+    return _with_id(docs).mapInArrow(split, schema)
 
 
 def edit_similar(a: str, b: str, percent: int) -> bool:
-    """Whether 100 * (1 - Levenshtein(a, b) / longer length) >= percent; only a band of the table is filled."""
+    """Whether 100 * (1 - Levenshtein(a, b) / longer length) >= percent."""
     if len(a) < len(b):
         a, b = b, a
     most = (100 - percent) * len(a) // 100
     if len(a) - len(b) > most:
         return False
+    if not b:
+        return len(a) <= most
+    # what both begin and end with changes nothing
+    low = 0
+    while low < len(b) and a[low] == b[low]:
+        low += 1
+    high = 0
+    while high < len(b) - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    a, b = a[low : len(a) - high], b[low : len(b) - high]
+    if not b or max(len(a), len(b)) <= most:
+        return max(len(a), len(b)) <= most
     # bit-parallel columns (Myers, Hyyro): vp and vn mark where the column rises and falls
     at: dict[str, int] = {}
     for i, c in enumerate(b):
         at[c] = at.get(c, 0) | 1 << i
-    if not b:
-        return len(a) <= most
     full, top = (1 << len(b)) - 1, 1 << (len(b) - 1)
     vp, vn, score = full, 0, len(b)
     for c in a:
@@ -153,127 +337,166 @@ def edit_similar(a: str, b: str, percent: int) -> bool:
     return score <= most
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, words) of the first occurrences `wanted` (node, doc_id, text_id, line); a bitmap spares the others."""
+def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, words, sim) of the lines at `wanted` (node, doc_id, text_id, line); a bitmap spares the others."""
     key = (F.col("text_id").bitwiseXOR(F.col("line").cast("long"))).alias("key")
     bitmap = docs.sparkSession.sparkContext.broadcast(membership_bitmap(wanted.select(key), "key"))
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches_of(batches, 256):
-            rows = []
-            for doc_id, text_id, text in zip(pdf["doc_id"], pdf["_text_id"], pdf["text"]):
-                lines = text.split("\n")
-                for n in np.nonzero(bitmap_has(bitmap.value, np.int64(text_id) ^ np.arange(len(lines))))[0]:
-                    rows.append((doc_id, text_id, int(n), " ".join(normalise(lines[n]).split())))
-            yield pd.DataFrame(rows, columns=["doc_id", "text_id", "line", "words"])
-
-    named = docs.filter("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("text").alias("_text_id"))
-    picked = named.mapInPandas(pick, "doc_id long, text_id long, line int, words string").distinct()
-    return picked.join(wanted, ["doc_id", "text_id", "line"]).select("node", "words")
+            counts = np.array([t.count("\n") + 1 for t in pdf["text"]])
+            of = np.repeat(np.arange(len(pdf)), counts)
+            number = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+            ids, texts = pdf["doc_id"].to_numpy(np.int64), pdf["text"].to_numpy()
+            text_ids = pdf["text_id"].to_numpy(np.int64)
+            here = np.nonzero(bitmap_has(bitmap.value, text_ids[of] ^ number))[0]
+            rows, last, lines = [], -1, []
+            for k, n in zip(of[here], number[here]):
+                if k != last:
+                    lines, last = texts[k].split("\n"), k
+                words = " ".join(normalise(lines[n]).split())
+                if words:
+                    rows.append((ids[k], text_ids[k], n, words))
+            if rows:
+                found = pd.DataFrame(rows, columns=["doc_id", "text_id", "line", "words"])
+                parsed = Lines("\n".join(found["words"]))  # every line has a word
+                some, sims = parsed.last > parsed.first, np.zeros(len(found), np.uint64)
+                sims[some] = whole_simhashes(parsed.words, parsed.first[some], parsed.last[some])
+                yield found.assign(sim=sims.view(np.int64))
+
+    picked = _with_id(docs).mapInPandas(pick, "doc_id long, text_id long, line int, words string, sim long")
+    return picked.join(wanted, ["doc_id", "text_id", "line"]).select("node", "words", "sim").dropDuplicates(["node"])
+
+
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)) <= NEAR
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of lines with SimHashes within NEAR bits and edit similarity `percent`."""
+
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches_of(batches, 4096):
+            pdf = pdf[_near(pdf["sim_a"].to_numpy(np.int64), pdf["sim_b"].to_numpy(np.int64))]
             good = [edit_similar(x, y, percent) for x, y in zip(pdf["words_a"], pdf["words_b"])]
             yield pdf.loc[good, ["a", "b"]]
 
-    a = texts.select(F.col("node").alias("a"), F.col("words").alias("words_a"))
-    b = texts.select(F.col("node").alias("b"), F.col("words").alias("words_b"))
+    a = texts.select(F.col("node").alias("a"), F.col("words").alias("words_a"), F.col("sim").alias("sim_a"))
+    b = texts.select(F.col("node").alias("b"), F.col("words").alias("words_b"), F.col("sim").alias("sim_b"))
     return pairs.join(a, "a").join(b, "b").mapInPandas(check, "a long, b long")
 
 
-def repeated_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, short: bool = False) -> DataFrame:
+def _mixed(met: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, node, part, n) of the keys of `met` (key, node) whose n members are still in different parts."""
+    placed = met.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+    ends = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"))
+    return placed.join(ends.filter("low < high").select("key", "n"), "key")
+
+
+def _links_within(mixed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between parts that meet in a key: one for each two parts that are linked, found block by block.
+
+    A key's members are dealt into blocks of about KEY_BLOCK, and a task compares two blocks: SimHashes of all pairs at
+    once, then the edit similarity of near ones whose parts it has not linked yet. A key of m members takes
+    m / KEY_BLOCK copies of each line's text.
+    """
+    blocks = F.ceil(F.col("n") / KEY_BLOCK)
+    dealt = mixed.withColumn("block", F.pmod(F.xxhash64("node"), blocks))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "part")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        part, node, sim = (pdf[c].to_numpy(np.int64) for c in ("part", "node", "sim"))
+        words, block, found = pdf["words"].to_numpy(), pdf["block"].to_numpy(np.int64), []
+        root = {p: p for p in part.tolist()}
+
+        def top(p: int) -> int:
+            while root[p] != p:
+                root[p] = p = root[root[p]]
+            return p
+
+        if len(root) > 1:
+            own, inside = np.nonzero(block == pdf["one"].iloc[0])[0], pdf["one"].iloc[0] == pdf["two"].iloc[0]
+            others = own if inside else np.nonzero(block != pdf["one"].iloc[0])[0]
+            for i in own:
+                for j in others[(part[others] != part[i]) & _near(sim[others], sim[i : i + 1])]:
+                    x, y = top(int(part[i])), top(int(part[j]))
+                    if x != y and (i < j or not inside) and edit_similar(words[i], words[j], percent):
+                        root[max(x, y)] = min(x, y)
+                        found.append((node[i], node[j]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return dealt.join(texts, "node").groupBy("key", "one", "two").applyInPandas(compare, "a long, b long")
+
+
+def repeated_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, text_id, line) of every line that repeats an earlier one, in documents named by id and text hash."""
-    lines = cut_table(lines_of(docs, least_words, short))
-    place = F.struct("doc_id", "text_id", "line")
-    groups = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("sim").alias("sim"), F.count("*").alias("n"))
-    groups = cut_table(groups.select("h1", "h2", "sim", "n", "first.*", F.xxhash64("h1", "h2").alias("node")))
-    # a key for each choice of blocks; the choice's number is part of it
-    masks = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(m if m < 1 << 63 else m - (1 << 64)).alias("mask")) for n, m in block_keys()])
-    keyed = groups.filter("sim is not null").select("node", "sim", F.explode(masks).alias("choice")).select(
-        F.xxhash64("choice.n", F.col("sim").bitwiseAND(F.col("choice.mask"))).alias("key"), "node", "sim"
-    )
-    by_key = Window.partitionBy("key")
-    centre = F.min(F.struct("node", "sim")).over(by_key)
-    centred = keyed.withColumn("centre", centre).withColumn("size", F.count("*").over(by_key))
-    # most keys of two members hold two lines that are far apart
-    far = F.bit_count(F.col("sim").bitwiseXOR(F.col("centre.sim"))) > DISTANCE
-    met = cut_table(centred.filter((F.col("size") > 2) | (F.col("node") != F.col("centre.node")) & ~far))
-    firsts = groups.select("node", "doc_id", "text_id", "line")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        return cut(_verified(pairs, cut(_texts(docs, cut(firsts.join(ends, "node", "left_semi")))), percent))
-
-    tried = cut(met.filter(F.col("node") != F.col("centre.node")).filter(~far).select(F.col("centre.node").alias("a"), F.col("node").alias("b")).distinct())
-    edges = verified(tried)
+    lines = cut_table(lines_of(docs, least_words))
+    keyed = lines.select(F.explode("keys").alias("key"), F.col("h1").alias("node"))
+    # all numbers, so that partial aggregation takes in the copies of a line
+    keys = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"))
+    keys = cut_table(keys.filter("low < high"))
+    # two members are a pair; of more, each is paired with the least at first
+    more = keys.filter("n > 2").select("key", "low")
+    met = cut_table(keyed.join(more, "key").groupBy("key", "node").agg(F.first("low").alias("low")))
+    pairs = keys.select(F.col("low").alias("a"), F.col("high").alias("b"))
+    pairs = cut_table(pairs.union(met.filter("low < node").select(F.col("low").alias("a"), F.col("node").alias("b"))).distinct())
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    at = lines.select(F.col("h1").alias("node"), "doc_id", "text_id", "line").join(ends, "node", "left_semi")
+    at = cut_table(at.groupBy("node").agg(*[F.first(c).alias(c) for c in ("doc_id", "text_id", "line")]))
+    texts = cut_table(line_texts(docs, at))
+    edges = cut(_verified(pairs, texts, percent))
     parts = connected_components(edges)
-    # keys with two members are done; in larger ones, members of different components may still be linked
-    more = met.filter("size > 2").select("key", "node", "sim")
-    for turn in range(2):
-        placed = more.join(parts, "node", "left").select("key", "node", "sim", F.coalesce("component", "node").alias("part"))
-        mixed = cut(
-            placed.withColumn("low", F.min("part").over(by_key)).withColumn("high", F.max("part").over(by_key))
-            .filter("low < high").select("key", "node", "sim", "part")
-        )
-        if mixed.isEmpty():
-            break
-        if turn == 0:  # another centre for each key
-            pick = F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node", "sim", "part")).over(by_key)
-            again = mixed.withColumn("centre", pick).filter("part <> centre.part")
-            again = again.filter(F.bit_count(F.col("sim").bitwiseXOR(F.col("centre.sim"))) <= DISTANCE)
-            again = again.select(F.col("centre.node").alias("a"), F.col("node").alias("b"))
-        else:
-            other = mixed.select("key", F.col("node").alias("b"), F.col("sim").alias("sim_b"), F.col("part").alias("part_b"))
-            near = (F.col("part") < F.col("part_b")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("sim_b"))) <= DISTANCE)
-            again = mixed.withColumnRenamed("node", "a").join(other, "key").filter(near).select("a", "b")
-        pairs = again.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            continue
-        found = verified(pairs)
-        tried = tried.union(pairs)
-        if not found.isEmpty():
-            edges = edges.union(found)
-            parts = connected_components(edges)
-    named = groups.select("h1", "h2", "n", "doc_id", "text_id", "line", "node").join(parts, "node", "left")
-    named = named.withColumn("part", F.coalesce("component", "node"))
-    of_part = named.groupBy("part").agg(F.min(place).alias("keep"), F.sum("n").alias("all")).filter("all > 1")
-    keep = named.join(of_part, "part").select("h1", "h2", "keep")
-    repeated = lines.join(keep, ["h1", "h2"]).withColumn("own", place).filter("own <> keep")
-    return repeated.select("doc_id", "text_id", "line")
+    # members of a key that are still in different components may be linked all the same
+    found = cut(_links_within(_mixed(met.select("key", "node"), parts), texts, percent))
+    if not found.isEmpty():
+        parts = connected_components(edges.union(found))
+    # lines of a component go by its name alone, equal lines outside of any by both halves of their id
+    own = F.col("component")
+    parts = parts.union(parts.select(own.alias("node"), own).distinct())
+    part = [F.coalesce("component", "h1").alias("part"), F.when(F.col("component").isNull(), F.col("h2")).alias("rest")]
+    named = lines.select("doc_id", "text_id", "line", "h1", "h2").join(parts.withColumnRenamed("node", "h1"), "h1", "left")
+    named = named.select("doc_id", "text_id", "line", *part)
+    again = named.groupBy("part", "rest").count().filter("count > 1").select(F.col("part").alias("of"), F.col("rest").alias("of_rest"))
+    same = (F.col("part") == F.col("of")) & F.col("rest").eqNullSafe(F.col("of_rest"))
+    named = cut_table(named.join(again, same).drop("of", "of_rest"))
+    place = F.struct("doc_id", "text_id", "line")
+    keep = named.groupBy("part", "rest").agg(F.min(place).alias("keep"))
+    keep = keep.select(F.col("part").alias("of"), F.col("rest").alias("of_rest"), "keep")
+    return named.join(keep, same).filter(place != F.col("keep")).select("doc_id", "text_id", "line")
 
 
 def dedup_lines(
-    docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, added: tuple[str, str] = ("n_lines", "dropped"), short: bool = False
+    docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, added: tuple[str, str] = ("n_lines", "dropped")
 ) -> DataFrame:
     """`docs` (doc_id, text, any more columns) without repeated lines, with n_lines and dropped (line numbers from 0).
 
     `added` names those two columns, for tables that have such names themselves.
 
-    Lines are separated by \n. Lines of fewer than `least_words` words stay, or with `short`, as the query and the
-    pipeline call it, are compared too: equal ones of any length, similar ones from LEAST_CHARS characters. Lines
-    without a word, null and empty texts, and rows with a null
+    Lines are separated by \\n. Equal lines are one whatever their length; similar ones are sought among lines of
+    `least_words` words or LEAST_CHARS characters. Lines without a word, null and empty texts, and rows with a null
     doc_id are left as they are (dropped is empty). A group's first line stays even if every other line of its
     document goes. Rows that share doc_id and text are one document and share the result; different texts under one
     doc_id are told apart. n_lines counts the lines before, 0 for a null text.
     """
-    gone = repeated_lines(docs, percent, least_words, short).groupBy("doc_id", "text_id")
-    gone = gone.agg(F.array_sort(F.collect_set("line")).alias("_dropped"))  # at most the lines of one document
-    gone = gone.select(F.col("doc_id").alias("_of"), F.col("text_id").alias("_text_of"), "_dropped")
-    joined = docs.join(gone, (F.col("doc_id") == F.col("_of")) & (F.xxhash64("text") == F.col("_text_of")), "left")
-    lines = F.split("text", "\n", -1)
-    left = F.filter(lines, lambda x, i: ~F.array_contains("_dropped", i))
-    text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    names = [F.col(f"`{c}`") if c != "text" else text.alias("text") for c in docs.columns]
-    return joined.select(
+    gone = repeated_lines(docs.select("doc_id", "text"), percent, least_words).groupBy("doc_id", "text_id")
+    gone = gone.agg(F.array_sort(F.collect_set("line")).alias("gone"))  # at most the lines of one document
+    gone = gone.select(F.struct("doc_id", "text_id").alias("at"), "gone")
+    # the table's own columns stay in one struct, so that no name of theirs can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    at = F.struct(F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("text_id"))
+    rows = rows.join(gone, at == F.col("at"), "left")
+    lines = F.split("row.text", "\n", -1)
+    left = F.filter(lines, lambda x, i: ~F.array_contains("gone", i))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n"))
+    names = [F.col(f"row.`{c}`") if c != "text" else text.alias("text") for c in docs.columns]
+    return rows.select(
         *names,
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(added[0]),
-        F.coalesce("_dropped", F.expr("cast(array() as array<int>)")).alias(added[1]),
+        F.when(F.col("row.text").isNotNull(), F.size(lines)).otherwise(0).cast("long").alias(added[0]),
+        F.coalesce("gone", F.expr("cast(array() as array<int>)")).alias(added[1]),
     )
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without repeated lines."""
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), short=True)
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -2,7 +2,8 @@ import random
 
 import numpy as np
 
-from outing.llm.line_dedup import DISTANCE, _fingerprints, _Words, dedup_lines, edit_similar, normalise, op7_line_dedup
+from outing.llm import line_dedup
+from outing.llm.line_dedup import Lines, dedup_lines, edit_similar, normalise, op7_line_dedup, whole_simhashes
 
 
 def levenshtein(a, b):
@@ -28,24 +29,23 @@ def test_edit_similarity():
 
 
 def brute(rows, percent, least):
+    """Every two lines compared by edit similarity alone: no fingerprint has a say."""
     where, words = [], []
     for doc_id, text in rows:
         if doc_id is None or text is None:
             continue
         for n, line in enumerate(text.split("\n")):
-            w = normalise(line).split()
-            if len(w) >= least:
+            if w := normalise(line).split():
                 where.append((doc_id, n))
-                words.append(w)
-    sims = [int(x) for x in _fingerprints(_Words(), words)[1]] if words else []
+                words.append(" ".join(w))
+    fuzzy = [w.count(" ") + 1 >= least or len(w) >= 20 for w in words]
     part = list(range(len(where)))
     for i in range(len(where)):
         for j in range(i):
-            a, b = " ".join(words[i]), " ".join(words[j])
-            near = bin(sims[i] ^ sims[j]).count("1") <= DISTANCE and edit_similar(a, b, percent)
-            if (a == b or near) and part[i] != part[j]:
-                x, y = part[i], part[j]
-                part = [x if p == y else p for p in part]
+            if part[i] != part[j]:
+                if words[i] == words[j] or fuzzy[i] and fuzzy[j] and edit_similar(words[i], words[j], percent):
+                    x, y = part[i], part[j]
+                    part = [x if p == y else p for p in part]
     keep = {}
     for p, w in zip(part, where):
         keep[p] = min(keep.get(p, w), w)
@@ -59,10 +59,11 @@ def brute(rows, percent, least):
     return sorted(out, key=str)
 
 
-def test_equals_brute_force(spark):
+def test_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SPAN", 1 << 18)
     rng = random.Random(3)
-    words = ["word%d" % i for i in range(300)]
-    bases = [rng.choices(words, k=rng.choice([4, 6, 12, 40, 60])) for _ in range(25)]
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(400)]
+    bases = [rng.choices(words, k=rng.choice([3, 6, 12, 20, 40, 60])) for _ in range(25)]
     rows = [(900, None), (901, ""), (None, "a b c d e f"), (902, "A b, c d e f!\n\n x\na B c  d_e f"), (903, "é" * 5000 + " a b c d")]
     for i in range(60):
         lines = []
@@ -73,14 +74,75 @@ def test_equals_brute_force(spark):
                 line[k] = rng.choice([line[k] + "x", line[k].upper() + "!", rng.choice(words)])
             lines.append(" ".join(line))
         rows.append((i, "\n".join(lines)))
+    rows.append((2000, "\n".join(" ".join(b) for b in bases)))  # every line is one change from one of these
     rng.shuffle(rows)
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7 as line", "8 as n")
+    clash = ["line", "n", "_dropped", "_of", "gone", "at", "row", "keys"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *[f"7 as {c}" for c in clash])
     got = dedup_lines(docs)
-    assert got.columns == ["doc_id", "text", "line", "n", "n_lines", "dropped"]
+    assert got.columns == ["doc_id", "text", *clash, "n_lines", "dropped"]
     got = sorted(((r.doc_id, r.text, r.n_lines, r.dropped) for r in got.collect()), key=str)
     assert got == brute(rows, 80, 5)
 
 
+def test_members_of_a_key_that_differ_from_its_centre(spark, monkeypatch):
+    """Lines with one common half and other halves from three families, in blocks of three."""
+    monkeypatch.setattr(line_dedup, "KEY_BLOCK", 3)
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(300)]
+    half = words[:10]
+    tails = [rng.choices(words, k=14) for _ in range(3)]
+    rows = []
+    for i in range(24):
+        tail = list(tails[i % 3])
+        tail[rng.randrange(7)] = words[100 + i]
+        rows.append((i, " ".join(half + tail)))
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got if not r.dropped) == [0, 1, 2]
+
+
+def test_recall_against_edit_similarity_by_length():
+    """One or two edits; the share of pairs within 80 % that meet in a key and pass the SimHash filter."""
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(3000)]
+    for low, high in ((5, 7), (8, 12), (13, 20), (21, 40), (41, 120)):
+        for edits in (1, 2) if low > 5 else (1,):
+            met = total = 0
+            while total < 300:
+                a = rng.choices(words, k=rng.randint(low, high))
+                b = list(a)
+                for _ in range(edits):
+                    k, kind = rng.randrange(len(b)), rng.randrange(4)
+                    b[k : k + (kind != 3)] = [[b[k] + "q"], [rng.choice(words)], [], [rng.choice(words)]][kind]
+                if a == b or len(b) < 5 or not edit_similar(" ".join(a), " ".join(b), 80):
+                    continue
+                lines = Lines(" ".join(a) + "\n" + " ".join(b))
+                owner, keys = lines.keys()
+                x, y = whole_simhashes(lines.words, lines.first, lines.last)
+                common = np.intersect1d(keys[owner == 0], keys[owner == 1])
+                met += len(common) > 0 and int(x ^ y).bit_count() <= line_dedup.NEAR
+                total += 1
+            assert met / total >= (0.99 if edits == 1 else 0.8), (low, edits, met / total)
+
+
+def test_lines_as_a_plain_parse():
+    text = "A b, C!\n\n--\nstraße été_x\n" + "字" * 30 + "\nx\u3000y “z”\nx y z"
+    lines = Lines(text)
+    assert lines.number.tolist() == [0, 3, 4, 5, 6] and (lines.last - lines.first).tolist() == [0, 0, 30, 0, 0]
+    assert lines.id1[3] == lines.id1[4] and lines.id2[3] == lines.id2[4] and len(set(lines.id1.tolist())) == 4
+    assert Lines("").number.tolist() == [] and len(Lines("--\n").keys()[0]) == 0
+
+
+def test_texts_are_cut_at_lines(monkeypatch):
+    monkeypatch.setattr(line_dedup, "SPAN", 10)
+    texts = ["a\nb", "", "one two three\nfour five six seven\neight", "x" * 50]
+    got = []
+    for of, begins, starts, text in line_dedup._spans(texts):
+        for n, line in enumerate(text.split("\n")):
+            k = np.searchsorted(begins, n, "right") - 1
+            got.append((int(of[k]), int(n - begins[k] + starts[k]), line))
+    assert got == [(k, n, line) for k, t in enumerate(texts) for n, line in enumerate(t.split("\n"))]
+
+
 def test_repeated_rows_and_empty_table(spark):
     rows = [(1, "one two three four five\nsix"), (1, "one two three four five\nsix"), (2, "One two three four five."), (1, "zero\none two three four five")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -89,13 +151,6 @@ def test_repeated_rows_and_empty_table(spark):
     assert dedup_lines(docs.filter("doc_id > 9")).collect() == []
 
 
-def test_fingerprints_do_not_depend_on_batches():
-    known = _Words()
-    a = _fingerprints(known, [["a", "b"], ["c"]])
-    b = _fingerprints(known, [["c"], ["x", "y"], ["a", "b"]])
-    assert (a[0][0] == b[0][2]).all() and a[1][0] == b[1][2] and np.unique(a[0]).size == 4
-
-
 def test_short_lines_and_scripts_without_spaces(spark, tmp_path):
     chinese = "这是一个没有空格的很长的句子用来测试重复的行是否会被找到并且删除"
     rows = [
@@ -107,12 +162,13 @@ def test_short_lines_and_scripts_without_spaces(spark, tmp_path):
     assert got == {1: (rows[0][1], []), 2: ("--\n\nx", [0, 3, 4]), 3: ("Read less.", [1, 2])}
 
 
-def test_long_lines_without_spaces_are_compared_by_characters():
+def test_long_lines_without_spaces_are_compared_by_characters(spark):
     rng = random.Random(8)
-    near = far = 0
-    for _ in range(100):
-        line = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(200))
-        sims = _fingerprints(_Words(), [[line], [line + "了"], [line[::-1]]], 5)[1].tolist()
-        near += (sims[0] ^ sims[1]).bit_count() <= DISTANCE
-        far += (sims[0] ^ sims[2]).bit_count() <= DISTANCE
-    assert near > 50 and far == 0
+    rows = []
+    for i in range(20):
+        line = [chr(0x4E00 + rng.randrange(2000)) for _ in range(120)]
+        rows.append((2 * i, "".join(line)))
+        line[rng.randrange(120)] = "了"
+        rows.append((2 * i + 1, "".join(line)))
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got if r.dropped) == list(range(1, 40, 2))

@@ -31,14 +31,14 @@ from pyspark.sql import functions as F
 from outing.llm.common import batches_of, bitmap_has, connected_components, cut, cut_table, membership_bitmap, table
 
 #: Words up to which every single word is left out; words up to which there are front and back blocks; parts beyond.
-SHORT, LONG, PARTS = 12, 48, 8
+SHORT, LONG, PARTS = 12, 48, 6
 #: Words of a part of a line that has more than PARTS, and words around an even cut among which the least hash is
 #: sought; words whose votes a byte can count for certain.
 PER_PART, REACH, PART_WORDS = 16, 3, 200
 #: Neighbouring lengths share their block size: each size is this much larger than the one before.
 GROWTH = 1.2
 #: Bits of 64 that the SimHashes of two whole lines may differ in.
-NEAR = 24
+NEAR = 22
 #: Lines with fewer words say too little to be a fuzzy repetition, unless they have so many characters; such lines are
 #: compared by their characters instead of words, as scripts without spaces need.
 LEAST_WORDS, LEAST_CHARS = 5, 20
@@ -117,14 +117,24 @@ def _simhashes(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 
 def whole_simhashes(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """SimHash of words[start:end] of any length from 1, in pieces that a byte can count."""
+    """SimHash of the distinct words of each stretch, of any length from 1; frequent words weigh no more than rare."""
     if not len(start):
         return np.empty(0, np.uint64)
-    pieces = -(-(end - start) // PART_WORDS)
+    size = end - start
+    of, first = np.repeat(np.arange(len(start)), size), np.cumsum(size) - size
+    found = words[np.repeat(start - first, size) + np.arange(size.sum())]
+    order = np.lexsort((found, of))
+    of, found = of[order], found[order]
+    new = np.concatenate([[True], (of[1:] != of[:-1]) | (found[1:] != found[:-1])])
+    of, found = of[new], found[new]
+    size = np.bincount(of, minlength=len(start))
+    start = np.cumsum(size) - size
+    # in pieces that a byte can count
+    pieces = -(-size // PART_WORDS)
     first = np.cumsum(pieces) - pieces
     a = np.repeat(start, pieces) + (np.arange(pieces.sum()) - np.repeat(first, pieces)) * PART_WORDS
-    votes = _sums(words, a, np.minimum(a + PART_WORDS, np.repeat(end, pieces)))
-    return _signs(np.add.reduceat(votes, first, axis=0, dtype=np.int64), end - start)
+    votes = _sums(found, a, np.minimum(a + PART_WORDS, np.repeat(start + size, pieces)))
+    return _signs(np.add.reduceat(votes, first, axis=0, dtype=np.int64), size)
 
 
 def _without_one(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,8 +184,8 @@ def _parts(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     first = np.cumsum(cuts) - cuts
     number = np.arange(cuts.sum()) - np.repeat(first, cuts) + 1
     even = start[of] + number * n[of] // parts[of]
-    # windows of neighbouring cuts do not overlap
-    reach = np.minimum(REACH, (n[of] // parts[of] - 1) // 2)
+    # a part keeps half of its even length at least
+    reach = np.minimum(REACH, n[of] // parts[of] // 4)
     best, at = np.full(len(even), np.uint64(2**64 - 1)), even.copy()
     for d in range(-REACH, REACH + 1):
         inside = np.abs(d) <= reach
@@ -189,8 +199,15 @@ def _parts(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     inner = np.ones(len(edges), bool)
     inner[begin + parts] = False
     low = np.nonzero(inner)[0]
-    sims = _simhashes(words, edges[low], edges[low + 1])
-    return np.repeat(np.arange(len(n)), parts), _mix(sims + np.uint64(77))
+    sims, size = _simhashes(words, edges[low], edges[low + 1]), (edges[low + 1] - edges[low]).astype(np.uint64)
+    # copies of one word have its SimHash, however many they are
+    line, keys = np.repeat(np.arange(len(n)), parts), _mix(_mix(sims) + size)
+    # parts that say one or two words over and over are poor evidence: the line's distinct words stand in
+    runs = np.concatenate([[0], np.cumsum(words[1:] != words[:-1])])
+    poor = runs[edges[low + 1] - 1] - runs[edges[low]] < 2
+    some, back = np.unique(line[poor], return_inverse=True)
+    keys[poor] = _mix(whole_simhashes(words, start[some], end[some]) ^ np.uint64(1 << 40))[back]
+    return line, keys
 
 
 def block_keys(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,10 +263,14 @@ class Lines:
         self.words = np.concatenate(more)
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """(place in these arrays, key)."""
+        """(place in these arrays, in order; key), each once."""
         some = np.nonzero(self.last > self.first)[0]
         of, keys = block_keys(self.words, self.first[some], self.last[some])
-        return some[of], keys
+        order = np.lexsort((keys, of))
+        of, keys = of[order], keys[order]
+        new = np.ones(len(of), bool)
+        new[1:] = (of[1:] != of[:-1]) | (keys[1:] != keys[:-1])
+        return some[of[new]], keys[new]
 
 
 def _spans(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, str]]:
@@ -292,9 +313,8 @@ def lines_of(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
                     piece = np.searchsorted(begins, lines.number, "right") - 1
                     rows, number = pa.array(of[piece]), lines.number - begins[piece] + starts[piece]
                     owner, keys = lines.keys()
-                    order = np.argsort(owner, kind="stable")
-                    offsets = np.searchsorted(owner[order], np.arange(len(number) + 1))
-                    listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[order].view(np.int64)))
+                    offsets = np.searchsorted(owner, np.arange(len(number) + 1))
+                    listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.view(np.int64)))
                     ids = [pa.array(h.view(np.int64)) for h in (lines.id1, lines.id2)]
                     own = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number.astype(np.int32))]
                     yield pa.RecordBatch.from_arrays([*own, *ids, listed], names=["doc_id", "text_id", "line", "h1", "h2", "keys"])
@@ -327,7 +347,9 @@ def edit_similar(a: str, b: str, percent: int) -> bool:
         at[c] = at.get(c, 0) | 1 << i
     full, top = (1 << len(b)) - 1, 1 << (len(b) - 1)
     vp, vn, score = full, 0, len(b)
-    for c in a:
+    for k, c in enumerate(a):
+        if score - (len(a) - k) > most:  # every letter left can take one off at most
+            return False
         x = at.get(c, 0) | vn
         d0 = ((((x & vp) + vp) ^ vp) | x) & full
         hp, hn = (vn | ~(d0 | vp)) & full, d0 & vp
@@ -396,18 +418,19 @@ def _mixed(met: DataFrame, parts: DataFrame) -> DataFrame:
 def _links_within(mixed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between parts that meet in a key: one for each two parts that are linked, found block by block.
 
-    A key's members are dealt into blocks of about KEY_BLOCK, and a task compares two blocks: SimHashes of all pairs at
-    once, then the edit similarity of near ones whose parts it has not linked yet. A key of m members takes
+    A key's members are dealt into blocks of about KEY_BLOCK, and a task compares two blocks at a time: SimHashes of
+    all pairs at once, then the edit similarity of near ones whose parts it has not linked yet. A key of m members takes
     m / KEY_BLOCK copies of each line's text.
     """
     blocks = F.ceil(F.col("n") / KEY_BLOCK)
     dealt = mixed.withColumn("block", F.pmod(F.xxhash64("node"), blocks))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)))
     dealt = dealt.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "part")
+    groups = ["key", "one", "two"]
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        part, node, sim = (pdf[c].to_numpy(np.int64) for c in ("part", "node", "sim"))
-        words, block, found = pdf["words"].to_numpy(), pdf["block"].to_numpy(np.int64), []
+    def links(rows: pd.DataFrame) -> list[tuple[int, int]]:
+        part, node, sim, block = (rows[c].to_numpy(np.int64) for c in ("part", "node", "sim", "block"))
+        words, found = rows["words"].to_numpy(), []
         root = {p: p for p in part.tolist()}
 
         def top(p: int) -> int:
@@ -415,18 +438,37 @@ def _links_within(mixed: DataFrame, texts: DataFrame, percent: int) -> DataFrame
                 root[p] = p = root[root[p]]
             return p
 
-        if len(root) > 1:
-            own, inside = np.nonzero(block == pdf["one"].iloc[0])[0], pdf["one"].iloc[0] == pdf["two"].iloc[0]
-            others = own if inside else np.nonzero(block != pdf["one"].iloc[0])[0]
-            for i in own:
-                for j in others[(part[others] != part[i]) & _near(sim[others], sim[i : i + 1])]:
-                    x, y = top(int(part[i])), top(int(part[j]))
-                    if x != y and (i < j or not inside) and edit_similar(words[i], words[j], percent):
-                        root[max(x, y)] = min(x, y)
-                        found.append((node[i], node[j]))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return dealt.join(texts, "node").groupBy("key", "one", "two").applyInPandas(compare, "a long, b long")
+        one, inside = rows["one"].iloc[0], rows["one"].iloc[0] == rows["two"].iloc[0]
+        own, others = np.nonzero(block == one)[0], np.nonzero((block != one) | inside)[0]
+        for i in own if len(root) > 1 else ():
+            for j in others[(part[others] != part[i]) & _near(sim[others], sim[i : i + 1])]:
+                x, y = top(int(part[i])), top(int(part[j]))
+                if x != y and (i < j or not inside) and edit_similar(words[i], words[j], percent):
+                    root[max(x, y)] = min(x, y)
+                    found.append((node[i], node[j]))
+        return found
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            # rows come in order of the groups; the last group may go on in the next batch
+            new = (pdf[groups].to_numpy()[1:] != pdf[groups].to_numpy()[:-1]).any(axis=1)
+            cuts, found = [0, *(np.nonzero(new)[0] + 1), len(pdf)], []
+            for a, b in zip(cuts, cuts[1:]):
+                rows = pdf.iloc[a:b]
+                if held and (held[-1][groups].iloc[-1] != rows[groups].iloc[0]).any():
+                    found += links(pd.concat(held))
+                    held = []
+                if b < len(pdf) and not held:
+                    found += links(rows)
+                elif len(rows):
+                    held.append(rows)
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        if held:
+            yield pd.DataFrame(links(pd.concat(held)), columns=["a", "b"], dtype="int64")
+
+    rows = dealt.join(texts, "node").repartition(*groups).sortWithinPartitions(*groups)
+    return rows.mapInPandas(compare, "a long, b long")
 
 
 def repeated_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:

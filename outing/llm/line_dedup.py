@@ -13,7 +13,7 @@ word turns a fifth of the bits of a line of six words, and no set of bit blocks
   key, so all but one may change, and words added or gone move few cuts.
 
 Pairs that meet are filtered by the Hamming distance of SimHashes of the whole lines (NEAR bits, a bound that edits
-within PERCENT hardly ever pass) and verified by edit similarity. Linked lines form connected groups, and of each group
+within PERCENT hardly ever pass), by half of their distinct words in common, and verified by edit similarity. Linked lines form connected groups, and of each group
 the first occurrence stays: the one with the smallest (doc_id, line number).
 """
 
@@ -42,6 +42,8 @@ NEAR = 22
 #: Lines with fewer words say too little to be a fuzzy repetition, unless they have so many characters; such lines are
 #: compared by their characters instead of words, as scripts without spaces need.
 LEAST_WORDS, LEAST_CHARS = 5, 20
+#: Longest line of those whose edit distances are found side by side, and how many are.
+SIDE_BY_SIDE, PACK = 1000, 24
 #: Edit similarity (1 - distance / longer length, in characters of the normalised lines) in percent.
 PERCENT = 80
 #: Characters of text that are parsed at once (more only where one line is longer), and lines of a block of a key.
@@ -359,6 +361,51 @@ def edit_similar(a: str, b: str, percent: int) -> bool:
     return score <= most
 
 
+def _letters(text: str) -> dict[str, int]:
+    """Each character's places in the text, as bits."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(text):
+        at[c] = at.get(c, 0) | 1 << i
+    return at
+
+
+def similar_to(a: str, others: list[str], percent: int, letters: list[dict[str, int]] | None = None) -> list[bool]:
+    """edit_similar(a, b, percent) for each b of others: short lines side by side in one number's bits."""
+    if len(others) < 3 or max(map(len, others)) > SIDE_BY_SIDE:
+        return [edit_similar(a, b, percent) for b in others]
+    letters = letters or [_letters(b) for b in others]
+    starts, n = [], 0
+    for b in others:
+        starts.append(n)
+        n += len(b) + 1  # a bit between takes the carry
+    at = {c: sum(of[c] << start for of, start in zip(letters, starts) if c in of) for c in set(a)}
+    full = sum((1 << len(b)) - 1 << start for b, start in zip(others, starts))
+    first = sum(1 << start for b, start in zip(others, starts) if b)
+    vp, vn = full, 0
+    for c in a:
+        x = at[c] | vn
+        d0 = ((((x & vp) + vp) ^ vp) | x) & full
+        hp, hn = (vn | ~(d0 | vp)) & full, d0 & vp
+        hp, hn = ((hp << 1) | first) & full, (hn << 1) & full
+        vp, vn = (hn | ~(d0 | hp)) & full, d0 & hp
+    # the distance is that of the empty text, len(a), plus the last column's steps
+    found = []
+    for b, start in zip(others, starts):
+        own = (1 << len(b)) - 1
+        distance = len(a) + (vp >> start & own).bit_count() - (vn >> start & own).bit_count()
+        found.append(100 * distance <= (100 - percent) * max(len(a), len(b)))
+    return found
+
+
+def _sets(words: list[str], least_words: int) -> list[set[str]]:
+    """The units of lines: distinct words, or characters of lines that have few."""
+    return [set(w.split(" ")) if w.count(" ") >= least_words - 1 else set(w) for w in words]
+
+
+def _share(a: set[str], b: set[str]) -> bool:
+    return 2 * len(a & b) >= max(len(a), len(b))
+
+
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, words, sim) of the lines at `wanted` (node, doc_id, text_id, line); a bitmap spares the others."""
     key = (F.col("text_id").bitwiseXOR(F.col("line").cast("long"))).alias("key")
@@ -395,17 +442,25 @@ def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of lines with SimHashes within NEAR bits and edit similarity `percent`."""
+    """The pairs (a, b) of lines with SimHashes within NEAR bits, half their units in common, and edit similarity."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches_of(batches, 4096):
             pdf = pdf[_near(pdf["sim_a"].to_numpy(np.int64), pdf["sim_b"].to_numpy(np.int64))]
-            good = [edit_similar(x, y, percent) for x, y in zip(pdf["words_a"], pdf["words_b"])]
-            yield pdf.loc[good, ["a", "b"]]
+            good = []
+            for a, rows in pdf.groupby("a"):
+                words, b = rows["words_a"].iloc[0], rows["words_b"].tolist()
+                own, *units = _sets([words, *b], LEAST_WORDS)
+                live = [k for k, u in enumerate(units) if _share(own, u)]
+                for k in range(0, len(live), PACK):
+                    some = live[k : k + PACK]
+                    same = similar_to(words, [b[j] for j in some], percent)
+                    good += [(a, rows["b"].iloc[j]) for j, x in zip(some, same) if x]
+            yield pd.DataFrame(good, columns=["a", "b"], dtype="int64")
 
     a = texts.select(F.col("node").alias("a"), F.col("words").alias("words_a"), F.col("sim").alias("sim_a"))
     b = texts.select(F.col("node").alias("b"), F.col("words").alias("words_b"), F.col("sim").alias("sim_b"))
-    return pairs.join(a, "a").join(b, "b").mapInPandas(check, "a long, b long")
+    return pairs.join(b, "b").join(a, "a").mapInPandas(check, "a long, b long")
 
 
 def _mixed(met: DataFrame, parts: DataFrame) -> DataFrame:
@@ -439,13 +494,21 @@ def _links_within(mixed: DataFrame, texts: DataFrame, percent: int) -> DataFrame
             return p
 
         one, inside = rows["one"].iloc[0], rows["one"].iloc[0] == rows["two"].iloc[0]
+        if len(root) < 2:
+            return found
         own, others = np.nonzero(block == one)[0], np.nonzero((block != one) | inside)[0]
-        for i in own if len(root) > 1 else ():
-            for j in others[(part[others] != part[i]) & _near(sim[others], sim[i : i + 1])]:
-                x, y = top(int(part[i])), top(int(part[j]))
-                if x != y and (i < j or not inside) and edit_similar(words[i], words[j], percent):
-                    root[max(x, y)] = min(x, y)
-                    found.append((node[i], node[j]))
+        units, letters = _sets(words.tolist(), LEAST_WORDS), [_letters(w) if len(w) <= SIDE_BY_SIDE else {} for w in words]
+        for i in own:
+            near = others[(part[others] != part[i]) & _near(sim[others], sim[i : i + 1])]
+            left = [int(j) for j in near if (i < j or not inside) and _share(units[i], units[j])]
+            while left:
+                left = [j for j in left if top(int(part[j])) != top(int(part[i]))]
+                some, left = left[:PACK], left[PACK:]
+                for j, same in zip(some, similar_to(words[i], [words[j] for j in some], percent, [letters[j] for j in some])):
+                    x, y = top(int(part[i])), top(int(part[j]))
+                    if same and x != y:
+                        root[max(x, y)] = min(x, y)
+                        found.append((node[i], node[j]))
         return found
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

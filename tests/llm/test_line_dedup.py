@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from outing.llm import line_dedup
-from outing.llm.line_dedup import Lines, dedup_lines, edit_similar, normalise, op7_line_dedup, whole_simhashes
+from outing.llm.line_dedup import Lines, dedup_lines, edit_similar, normalise, op7_line_dedup, similar_to, whole_simhashes
 
 
 def levenshtein(a, b):
@@ -26,6 +26,10 @@ def test_edit_similarity():
         for percent in (80, 90):
             n = max(len(a), len(b))
             assert edit_similar(a, b, percent) == (100 * levenshtein(a, b) <= (100 - percent) * n), (a, b)
+        others = [b, a, "", a[1:], "xyz", b[:9], a + b]
+        for percent in (20, 80):
+            want = [100 * levenshtein(a, x) <= (100 - percent) * max(len(a), len(x)) for x in others]
+            assert similar_to(a, others, percent) == want, (a, others)
 
 
 def brute(rows, percent, least):

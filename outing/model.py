@@ -128,6 +128,46 @@ QUESTION_PATTERNS = (
     (r"\b(?:seniors?|elderly|active ageing)\b", "seniors"),
 )
 
+#: Phrases of dates in questions, in the order in which they are tried, and the window each stands for.
+QUESTION_DATES = (
+    (r"\btonight\b", "tonight"),
+    (r"\btoday\b", "today"),
+    (r"\btomorrow\b", "tomorrow"),
+    (r"\b(?:this|on|coming)?\s*mondays?\b", "monday"),
+    (r"\b(?:this|on|coming)?\s*tuesdays?\b", "tuesday"),
+    (r"\b(?:this|on|coming)?\s*wednesdays?\b", "wednesday"),
+    (r"\b(?:this|on|coming)?\s*thursdays?\b", "thursday"),
+    (r"\b(?:this|on|coming)?\s*fridays?\b", "friday"),
+    (r"\b(?:this|on|coming)?\s*saturdays?\b", "saturday"),
+    (r"\b(?:this|on|coming)?\s*sundays?\b", "sunday"),
+    (r"\b(?:this|the|over the|on)?\s*weekends?\b", "weekend"),
+    (r"\bnext week\b", "next_week"),
+    (r"\b(?:this week|next 7 days|the next week)\b", "week"),
+    (r"\b(?:this month|next 30 days|coming month)\b", "month"),
+)
+
+#: Other phrases of questions; the place of QUESTION_SPOT is written with capitals, the rest in either case.
+QUESTION_AREA_WORDS = r"\b(in|near|around|at)\s+"
+QUESTION_SPOT = r"\b(?:near|around|close to|next to|at)\s+((?:[A-Z][\w'&-]*|MRT|CC|Mall)(?:\s+(?:[A-Z][\w'&-]*|MRT|CC|Mall|Station))*)"
+QUESTION_POSTAL = r"\b(?:near|around|at)?\s*(?:singapore\s*)?(\d{6})\b"
+QUESTION_REGION = r"\b(?:in|around)\s+(?:the\s+)?(north[- ]?east|north|east|west|central)(?:ern)?\b(?!\s+coast)"
+QUESTION_NEAR_ME = r"\b(?:near me|nearby|near here|around me|close to me|close by)\b"
+QUESTION_RADIUS = r"\bwithin\s+(\d+(?:\.\d+)?)\s*(?:km|kilometres?|kilometers?)\b"
+QUESTION_FREE = r"\bfree(?: of charge)?\b(?! time)"
+QUESTION_ONLINE = r"\b(?:online|virtual|webinars?|zoom)\b"
+QUESTION_YOUNG = r"\byouth|teen"
+
+#: Texts of answers.
+NO_MATCHES = "I couldn't find any events that match. Try a wider radius, a longer date range or fewer categories."
+CLOSEST = "Here are the closest matches I found:"
+OTHERS_BEFORE = "I couldn't find close matches for “"
+OTHERS_AFTER = "”. Other events that fit your dates and place:"
+
+#: Where a written range of dates or times is split, and what tells its halves apart.
+RANGE_SPLIT = r"\s*(?:–|—|\s-\s|(?<=\d)-(?=\d)|(?<=[ap]m)-|\bto\b|\buntil\b|\btill\b)\s*"
+TEXT_HAS_YEAR = r"\b(?:19|20)\d{2}\b"
+NIGHT_BEFORE_HOUR = 6  # events of web pages that seem to begin or end before are likely to be labelled wrong
+
 #: Words of a question that carry no meaning for search.
 FILLER_WORDS = (
     "any anything are there what whats what's show me find events event happening some good please i "

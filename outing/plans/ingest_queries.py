@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from outing import bridge, model
-from outing.functions import geo, text, timewin
-from outing.operators import answers, dedup, ingest, lifecycle, questions
+from outing.functions import geo, text, timewin, when
+from outing.operators import answers, dedup, ingest, lifecycle, normalize, questions
 from outing.operators.search import with_venues
 from outing.plans.search_queries import text_of
 from outing.sources import pages
@@ -433,18 +433,107 @@ _TICKETS = f"SELECT CAST(id AS VARCHAR) AS source_event_id, title, strftime(star
 def question_filters(spark, sf_dir):
     c = bridge.read(spark, sf_dir, "conversations").filter("role = 'user'")
     asks = F.array(*[F.lit(x) for x in ("free workshops this weekend near Bedok", "tech meetups within 3 km tonight", "concert in the east next week", "anything near me tomorrow online")])
-    c = c.select("conv_id", "turn", F.concat_ws(" ", F.element_at(asks, ((F.col("conv_id") + F.col("turn")) % 4 + 1).cast("int")), F.substring("text", 1, 40)).alias("question"))
+    c = c.select("conv_id", "turn", F.concat_ws(" ", F.element_at(asks, ((F.col("conv_id") + F.col("turn")) % 4 + 1).cast("int")), F.col("text")).alias("question"))
     got = questions.parse_batch(c, bridge.NOW)
     return got.select("conv_id", "turn", "leftover", F.array_join("categories", ",").alias("categories"), text_of("date_from").alias("date_from"), "place", "region", "near_me", "radius_km", "is_free", "online_only")
 
 
+def _raw_times(spark, sf_dir):
+    """Events with their times as five kinds of text, by id: UTC, local, feed, dates alone and human text."""
+    e = bridge.events(spark, sf_dir)
+    texts = lambda c, human: F.element_at(
+        F.array(
+            F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.date_format(c, "yyyyMMdd'T'HHmmss'Z'"),
+            F.date_format(c, "yyyy-MM-dd"), human,
+        ),
+        (F.col("id") % 5 + 1).cast("int"),
+    )
+    human = F.concat(F.date_format("starts_at", "EEE d MMM yyyy, h:mm"), F.lower(F.date_format("starts_at", "a")))
+    return e.withColumn("start_raw", texts(F.col("starts_at"), human)).withColumn("end_raw", texts(F.col("ends_at"), F.lit("11pm")))
+
+
+_RAW_TIMES = f"""SELECT *, CASE WHEN id % 5 = 3 THEN CAST(s AS DATE) - INTERVAL 8 HOUR WHEN id % 5 IN (0, 2) THEN s WHEN id % 5 = 1 THEN s - INTERVAL 8 HOUR
+      ELSE date_trunc('minute', s) - INTERVAL 8 HOUR END AS s_utc,
+    CASE WHEN id % 5 = 3 THEN CAST(t AS DATE) + INTERVAL 16 HOUR WHEN id % 5 IN (0, 2) THEN t WHEN id % 5 = 1 THEN t - INTERVAL 8 HOUR
+      ELSE CAST(s AS DATE) + INTERVAL 15 HOUR + CASE WHEN date_trunc('minute', s) >= CAST(s AS DATE) + INTERVAL 23 HOUR THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END END AS t_utc
+  FROM (SELECT *, date_trunc('second', starts_at) AS s, date_trunc('second', ends_at) AS t FROM {_E})"""
+
+
+def parse_when(spark, sf_dir):
+    rows = _raw_times(spark, sf_dir).withColumn("fetched_at", F.lit(str(bridge.NOW)).cast("timestamp_ntz"))
+    rows = when.parse_when(rows, "start_raw", "end_raw", "fetched_at", "w")
+    return rows.select("id", text_of("w.starts_at").alias("starts_at"), text_of("w.ends_at").alias("ends_at"), "w.all_day")
+
+
+_PARSE_WHEN = f"""SELECT id, strftime(s_utc, '%Y-%m-%d %H:%M:%S') AS starts_at, strftime(CASE WHEN t_utc >= s_utc THEN t_utc END, '%Y-%m-%d %H:%M:%S') AS ends_at,
+  id % 5 = 3 AS all_day FROM ({_RAW_TIMES})"""
+
+
+def normalise_events(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    raw = _raw_times(spark, sf_dir).select(
+        "id", F.lit("web").alias("source_id"), F.concat(F.lit("https://example.com/"), F.col("id").cast("string")).alias("source_url"), none.alias("source_event_id"),
+        F.when(F.col("id") % 11 == 0, F.lit("  ")).otherwise(F.concat(F.lit("  "), F.replace("title", F.lit(" "), F.lit("  ")))).alias("title"), "description", "start_raw", "end_raw",
+        F.lit(str(bridge.NOW)).cast("timestamp_ntz").alias("fetched_at"), F.when(F.col("id") % 2 == 0, "Main  Hall").otherwise("Online").alias("venue_raw"), none.alias("address_raw"),
+        none.alias("postal_code"), (F.col("lat") + F.when(F.col("id") % 7 == 0, 10).otherwise(0)).alias("lat"), "lng",
+        F.when(F.col("id") % 3 == 0, "Free entry").when(F.col("id") % 3 == 1, "From S$12.50").alias("price_raw"), none.alias("mode_raw"), F.lit(" ").alias("organizer"),
+        F.lit("en").alias("language"), none.alias("image_url"), none.alias("registration_url"), F.array().cast("array<string>").alias("source_tags"), none.alias("raw_payload"),
+    )
+    good, bad = normalize.normalised(raw)
+    point = F.round(F.col("lat") * 10_000).cast("long")
+    kept = good.select("id", "title", text_of("starts_at").alias("starts_at"), "all_day", "is_online", "venue", point.alias("lat"), F.col("price_min").cast("double").alias("price_min"), "is_free", F.lit("").alias("reason"))
+    return kept.unionByName(bad.select("id", "reason"), allowMissingColumns=True)
+
+
+_NORMALISE = f"""SELECT id, CASE WHEN id % 11 <> 0 THEN title END AS title, CASE WHEN id % 11 <> 0 THEN strftime(s_utc, '%Y-%m-%d %H:%M:%S') END AS starts_at,
+  CASE WHEN id % 11 <> 0 THEN id % 5 = 3 END AS all_day, CASE WHEN id % 11 <> 0 THEN id % 2 = 1 END AS is_online, CASE WHEN id % 11 <> 0 AND id % 2 = 0 THEN 'Main Hall' END AS venue,
+  CASE WHEN id % 11 <> 0 AND id % 7 <> 0 THEN CAST(round(lat * 10000) AS BIGINT) END AS lat,
+  CASE WHEN id % 11 = 0 THEN NULL WHEN id % 3 = 0 THEN 0.0 WHEN id % 3 = 1 THEN 12.5 END AS price_min, CASE WHEN id % 11 = 0 THEN NULL WHEN id % 3 = 0 THEN true WHEN id % 3 = 1 THEN false END AS is_free,
+  CASE WHEN id % 11 = 0 THEN 'empty title' ELSE '' END AS reason FROM ({_RAW_TIMES})"""
+
+
+def repaired_times(spark, sf_dir):
+    e = bridge.events(spark, sf_dir)
+    start = F.date_format("starts_at", "yyyy-MM-dd'T'HH:mm:ss")
+    raw = F.when(F.col("id") % 3 == 0, F.concat(start, F.lit("Z"))).when(F.col("id") % 3 == 1, start).otherwise(F.concat(start, F.lit("-05:00")))
+    got = when.repaired(raw, F.lit(None).cast("string"), F.when(F.col("id") % 4 == 0, "luma").otherwise("web"))
+    return e.select("id", got["start_raw"].alias("start_raw"), got["note"].alias("note"), when.foreign_offset(raw).alias("foreign_offset"))
+
+
+_REPAIRED = f"""SELECT id, CASE WHEN note IS NULL THEN concat(raw, CASE id % 3 WHEN 0 THEN 'Z' WHEN 1 THEN '' ELSE '-05:00' END)
+    WHEN id % 3 = 0 THEN concat(raw, '+08:00') ELSE strftime(s + INTERVAL 8 HOUR, '%Y-%m-%dT%H:%M:%S') || '+08:00' END AS start_raw, note, CASE WHEN id % 3 = 2 THEN '-05:00' END AS foreign_offset
+  FROM (SELECT id, s, strftime(s, '%Y-%m-%dT%H:%M:%S') AS raw, CASE WHEN id % 4 = 0 OR id % 3 = 2 THEN NULL
+      WHEN id % 3 = 0 AND hour(s + INTERVAL 8 HOUR) < 6 AND hour(s) >= 6 THEN 'times corrected (the page labelled Singapore times as UTC)'
+      WHEN id % 3 = 1 AND hour(s) < 6 AND hour(s + INTERVAL 8 HOUR) >= 6 THEN 'times corrected (the page gave UTC times with no time zone)' END AS note
+    FROM (SELECT id, date_trunc('second', starts_at) AS s FROM {_E}))"""
+
+
+def template_answers(spark, sf_dir):
+    """Of each category, the first events as a list of links, and of some nothing that matched."""
+    e = bridge.events(spark, sf_dir).withColumn("ask_id", (F.col("id") % 97).cast("long"))
+    place = F.row_number().over(Window.partitionBy("ask_id").orderBy("id"))
+    rows = e.withColumn("place", place).filter("place <= 7").withColumn("venue", F.when(F.col("id") % 2 == 0, "Hall")).withColumn("distance_m", F.lit(1500.0))
+    rows = rows.withColumn("ends_at", F.lit(None).cast("timestamp_ntz")).withColumn("starts_at", F.lit("2026-10-03 02:00:00").cast("timestamp_ntz")).withColumn("all_day", F.lit(False))
+    asks = spark.range(100).select(F.col("id").alias("ask_id"), F.when(F.col("id") % 2 == 0, "opera").alias("unmatched"))
+    got = answers.template_answers(asks, rows.withColumn("is_free", F.lit(True)).filter("ask_id % 10 <> 9"))
+    return got.select("ask_id", F.regexp_replace("answer", r"\]: [^·]*·", "]:").alias("answer"), F.array_join("cited", ",").alias("cited"))
+
+
+_TEMPLATE = f"""SELECT a.ask_id, CASE WHEN x.lines IS NULL THEN '{model.NO_MATCHES.replace("'", "''")}'
+    ELSE concat(CASE WHEN a.ask_id % 2 = 0 THEN '{model.OTHERS_BEFORE.replace("'", "''")}opera{model.OTHERS_AFTER}' ELSE '{model.CLOSEST}' END, chr(10), x.lines) END AS answer, coalesce(x.cited, '') AS cited
+  FROM (SELECT unnest(range(100)) AS ask_id) a LEFT JOIN (
+    SELECT ask_id, string_agg(concat('- ', title, ' [E', id, ']:', CASE WHEN id % 2 = 0 THEN ' Hall ·' WHEN is_online THEN ' Online ·' ELSE '' END, ' 1.5 km away · Free'), chr(10) ORDER BY id) AS lines,
+      string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS cited
+    FROM (SELECT *, id % 97 AS ask_id, row_number() OVER (PARTITION BY id % 97 ORDER BY id) AS place FROM {_E}) WHERE place <= 5 AND ask_id % 10 <> 9 GROUP BY ask_id) x ON x.ask_id = a.ask_id"""
+
+
 def cited_answers(spark, sf_dir):
     e = bridge.events(spark, sf_dir)
     marks = F.concat("title", F.lit(" [E"), (F.col("id") % 5).cast("string"), F.lit("] and more [E9] ."))
     return answers.validated(e.select("id", marks.alias("answer"), F.array(F.lit(1), F.lit(2)).cast("array<long>").alias("allowed"))).select("id", "answer", F.array_join("cited", ",").alias("cited"))
 
 
-_CITED = f"""SELECT id, CASE WHEN id % 5 IN (1, 2) THEN concat(title, ' [E', id % 5, '] and more.') ELSE concat(title, ' and more.') END AS answer,
+_CITED = f"""SELECT id, CASE WHEN id % 5 IN (1, 2) THEN concat(title, ' [E', id % 5, '] and more.') ELSE concat(title, '  and more.') END AS answer,
   CASE WHEN id % 5 IN (1, 2) THEN CAST(id % 5 AS VARCHAR) ELSE '' END AS cited FROM {_E}"""
 
 QUERIES = {
@@ -456,7 +545,8 @@ QUERIES = {
     "expire_ended": expire_ended, "missing_sources": missing_sources, "latest_runs": latest_runs, "admin_status": admin_status,
     "run_alerts": run_alerts, "plan_queries": plan_queries, "judge_verdict": judge_verdict, "domain_rules": domain_rules,
     "html_titles": html_titles, "page_text": page_text, "jsonld_events": jsonld_events, "ticket_events": ticket_events,
-    "question_filters": question_filters, "cited_answers": cited_answers,
+    "question_filters": question_filters, "cited_answers": cited_answers, "parse_when": parse_when,
+    "normalise_events": normalise_events, "repaired_times": repaired_times, "template_answers": template_answers,
 }
 ORACLE_SQL = {
     "normalise_title": f"SELECT doc_id, {_NORMAL_TITLE} AS title FROM documents WHERE lang = 'en'",
@@ -466,4 +556,5 @@ ORACLE_SQL = {
     "first_per_url": _FIRST_URL, "expire_ended": _EXPIRE, "missing_sources": _MISSING, "latest_runs": _LATEST, "admin_status": _ADMIN,
     "run_alerts": _ALERTS, "plan_queries": _PLAN, "judge_verdict": _JUDGE, "domain_rules": _DOMAINS, "html_titles": _TITLES,
     "jsonld_events": _JSONLD, "ticket_events": _TICKETS, "cited_answers": _CITED,
+    "parse_when": _PARSE_WHEN, "normalise_events": _NORMALISE, "repaired_times": _REPAIRED, "template_answers": _TEMPLATE,
 }

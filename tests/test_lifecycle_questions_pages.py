@@ -58,15 +58,37 @@ def test_judge(spark):
     assert [r.v.reason for r in got] == [reason for _, reason in cases]
 
 
-def test_questions():
-    p = lambda q: questions.parse(q, NOW)
-    assert p("free workshops this weekend").categories == ("workshop_class",) and p("free workshops this weekend").is_free
-    assert p("things to do near Boon Lay MRT").place == "Boon Lay MRT" and p("talks in Bedok").place_mode == "in"
-    assert p("music near 018953").place == "018953" and p("concerts in the north-east").region == "NORTH-EAST"
-    assert p("runs within 80 km").radius_km == 50 and p("runs within 3 km").near_me and not p("runs within 3 km in the east").near_me
-    assert p("career fair for students").categories == ("career_fair",) and p("youth events").categories == ("youth",)
-    assert p("online webinar tonight").online_only and p("show me events near me").leftover == ""
-    assert p("pottery classes tomorrow").leftover == "pottery classes"
+#: question: the fields that it sets (leftover where it is told)
+ASKED = {
+    "free workshops this weekend": dict(categories=["workshop_class"], is_free=True, leftover="workshops"),
+    "things to do near Boon Lay MRT": dict(place="Boon Lay MRT", place_mode="near"),
+    "talks in Bedok": dict(place="BEDOK", place_mode="in", categories=["talks"]),
+    "music near 018953": dict(place="018953", categories=["music"]),
+    "concerts in the north-east": dict(region="NORTH-EAST", place=None, leftover="concerts"),
+    "markets around the west coast": dict(region=None),
+    "runs within 80 km": dict(radius_km=50.0, near_me=True),
+    "runs within 3 km": dict(radius_km=3.0, near_me=True),
+    "runs within 3 km in the east": dict(radius_km=3.0, near_me=False, region="EAST"),
+    "career fair for students": dict(categories=["career_fair"]),
+    "youth events": dict(categories=["youth"]),
+    "online webinar tonight": dict(online_only=True, date_from=datetime(2026, 9, 25, 9)),
+    "show me events near me": dict(leftover="", near_me=True),
+    "pottery classes tomorrow": dict(leftover="pottery classes", date_from=datetime(2026, 9, 25, 16), date_to=datetime(2026, 9, 26, 16)),
+    "hikes near Changi Bay or in Bedok": dict(place="CHANGI BAY"),
+    "yoga at Esplanade Mall next week": dict(place="Esplanade Mall", categories=["sports_fitness"], leftover="yoga"),
+    "free time activities": dict(is_free=None),
+    "in tampines, near Bishan": dict(place="TAMPINES", place_mode="in"),
+    "kids music and art talks": dict(categories=["talks", "arts_culture", "music"]),
+    "AI meetups on Fridays": dict(categories=["networking", "tech_startup"], leftover="ai meetups"),
+    "volunteer": dict(place=None, region=None, near_me=False, radius_km=None, date_from=None, date_to=None),
+}
+
+
+def test_questions(spark):
+    rows = spark.createDataFrame([(q, "x") for q in ASKED], "question string, text string")
+    got = {r.question: r.asDict() for r in questions.parse_batch(rows, NOW).collect()}
+    for question, fields in ASKED.items():
+        assert {k: got[question][k] for k in fields} == fields, question
 
 
 def test_question_batch(spark):
@@ -105,13 +127,28 @@ def test_tickets(spark):
 
 
 def test_citations_and_batches(spark):
-    assert answers.validate_citations("A [E1] and [E9] , B [E2][E1].", {1, 2}) == ("A [E1] and, B [E2][E1].", [1, 2])
+    marked = [(1, "A [E1] and [E9] , B [E2][E1].", [1, 2]), (2, "Really [E7] ? [E007]", [7]), (3, None, None), (4, "[E99999999999999999999] x", [1])]
+    got = {r.id: (r.answer, r.cited) for r in answers.validated(spark.createDataFrame(marked, "id long, answer string, allowed array<long>")).collect()}
+    assert got == {1: ("A [E1] and, B [E2][E1].", [1, 2]), 2: ("Really [E7] ? [E007]", [7]), 3: ("", []), 4: (" x", [])}
     rows = spark.createDataFrame([(0, i, "x" * 2997) for i in range(20)] + [(1, i, "") for i in range(300)], "part long, id long, content string")
     got = answers.token_batches(rows)
     sizes = {(r.part, r.batch): r["count"] for r in got.groupBy("part", "batch").count().collect()}
     assert sizes == {(0, 0): 8, (0, 1): 8, (0, 2): 4, (1, 0): 128, (1, 1): 128, (1, 2): 44} or sizes[(0, 0)] == 8
 
 
+def test_template_answers(spark):
+    asks = spark.createDataFrame([(1, None), (2, "opera"), (3, None)], "ask_id long, unmatched string")
+    day = datetime(2026, 10, 3, 2)
+    rows = [(1, k, 10 + k, f"Talk {k}", day, None, False, "Hall" if k % 2 else None, True, 1240.0 if k == 1 else None, True, None, None) for k in range(1, 8)] + [(2, 1, 5, "Fair", day, None, False, None, False, None, None, None, None)]
+    schema = "ask_id long, place int, id long, title string, starts_at timestamp_ntz, ends_at timestamp_ntz, all_day boolean, venue string, is_online boolean, distance_m double, is_free boolean, price_min decimal(10,2), price_max decimal(10,2)"
+    got = {r.ask_id: r for r in answers.template_answers(asks, spark.createDataFrame(rows, schema)).collect()}
+    first = got[1].answer.split("\n")
+    assert got[1].cited == [11, 12, 13, 14, 15] and len(first) == 6
+    assert first[1].startswith("- Talk 1 [E11]: ") and first[1].endswith(" · Hall · 1.2 km away · Free") and " · Online · Free" in first[2]
+    assert got[2].answer.startswith("I couldn't find close matches for “opera”.") and got[2].cited == [5]
+    assert got[3].answer.startswith("I couldn't find any events") and got[3].cited == []
+
+
 def test_ranks_and_fusion(spark):
     rows = [(1, [1.0, 0.0], "pottery class"), (2, [0.9, 0.1], "fair"), (3, [-1.0, 0.0], "pottery pottery"), (4, None, "class"), (5, [0.0, 0.0], None)]
     c = spark.createDataFrame(rows, "id long, embedding array<double>, text string")

@@ -26,6 +26,8 @@ GRID_AXES, BOX_AXES = 6, 8
 INTERVAL, BLOCK = 2048, 128
 #: Intervals that one interval of the next wider level spans; at most so many are handled on the driver.
 FAN, TOP = 16, 64
+#: Neighbouring intervals that a task has at once, on either side.
+RUN = 8
 #: Room for rounding where boxes decide.
 SLACK = 1e-9
 
@@ -161,49 +163,55 @@ def _matches(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, same:
 
 
 def join_pairs(cells: DataFrame, pairs: DataFrame, axes: np.ndarray, least: float) -> DataFrame:
-    """Of each pair of intervals: rows (rep, links, null) with linked weight, and (a, null, b) that span the links."""
+    """Of all pairs of intervals: rows (rep, links, null) with linked weight, and (a, null, b) that span the links.
+
+    A task takes the pairs between two runs of RUN neighbouring intervals, so an interval is sent once for each run
+    that has something near it and not once for each pair.
+    """
     dim, epsilon = len(axes), float(np.sqrt(max(0.0, 2 - 2 * least)))
-    data = cells.select("at", "ids", "weights", "vecs")
-    side_i = data.select(*[F.col(c).alias(f"{c}_i") for c in data.columns]).withColumnRenamed("at_i", "i")
-    side_j = data.select(*[F.col(c).alias(f"{c}_j") for c in data.columns]).withColumnRenamed("at_j", "j")
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches_of(batches, 1):
-            row = pdf.iloc[0]
-            ids_i, ids_j = np.frombuffer(row["ids_i"], np.int64), np.frombuffer(row["ids_j"], np.int64)
-            w_i, w_j = np.frombuffer(row["weights_i"], np.int64), np.frombuffer(row["weights_j"], np.int64)
-            x = np.frombuffer(row["vecs_i"], np.float64).reshape(-1, dim)
-            y = np.frombuffer(row["vecs_j"], np.float64).reshape(-1, dim)
-            same = row["i"] == row["j"]
-            links_i, links_j = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
-            one, two = [], []
-            for i, j in _matches(x, y, x @ axes, y @ axes, same, epsilon, least):
+    runs = [F.floor(F.col(c) / RUN).alias(f"run_{c}") for c in "ij"]
+    todo = pairs.select(*runs, F.struct("i", "j").alias("pair")).groupBy("run_i", "run_j").agg(F.collect_list("pair").alias("todo"))
+    used = F.explode(F.array_distinct(F.concat("todo.i", "todo.j"))).alias("at")  # at most twice RUN, of RUN squared pairs
+    sent = todo.select("run_i", "run_j", "todo", used).join(cells.select("at", "ids", "weights", "vecs"), "at")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("at")
+        of = {int(at): k for k, at in enumerate(rows["at"])}
+        sizes = [len(x) // 8 for x in rows["ids"]]
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        ids, weights = (np.frombuffer(b"".join(rows[c]), np.int64) for c in ("ids", "weights"))
+        vecs = np.frombuffer(b"".join(rows["vecs"]), np.float64).reshape(-1, dim)
+        turned = vecs @ axes
+        links, one, two = np.zeros(len(ids), np.int64), [], []
+        for pair in rows["todo"].iloc[0]:
+            a, b = (slice(first[of[pair[c]]], first[of[pair[c]] + 1]) for c in "ij")
+            same = pair["i"] == pair["j"]
+            for i, j in _matches(vecs[a], vecs[b], turned[a], turned[b], same, epsilon, least):
                 if same:
                     keep = i < j
                     i, j = i[keep], j[keep]
-                np.add.at(links_i, i, w_j[j])
-                np.add.at(links_j, j, w_i[i])
+                i, j = i + a.start, j + b.start
+                np.add.at(links, i, weights[j])
+                np.add.at(links, j, weights[i])
                 one.append(i)
-                two.append(j if same else j + len(x))
-            out = pd.DataFrame({"a": np.r_[ids_i, ids_j], "links": np.r_[links_i, links_j], "b": None})
-            out = out[out["links"] > 0]
-            u, v = np.concatenate(one or [np.empty(0, int)]), np.concatenate(two or [np.empty(0, int)])
-            if len(u):
-                ids = ids_i if same else np.r_[ids_i, ids_j]
-                low = np.arange(len(ids))
-                while True:  # least index reachable within this pair of intervals
-                    before = low.copy()
-                    np.minimum.at(low, u, low[v])
-                    np.minimum.at(low, v, low[u])
-                    low = low[low]
-                    if (low == before).all():
-                        break
-                moved = np.nonzero(low < np.arange(len(ids)))[0]
-                out = pd.concat([out, pd.DataFrame({"a": ids[moved], "links": None, "b": ids[low[moved]]})])
-            yield out.astype({"a": "int64", "links": "Int64", "b": "Int64"})
-
-    joined = pairs.repartition("i", "j").join(side_i, "i").join(side_j, "j")
-    return joined.mapInPandas(compare, "a long, links long, b long")
+                two.append(j)
+        u, v = np.concatenate(one or [np.empty(0, int)]), np.concatenate(two or [np.empty(0, int)])
+        low = np.arange(len(ids))
+        while len(u):  # least index reachable within these intervals
+            before = low.copy()
+            np.minimum.at(low, u, low[v])
+            np.minimum.at(low, v, low[u])
+            low = low[low]
+            if (low == before).all():
+                break
+        linked, moved = np.nonzero(links)[0], np.nonzero(low < np.arange(len(ids)))[0]
+        out = pd.DataFrame({"a": np.r_[ids[linked], ids[moved]]})
+        none = [None] * len(linked), [None] * len(moved)
+        out["links"] = pd.array([*links[linked].tolist(), *none[1]], "Int64")
+        out["b"] = pd.array([*none[0], *ids[low[moved]].tolist()], "Int64")
+        return out
+
+    return sent.groupBy("run_i", "run_j").applyInPandas(compare, "a long, links long, b long")
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:

@@ -167,6 +167,14 @@ def map_pandas(df: DataFrame, make, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """`name`, with as many underscores before it as it takes to be none of `columns`."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def append_columns(df: DataFrame, make, added: str, column: str = "text", rows: int = 256) -> DataFrame:
     """`df` with the columns `added` (DDL); make() gives a worker's function from a list of `column` to their lists.
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outing.llm.common import append_columns, batches_of, collect_slots, cut, sum_partials, table
+from outing.llm.common import append_columns, batches_of, collect_slots, cut, fresh, sum_partials, table
 
 #: Buckets that words are hashed to; bounds what is broadcast for any vocabulary.
 BUCKETS = 1 << 16
@@ -339,8 +339,8 @@ class Index:
         return [[dict(zip(("item_id", "kind", "start_word", "lcs_words", "item_words"), h)) for h in sorted(x)] for x in found]
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLOCK) -> DataFrame:
-    """`docs` (text, any more columns) with _hits: the benchmark items found in each whole text, in order of item_id.
+def with_hits(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLOCK, added: str = "_hits") -> DataFrame:
+    """`docs` (text, any more columns) with `added`: the benchmark items found in each whole text, in order of item_id.
 
     `benchmark` has item_id, text and optionally answer. Null and empty texts hold nothing, and items without words
     are found nowhere; of rows that share an item_id one text is searched for. A block holds item_block passages, RANK at
@@ -368,7 +368,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLOC
         found = sorted(map(tuple, block.collect()), key=lambda p: p[:2])
         indexes.append(spark.sparkContext.broadcast(Index(texts, found, idf, used, space)))
     if not indexes:
-        return docs.withColumn("_hits", F.expr(f"cast(array() as {HITS})"))
+        return docs.withColumn(added, F.expr(f"cast(array() as {HITS})"))
 
     def make():
         def search(texts: list[str | None]) -> tuple[list[list[dict]]]:
@@ -386,7 +386,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLOC
 
         return search
 
-    return append_columns(docs, make, f"_hits {HITS}")
+    return append_columns(docs, make, f"`{added}` {HITS}")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLOCK) -> DataFrame:
@@ -400,7 +400,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_B
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLOCK) -> DataFrame:
     """The rows of `docs` in which no item was found, with all their columns."""
-    return with_hits(docs, benchmark, item_block).filter(F.size("_hits") == 0).drop("_hits")
+    name = fresh(docs.columns, "_hits")
+    return with_hits(docs, benchmark, item_block, name).filter(F.size(name) == 0).drop(name)
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -203,8 +203,8 @@ def fit(docs: DataFrame, folds: int = 5, held_out: int = 0, sample_docs: int = S
     return train(x, np.array([languages.index(r[0]) for r in rows]), languages, steps)
 
 
-def predict(docs: DataFrame, net: Network | None) -> DataFrame:
-    """`docs` (text, any more columns) with _lang_pred and _score for every whole text."""
+def predict(docs: DataFrame, net: Network | None, added: tuple[str, str] = ("_lang_pred", "_score")) -> DataFrame:
+    """`docs` (text, any more columns) with the language and score of every whole text; `added` names the two."""
     model = docs.sparkSession.sparkContext.broadcast(net)
 
     def make():
@@ -221,7 +221,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
 
         return label
 
-    return append_columns(docs, make, "_lang_pred string, _score double", rows=128)
+    return append_columns(docs, make, f"`{added[0]}` string, `{added[1]}` double", rows=128)
 
 
 def identify_languages(docs: DataFrame, folds: int = 5, held_out: int = 0, steps: int = STEPS) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outing.llm import decontamination, language_id, line_dedup, minhash_dedup, packing
-from outing.llm.common import ensure_checkpoint_dir, table
+from outing.llm.common import ensure_checkpoint_dir, fresh, table
 
 #: A document whose best language scores less is rejected, as are those without a letter.
 LEAST_SCORE = 0.4
@@ -20,15 +20,17 @@ LEAST_SCORE = 0.4
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is determined; a null text or one without letters goes."""
-    found = language_id.predict(docs, language_id.fit(docs))
-    keep = (F.col("_lang_pred") != language_id.UNDETERMINED) & (F.col("_score") >= LEAST_SCORE)
+    lang, score = fresh(docs.columns, "_lang_pred"), fresh(docs.columns, "_score")
+    found = language_id.predict(docs, language_id.fit(docs), (lang, score))
+    keep = (F.col(lang) != language_id.UNDETERMINED) & (F.col(score) >= LEAST_SCORE)
     return found.filter(keep).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop repeated lines, and documents that had nothing else; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs, added=("_n_lines", "_lines_gone"))
-    changed = F.size("_lines_gone") > 0
+    lines, gone = fresh(docs.columns, "_n_lines"), fresh(docs.columns, "_lines_gone")
+    out = line_dedup.dedup_lines(docs, added=(lines, gone))
+    changed = F.size(gone) > 0
     left = ~changed | (F.length(F.regexp_replace("text", r"\s", "")) > 0)
     chars = F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.filter(left).withColumn("n_chars", chars).select(*docs.columns)

@@ -30,7 +30,7 @@ _PLACED = f"(SELECT e.*, v.name AS venue, v.postal_code, v.planning_area, v.regi
 
 
 def normalise_title(spark, sf_dir):
-    docs = bridge.read(spark, sf_dir, "documents").filter("lang = 'en'")
+    docs = bridge.read(spark, sf_dir, "documents")
     title = F.concat(F.split("text", "\n")[0], F.lit(" Event 2024, SG!"))
     return docs.select("doc_id", text.normalize_title(title).alias("title"))
 
@@ -140,7 +140,7 @@ def detectors(spark, sf_dir):
     """Online, status and audience rules on conversation turns with planted phrases."""
     phrases = F.array(*[F.lit(x) for x in ("Zoom", "webinar on it", "event has been cancelled", "students only", "exclusively for our members", "hall")])
     c = bridge.read(spark, sf_dir, "conversations")
-    said = F.concat(F.element_at(phrases, ((F.col("conv_id") + F.col("turn")) % 6 + 1).cast("int")), F.lit(" "), F.substring("text", 1, 60))
+    said = F.concat(F.element_at(phrases, ((F.col("conv_id") + F.col("turn")) % 6 + 1).cast("int")), F.lit(" "), "text")
     none = F.lit(None).cast("string")
     return c.select("conv_id", "turn", said.alias("said")).select(
         "conv_id", "turn",
@@ -158,7 +158,7 @@ _AUDIENCE = " ".join(f"WHEN {_rx('said', p)} THEN '{a}'" for a, p in model.AUDIE
 _DETECT = f"""SELECT conv_id, turn, {_rx('said', model.ONLINE_PLACE)} OR {_rx('said', model.ONLINE_TITLE)} OR {_rx('said', model.ONLINE_LINK)} AS online,
     CASE WHEN {_rx('said', model.CANCELLED_TITLE)} OR {_rx('said', model.CANCELLED_TEXT)} THEN 'cancelled' ELSE 'active' END AS status,
     CASE {_AUDIENCE} ELSE 'public' END AS audience
-  FROM (SELECT conv_id, turn, concat(['Zoom', 'webinar on it', 'event has been cancelled', 'students only', 'exclusively for our members', 'hall'][(conv_id + turn) % 6 + 1], ' ', substring(text, 1, 60)) AS said FROM conversations)"""
+  FROM (SELECT conv_id, turn, concat(['Zoom', 'webinar on it', 'event has been cancelled', 'students only', 'exclusively for our members', 'hall'][(conv_id + turn) % 6 + 1], ' ', text) AS said FROM conversations)"""
 
 
 def embedding_text(spark, sf_dir):
@@ -187,18 +187,14 @@ def token_batches(spark, sf_dir):
 # --- dedup and upsert --------------------------------------------------------------------------------
 
 
-def _new_ids(spark, sf_dir):
-    return bridge.events(spark, sf_dir).filter("id % 20 = 0").select("id")
-
-
 def dedup_candidates(spark, sf_dir):
-    """Candidates of every twentieth event, as if those had just come in."""
-    return dedup.candidate_pairs(_placed(spark, sf_dir), bridge.event_sources(spark, sf_dir), _new_ids(spark, sf_dir))
+    """Candidates of every event."""
+    return dedup.candidate_pairs(_placed(spark, sf_dir), bridge.event_sources(spark, sf_dir))
 
 
 _APART = """sqrt(power(radians(c.lng - e.lng) * cos(radians((e.lat + c.lat) / 2)) * 6378137e0 / sqrt(1 - 0.00669437999014e0 * power(sin(radians((e.lat + c.lat) / 2)), 2)), 2)
   + power(radians(c.lat - e.lat) * (6378137e0 * (1 - 0.00669437999014e0)) / power(1 - 0.00669437999014e0 * power(sin(radians((e.lat + c.lat) / 2)), 2), 1.5e0), 2))"""
-_PAIRS = f"""SELECT e.id, c.id AS other FROM {_PLACED} e JOIN {_PLACED} c ON c.id <> e.id AND c.status = 'active' AND e.id % 20 = 0
+_PAIRS = f"""SELECT e.id, c.id AS other FROM {_PLACED} e JOIN {_PLACED} c ON c.id <> e.id AND c.status = 'active'
     AND c.starts_at BETWEEN e.starts_at - INTERVAL 1 DAY AND e.starts_at + INTERVAL 1 DAY
   WHERE ((e.lat IS NOT NULL AND c.lat IS NOT NULL AND {_APART} <= 300) OR c.postal_code = e.postal_code OR (e.is_online AND c.is_online AND e.lat IS NULL AND c.lat IS NULL))
     AND NOT EXISTS (SELECT 1 FROM {_S} x JOIN {_S} y ON x.source_id = y.source_id WHERE x.event_id = e.id AND y.event_id = c.id)"""
@@ -206,7 +202,7 @@ _PAIRS = f"""SELECT e.id, c.id AS other FROM {_PLACED} e JOIN {_PLACED} c ON c.i
 
 def dedup_scored(spark, sf_dir):
     events = _placed(spark, sf_dir)
-    pairs = dedup.candidate_pairs(events, bridge.event_sources(spark, sf_dir), _new_ids(spark, sf_dir))
+    pairs = dedup.candidate_pairs(events, bridge.event_sources(spark, sf_dir))
     return dedup.best_duplicates(dedup.scored_pairs(pairs, events))
 
 
@@ -549,7 +545,7 @@ QUERIES = {
     "normalise_events": normalise_events, "repaired_times": repaired_times, "template_answers": template_answers,
 }
 ORACLE_SQL = {
-    "normalise_title": f"SELECT doc_id, {_NORMAL_TITLE} AS title FROM documents WHERE lang = 'en'",
+    "normalise_title": f"SELECT doc_id, {_NORMAL_TITLE} AS title FROM documents",
     "event_fingerprint": _PRINT, "price_parse": _PRICE, "price_format": _PRICE_FORMAT, "format_when": _WHEN, "keyword_categories": _KEYWORDS,
     "tag_categories": _TAG_SQL, "detectors": _DETECT, "embedding_text": _EMBED, "dedup_candidates": _PAIRS, "merge_result": _MERGE,
     "upsert_actions": _UPSERT, "upsert_result": _UPSERT_RESULT, "venue_get_or_create": _VENUE_NEW, "venue_geocode_cache": _CACHE,

@@ -113,11 +113,7 @@ PAGES = {
 
 
 def search_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [s.total(*_tables(spark, sf_dir), q, bridge.NOW).select(F.lit(n).alias("query"), "total") for n, q in PAGES.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    return s.totals(*_tables(spark, sf_dir), PAGES, bridge.NOW)
 
 
 def event_detail(spark: SparkSession, sf_dir: str) -> DataFrame:

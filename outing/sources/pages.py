@@ -31,7 +31,7 @@ class _Reader(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self._hidden += tag in _HIDDEN
-        self._ld = tag == "script" and dict(attrs).get("type", "").lower() == "application/ld+json"
+        self._ld = tag == "script" and (dict(attrs).get("type") or "").lower() == "application/ld+json"
 
     def handle_endtag(self, tag):
         self._hidden = max(0, self._hidden - (tag in _HIDDEN))
@@ -68,17 +68,18 @@ def clean(value) -> str | None:
 
 
 def find_events(data) -> Iterator[dict]:
-    """Objects whose type ends in Event, wherever they are nested."""
-    if isinstance(data, list):
-        for x in data:
-            yield from find_events(x)
-    elif isinstance(data, dict):
-        kinds = data.get("@type")
-        kinds = kinds if isinstance(kinds, list) else [kinds]
-        if any(isinstance(k, str) and k.endswith("Event") for k in kinds):
-            yield data
-        for key in ("@graph", "subEvent", "itemListElement", "item"):
-            yield from find_events(data.get(key))
+    """Objects whose type ends in Event, however deep they are nested, in the order of the page."""
+    todo = [data]
+    while todo:
+        at = todo.pop()
+        if isinstance(at, list):
+            todo += reversed(at)
+        elif isinstance(at, dict):
+            kinds = at.get("@type") or at.get("type")
+            kinds = kinds if isinstance(kinds, list) else [kinds]
+            if any(isinstance(k, str) and k.endswith("Event") for k in kinds):
+                yield at
+            todo += [at.get(key) for key in ("item", "itemListElement", "subEvent", "@graph")]
 
 
 def structured_events(page: str | None, url: str | None) -> list[dict]:
@@ -87,7 +88,7 @@ def structured_events(page: str | None, url: str | None) -> list[dict]:
     for block in _read(page).data:
         try:
             data = json.loads(block)
-        except ValueError:
+        except (ValueError, RecursionError):  # broken, or nested beyond what any page needs
             continue
         for e in find_events(data):
             place = e.get("location")
@@ -97,7 +98,7 @@ def structured_events(page: str | None, url: str | None) -> list[dict]:
             parts = [address.get(k) for k in ("streetAddress", "addressLocality", "postalCode")] if isinstance(address, dict) else [address]
             line = ", ".join(p for p in map(clean, parts) if p) or None
             code = re.search(r"\b\d{6}\b", line or "")
-            row = (clean(e.get("name")), e.get("startDate"), e.get("endDate"), clean(place.get("name")), line, code and code[0], clean(e.get("description")), clean(e.get("url")) or url, clean(e.get("image")), clean(e.get("organizer")))
+            row = (clean(e.get("name")), clean(e.get("startDate")), clean(e.get("endDate")), clean(place.get("name")), line, code and code[0], clean(e.get("description")), clean(e.get("url")) or url, clean(e.get("image")), clean(e.get("organizer")))
             if row[0] and row[1]:
                 found.append(dict(zip(_NAMES, row)))
     return found[:MOST_EVENTS]
@@ -111,7 +112,9 @@ def page_events(pages: DataFrame) -> DataFrame:
             rows = [{"page_id": i, **e} for i, u, h in zip(pdf["page_id"], pdf["url"], pdf["html"]) for e in structured_events(h, u)]
             yield pd.DataFrame(rows, columns=["page_id", *_NAMES])
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, " + EVENT_FIELDS)
+    # most pages have no such script, and need no parser
+    some = pages.filter(F.col("html").rlike("(?i)ld(?:\\+|&)")).select("page_id", "url", "html")
+    return some.mapInPandas(run, "page_id long, " + EVENT_FIELDS)
 
 
 @F.pandas_udf(StringType())

@@ -113,6 +113,14 @@ def test_pages(spark):
     assert spark.range(1).select(pages.ticket_id(F.lit("https://t.com/e/big-fair-tickets-12345?aff=x")).alias("t")).first().t == "12345"
 
 
+def test_odd_pages_do_not_stop_a_job(spark):
+    deep = PAGE % ("[" * 100_000 + "]" * 100_000)
+    plain = PAGE % json.dumps({"type": "MusicEvent", "name": "Gig", "startDate": {"name": "2026-10-03"}})
+    rows = [(1, "u", "<script type>x</script><p>ld+json"), (2, "u", deep), (3, "u", plain), (4, "u", None), (5, "u", "no scripts")]
+    got = pages.page_events(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [(r.page_id, r.title, r.start_raw) for r in got] == [(3, "Gig", "2026-10-03")]
+
+
 def test_calendar_feed(spark):
     feed = "BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nUID:1\r\nSUMMARY:Long \r\n title\\, with comma\r\nDTSTART:20261003T020000Z\r\nGEO:1.3;103.8\r\nLOCATION:Hall\\nSingapore 018953\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nUID:2\r\nSUMMARY:Far\r\nDTSTART;VALUE=DATE:20261003\r\nGEO:48.1;11.5\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nUID:3\r\nDTSTART:20261003\r\nEND:VEVENT\r\nEND:VCALENDAR"
     got = pages.feed_events(spark.createDataFrame([("f", feed), ("g", None)], "feed string, body string")).collect()

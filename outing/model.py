@@ -235,6 +235,26 @@ PRICE_PREFIXED = r"(?:S\$|SGD\s?|\$)\s?(\d{1,5}(?:,\d{3})*(?:\.\d{1,2})?)"
 PRICE_SUFFIXED = r"\b(\d{1,5}(?:\.\d{1,2})?)\s?(?:SGD|dollars)\b"
 TITLE_STOPWORDS = ("singapore", "sg", "event", "events")
 
+#: Short forms of places that are spelt out before names are compared, and words that say nothing there.
+PLACE_SHORT_FORMS = {
+    "cc": "community club",
+    "rc": "residents committee",
+    "poly": "polytechnic",
+    "blk": "block",
+    "st": "street",
+    "ave": "avenue",
+    "rd": "road",
+    "dr": "drive",
+}
+PLACE_STOPWORDS = ("singapore", "s")
+
+#: Radius steps of the search screen in km, and how its windows are worded.
+RADIUS_STEPS = (1, 3, 5, 10)
+WINDOW_PHRASES = {"today": "today", "weekend": "this weekend", "week": "in the next 7 days", "month": "in the next 30 days"}
+DRAFT_NOTE = "No structured event data on this page: fill in the date and place yourself."
+DRAFT_SELECTION_NOTE = " Your highlighted text is in the description."
+ASK_FOR_PLACE = "share your location (or name a place) to search near you"
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -261,6 +281,10 @@ class Settings:
     horizon_days: int = 120
     batch_items: int = 128
     batch_tokens: int = 8000
+    place_match: float = 80.0
+    drafts_per_page: int = 10
+    per_domain: int = 5
+    most_pages: int = 40
 
 
 SETTINGS = Settings()

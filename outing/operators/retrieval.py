@@ -59,11 +59,11 @@ def fuse(lists: list[DataFrame], settings=SETTINGS) -> DataFrame:
     return scored.orderBy(F.desc("rrf"), "id").limit(settings.fused)
 
 
-def boosted(fused: DataFrame, events: DataFrame, start: Column, hours: float, radius_m: float, settings=SETTINGS) -> DataFrame:
-    """Fused rows with events' starts_at and distance_m, scored for being soon and near; ties keep the fused order."""
+def boosted(fused: DataFrame, events: DataFrame, start: Column, hours: float, radius_m: float | None, settings=SETTINGS) -> DataFrame:
+    """Fused rows with events' starts_at and distance_m, scored for being soon and, within a radius, near; ties keep the fused order."""
     from_start = (F.unix_micros(F.col("starts_at").cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 3.6e9
     clamp = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
     soon = clamp(1 - from_start / hours)
-    near = F.coalesce(clamp(1 - F.round("distance_m", 1) / radius_m), F.lit(0.0))
+    near = F.coalesce(clamp(1 - F.round("distance_m", 1) / radius_m), F.lit(0.0)) if radius_m else F.lit(0.0)
     score = F.col("rrf") * (1 + settings.boost * soon + settings.boost * near)
     return fused.join(events, "id").withColumn("score", score).orderBy(F.desc("score"), F.desc("rrf"), "id")

@@ -248,6 +248,13 @@ PLACE_SHORT_FORMS = {
 }
 PLACE_STOPWORDS = ("singapore", "s")
 
+#: Descriptions of calendar feeds: a line with a link before, an address block, a host's name after.
+FEED_LINK = r"(?i)^(?:Get up-to-date information at|Find more information on):?\s*(\S+)\s*"
+FEED_HIDDEN_ADDRESS = "check event page for more details"
+FEED_HOST = r"\s*Hosted by [^\n]*\z"
+FEED_EVENT_URL = "https://luma.com/event/"
+MENTIONS_COUNTRY = r"\bsingapore\b|\bs'pore\b"
+
 #: Radius steps of the search screen in km, and how its windows are worded.
 RADIUS_STEPS = (1, 3, 5, 10)
 WINDOW_PHRASES = {"today": "today", "weekend": "this weekend", "week": "in the next 7 days", "month": "in the next 30 days"}

@@ -12,7 +12,7 @@ from outing.functions import display, text
 from outing.model import SETTINGS
 from outing.operators import ask, enrich, service
 from outing.plans.search_queries import _BASE, _matching_sql, _ts, text_of
-from outing.sources import model_output
+from outing.sources import model_output, pages
 
 _E, _S, _R = bridge.EVENTS, bridge.EVENT_SOURCES, bridge.CRAWL_RUNS
 _events, _sources = bridge.events, bridge.event_sources
@@ -358,6 +358,27 @@ def page_drafts(spark, sf_dir):
 _DRAFTS = f"""SELECT id AS page_id, CASE WHEN id % 3 = 0 THEN 'A page' ELSE title END AS title, CASE WHEN id % 3 <> 0 THEN strftime(starts_at + INTERVAL 8 HOUR, '%Y-%m-%dT%H:%M') END AS start, NULL::VARCHAR AS "end",
     CASE WHEN id % 3 <> 0 THEN NULL WHEN id % 2 = 0 THEN 'picked' ELSE 'Some text' END AS description, true AS news, CASE WHEN id % 3 = 0 THEN concat('{model.DRAFT_NOTE}', CASE WHEN id % 2 = 0 THEN '{model.DRAFT_SELECTION_NOTE}' ELSE '' END) END AS note FROM {_E}"""
 
+
+
+def feed_listings(spark, sf_dir):
+    """A feed for each event; a third without a point, half of those abroad for all that it says."""
+    e = _events(spark, sf_dir)
+    i, stamp = F.col("id"), lambda c: F.date_format(c, "yyyyMMdd'T'HHmmss'Z'")
+    told = F.concat(F.lit("Get up-to-date information at: https://l.example.com/x\\n\\nAddress:\\n"), F.when(i % 4 == 0, "Check event page for more details.").otherwise(F.concat(F.lit("Hall\\n1 Road\\n"), F.when(i % 2 == 0, "Singapore 018953").otherwise("Paris"))), F.lit("\\n\\nCome along\\n\\nHosted by A"))
+    lines = F.array(
+        F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:evt-"), i.cast("string"), F.lit("@x")), F.concat(F.lit("SUMMARY:"), F.col("title")), F.concat(F.lit("DTSTART:"), stamp("starts_at")),
+        F.when(F.col("ends_at").isNotNull(), F.concat(F.lit("DTEND:"), stamp("ends_at"))), F.when(i % 3 != 0, F.lit("GEO:1.3;103.8")), F.concat(F.lit("DESCRIPTION:"), told),
+        F.when(i % 8 == 0, "LOCATION:Club").when(i % 8 == 1, "LOCATION:https://other.example.com/a"), F.lit("END:VEVENT"),
+    )
+    rows = pages.feed_events(e.select(F.lit("global").alias("feed"), F.array_join(lines, "\r\n").alias("body")))
+    return pages.feed_listings(rows, bridge.NOW, ("city",)).select("source_event_id", "title", "description", "venue", "address", "postal_code", "source_url", "registration_url")
+
+
+_FEEDS = f"""SELECT concat('evt-', id) AS source_event_id, title, 'Come along' AS description, CASE WHEN id % 4 <> 0 THEN 'Hall' WHEN id % 8 = 0 THEN 'Club' END AS venue,
+    CASE WHEN id % 4 <> 0 THEN concat('1 Road, ', CASE WHEN id % 2 = 0 THEN 'Singapore 018953' ELSE 'Paris' END) END AS address, CASE WHEN id % 4 = 2 THEN '018953' END AS postal_code, concat('https://luma.com/event/evt-', id) AS source_url,
+    CASE WHEN id % 8 = 1 THEN 'https://other.example.com/a' ELSE 'https://l.example.com/x' END AS registration_url
+  FROM {_E} WHERE date_trunc('second', coalesce(ends_at, starts_at)) > {_ts(bridge.NOW)} AND (id % 3 <> 0 OR id % 4 = 2)"""
+
 # --- questions ---------------------------------------------------------------------------------------
 
 _ASKED = replace(_BASE, radius_m=8000.0, online="include")
@@ -392,7 +413,7 @@ QUERIES = {
     "answer_cards": answer_cards, "saved_list": saved_list, "calendar_entries": calendar_entries, "json_page": json_page, "source_list": source_list,
     "manual_deletions": manual_deletions, "decision_counts": decision_counts, "last_decisions": last_decisions, "finished_runs": finished_runs,
     "known_hits": known_hits, "page_limits": page_limits, "classified": classified, "geocode_ladder": geocode_ladder, "resolved_postals": resolved_postals,
-    "pending_embeddings": pending_embeddings, "model_events": model_events, "model_filters": model_filters, "page_drafts": page_drafts,
+    "pending_embeddings": pending_embeddings, "model_events": model_events, "model_filters": model_filters, "page_drafts": page_drafts, "feed_listings": feed_listings,
     "retrieved": retrieved, "retrieved_unmatched": retrieved_unmatched,
 }
 ORACLE_SQL = {
@@ -400,6 +421,6 @@ ORACLE_SQL = {
     "saved_list": _SAVED, "calendar_entries": _CALENDAR, "json_page": _JSON, "source_list": _LIST, "manual_deletions": _DELETE,
     "decision_counts": f"SELECT run_id, decision, count(*) AS n FROM {_DECISIONS} GROUP BY ALL", "last_decisions": _LAST, "finished_runs": _FINISHED,
     "known_hits": _KNOWN, "page_limits": _LIMITS, "classified": _CLASSIFIED, "geocode_ladder": _LADDER, "resolved_postals": _POSTALS,
-    "pending_embeddings": _PENDING, "model_events": _MODEL_EVENTS, "model_filters": _FILTERS, "page_drafts": _DRAFTS, "retrieved": _RETRIEVED,
+    "pending_embeddings": _PENDING, "model_events": _MODEL_EVENTS, "model_filters": _FILTERS, "page_drafts": _DRAFTS, "feed_listings": _FEEDS, "retrieved": _RETRIEVED,
     "retrieved_unmatched": _UNMATCHED,
 }

@@ -78,8 +78,8 @@ def model_filters(outputs: DataFrame, settings=SETTINGS) -> DataFrame:
 def drafts(found: DataFrame) -> DataFrame:
     """Drafts of pages (page_id, url, html, description, selection, read_at) for the admin form: one for each event in
     the page's structured data, dates as form values where they can be read and as written where not; a page without
-    any gives one draft of its title and text, with a note. Columns: page_id, title, start, end, venue, postal_code,
-    description, registration_url, news, note."""
+    any gives one draft of its title and text, with a note. Columns: page_id, title, start, end, venue, address,
+    postal_code, lat, lng, price, organizer, description, registration_url, news, note."""
     events = pages.page_events(found).withColumnsRenamed({"url": "event_url", "description": "event_description"})
     rows = found.join(events, "page_id", "left")
     rows = when.parse_when(rows, "start_raw", "end_raw", "read_at", "at")
@@ -96,7 +96,12 @@ def drafts(found: DataFrame) -> DataFrame:
         start.alias("start"),
         end.alias("end"),
         "venue",
+        "address",
         "postal_code",
+        "lat",
+        "lng",
+        "price",
+        "organizer",
         F.when(blank, F.coalesce(chosen, _said(text.collapse(F.col("description"))))).otherwise(F.col("event_description")).alias("description"),
         F.coalesce("event_url", "url").alias("registration_url"),
         text.is_news(F.col("url")).alias("news"),

@@ -6,6 +6,8 @@ import html
 import json
 import re
 from collections.abc import Iterator
+from datetime import datetime
+from decimal import Decimal, InvalidOperation
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -13,9 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from outing import model
+from outing.functions import when
+
 _HIDDEN = {"script", "style", "noscript", "nav", "footer", "header", "form", "svg", "iframe"}
 MOST_EVENTS, MOST_TEXT = 10, 24_000
-EVENT_FIELDS = "title string, start_raw string, end_raw string, venue string, address string, postal_code string, description string, url string, image string, organizer string"
+ONLINE_MODE = "https://schema.org/OnlineEventAttendanceMode"
+EVENT_FIELDS = "title string, start_raw string, end_raw string, venue string, address string, postal_code string, description string, url string, image string, organizer string, price string, lat double, lng double, mode string, event_status string, source_event_id string"
 _NAMES = [f.split()[0] for f in EVENT_FIELDS.split(", ")]
 
 
@@ -82,6 +88,35 @@ def find_events(data) -> Iterator[dict]:
             todo += [at.get(key) for key in ("item", "itemListElement", "subEvent", "@graph")]
 
 
+def _amount(said) -> Decimal | None:
+    try:
+        value = Decimal(re.sub(r"[,$\s]", "", str(said)))
+    except InvalidOperation:
+        return Decimal(0) if "free" in str(said).lower() else None
+    return value if value.is_finite() else None
+
+
+def price_line(offers, free=None) -> str | None:
+    """Offers in words that prices are read from: Free, S$10 or S$10 – S$25; null where another currency is named or
+    no amount."""
+    if str(free).lower() == "true":
+        return "Free"
+    offers = [o for o in (offers if isinstance(offers, list) else [offers]) if isinstance(o, dict)]
+    said = [o.get(k) for o in offers for k in ("price", "lowPrice", "highPrice")]
+    amounts = sorted(x for x in (_amount(v) for v in said if v not in (None, "")) if x is not None)
+    if not amounts or {str(o.get("priceCurrency") or "SGD").upper() for o in offers} != {"SGD"}:
+        return None
+    ends = [f"S${x:.2f}".rstrip("0").rstrip(".") for x in dict.fromkeys((amounts[0], amounts[-1]))]
+    return " – ".join(ends) if amounts[-1] else "Free"
+
+
+def _number(value) -> float | None:
+    try:
+        return float(value)
+    except (TypeError, ValueError):
+        return None
+
+
 def structured_events(page: str | None, url: str | None) -> list[dict]:
     """Up to MOST_EVENTS events of a page's JSON-LD; broken scripts are passed over."""
     found = []
@@ -94,11 +129,16 @@ def structured_events(page: str | None, url: str | None) -> list[dict]:
             place = e.get("location")
             place = place[0] if isinstance(place, list) and place else place
             place = place if isinstance(place, dict) else {"name": place}
+            mode, virtual = clean(e.get("eventAttendanceMode")), "VirtualLocation" in str(place.get("@type"))
+            if virtual:
+                place, mode = {}, mode or ONLINE_MODE
+            geo = place["geo"] if isinstance(place.get("geo"), dict) else {}
             address = place.get("address")
             parts = [address.get(k) for k in ("streetAddress", "addressLocality", "postalCode")] if isinstance(address, dict) else [address]
             line = ", ".join(p for p in map(clean, parts) if p) or None
             code = re.search(r"\b\d{6}\b", line or "")
             row = (clean(e.get("name")), clean(e.get("startDate")), clean(e.get("endDate")), clean(place.get("name")), line, code and code[0], clean(e.get("description")), clean(e.get("url")) or url, clean(e.get("image")), clean(e.get("organizer")))
+            row += (price_line(e.get("offers"), e.get("isAccessibleForFree")), _number(geo.get("latitude")), _number(geo.get("longitude")), mode, clean(e.get("eventStatus")), clean(e.get("@id")))
             if row[0] and row[1]:
                 found.append(dict(zip(_NAMES, row)))
     return found[:MOST_EVENTS]
@@ -148,8 +188,6 @@ def calendar_events(feed: str | None) -> list[dict]:
 
 def feed_events(feeds: DataFrame) -> DataFrame:
     """A row for each event with a title, an id and a start in feeds (feed, body); points outside the box are dropped."""
-    from outing.model import LAT_MAX, LAT_MIN, LNG_MAX, LNG_MIN
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
@@ -159,7 +197,7 @@ def feed_events(feeds: DataFrame) -> DataFrame:
                         continue
                     point = re.fullmatch(r"\s*(-?[\d.]+)\s*;\s*(-?[\d.]+)\s*", e.get("GEO", ""))
                     lat, lng = map(float, point.groups()) if point else (None, None)
-                    if point and not (LAT_MIN <= lat <= LAT_MAX and LNG_MIN <= lng <= LNG_MAX):
+                    if point and not (model.LAT_MIN <= lat <= model.LAT_MAX and model.LNG_MIN <= lng <= model.LNG_MAX):
                         continue
                     place = e.get("LOCATION")
                     code = re.search(r"\bSingapore (\d{6})\b", place or "")
@@ -171,14 +209,67 @@ def feed_events(feeds: DataFrame) -> DataFrame:
     return feeds.select("feed", "body").mapInPandas(run, schema)
 
 
+def feed_listings(rows: DataFrame, now: datetime, local_feeds: tuple[str, ...] = ()) -> DataFrame:
+    """feed_events rows that are still to come at `now` (UTC), with their descriptions taken apart: feed,
+    source_event_id, title, start_raw, end_raw, description, venue, address, postal_code, lat, lng, status, source_url,
+    registration_url.
+
+    An event ends at its end, else at its start, or a day later if that is a day; one whose times can't be read is left
+    out. Events without a point count only if the feed is local or a text mentions the country.
+    """
+    c = F.col
+    start, end = when.exact(c("start_raw")), when.exact(c("end_raw"))
+    over = F.coalesce(end["value"], F.when(start["date_only"], start["value"] + F.expr("INTERVAL '1' DAY")).otherwise(start["value"]))
+    rows = rows.filter(over > F.lit(str(now)).cast("timestamp_ntz")).withColumn("_text", F.trim(F.coalesce("description", F.lit("")), F.lit(" \n\t")))
+    link = F.nullif(F.regexp_extract("_text", model.FEED_LINK, 1), F.lit(""))
+    rows = rows.withColumn("_link", link).withColumn("_text", F.regexp_replace("_text", model.FEED_LINK, ""))
+    block = r"(?s)^Address:\n*(.*?)(?:\n\n|\z)"
+    lines_of = lambda x: F.filter(F.transform(F.split(x, "\n"), lambda l: F.trim(l)), lambda l: l != "")
+    rows = rows.withColumn("_lines", lines_of(F.regexp_extract("_text", block, 1)))
+    hidden = F.rtrim(F.lower(F.try_element_at("_lines", F.lit(1))), F.lit(".")) == model.FEED_HIDDEN_ADDRESS
+    place = F.trim(F.coalesce("location", F.lit("")))
+    away = place.rlike("^https?://")
+    shown = F.when(F.coalesce(hidden, F.lit(False)), F.array().cast("array<string>")).otherwise(c("_lines"))
+    rows = rows.withColumn("_shown", F.when((F.size(shown) == 0) & ~away & (place != ""), F.array(place)).otherwise(shown))
+    body = F.trim(F.regexp_replace(F.regexp_replace("_text", block, ""), model.FEED_HOST, ""), F.lit(" \n\t"))
+    identity = F.substring_index("uid", "@", 1)
+    page = F.concat(F.lit(model.FEED_EVENT_URL), identity)
+    rows = rows.withColumn("_body", F.nullif(body, F.lit("")))
+    said = F.concat_ws(" ", "title", F.array_join("_shown", " "), "_body")
+    known = c("lat").isNotNull() | c("feed").isin(*local_feeds) | said.rlike("(?i)" + model.MENTIONS_COUNTRY)
+    return rows.filter(known).select(
+        "feed",
+        identity.alias("source_event_id"),
+        "title",
+        "start_raw",
+        "end_raw",
+        c("_body").alias("description"),
+        F.try_element_at("_shown", F.lit(1)).alias("venue"),
+        F.nullif(F.array_join(F.slice("_shown", 2, 100), ", "), F.lit("")).alias("address"),
+        F.nullif(F.regexp_extract(F.array_join("_shown", " "), r"\b(?:Singapore\s*)?(\d{6})\b", 1), F.lit("")).alias("postal_code"),
+        "lat",
+        "lng",
+        "status",
+        page.alias("source_url"),
+        F.coalesce(F.when(away & ~place.contains("/event/"), place), "_link", page).alias("registration_url"),
+    )
+
+
 _TICKET = """id string, name struct<text:string>, summary string, url string, start struct<utc:string>, `end` struct<utc:string>,
   status string, online_event boolean, is_free boolean, venue struct<name:string, latitude:string, longitude:string,
-  address:struct<localized_address_display:string, postal_code:string, country:string>>, organizer struct<name:string>"""
+  address:struct<localized_address_display:string, postal_code:string, country:string>>, organizer struct<name:string>,
+  ticket_availability struct<is_free:boolean, minimum_ticket_price:struct<currency:string, major_value:string>,
+  maximum_ticket_price:struct<currency:string, major_value:string>>"""
 
 
 def ticket_events(records: DataFrame) -> DataFrame:
     """Rows of ticket records (body: JSON) by a fixed schema; records without a title or start are dropped."""
     e = records.select(F.from_json("body", _TICKET).alias("e"))
+    low, high = F.col("e.ticket_availability.minimum_ticket_price"), F.col("e.ticket_availability.maximum_ticket_price")
+    dollars = F.upper(F.coalesce(F.nullif(low["currency"], F.lit("")), F.lit("SGD"))) == "SGD"
+    ends = F.array_distinct(F.array(low["major_value"], F.coalesce(F.nullif(high["major_value"], F.lit("")), low["major_value"])))
+    free = F.coalesce("e.is_free", F.lit(False)) | F.coalesce("e.ticket_availability.is_free", F.lit(False))
+    price = F.when(free, "Free").when(dollars & low["major_value"].isNotNull(), F.array_join(F.transform(ends, lambda x: F.concat(F.lit("S$"), x)), " – "))
     return e.filter("e.name.text is not null and e.start.utc is not null").select(
         F.col("e.id").alias("source_event_id"),
         F.trim("e.name.text").alias("title"),
@@ -192,6 +283,8 @@ def ticket_events(records: DataFrame) -> DataFrame:
         F.coalesce("e.online_event", F.lit(False)).alias("is_online"),
         F.col("e.organizer.name").alias("organizer"),
         F.col("e.url").alias("url"),
+        price.alias("price_raw"),
+        F.when(F.col("e.status") == "canceled", "cancelled").otherwise(F.col("e.status")).alias("event_status"),
     )
 
 

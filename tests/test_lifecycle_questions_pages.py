@@ -127,6 +127,25 @@ def test_calendar_feed(spark):
     assert [(r.uid, r.title, r.start_raw, r.postal_code, r.lat) for r in got] == [("1", "Long title, with comma", "20261003T020000Z", "018953", 1.3)]
 
 
+def test_feed_listings(spark):
+    schema = "feed string, uid string, title string, start_raw string, end_raw string, description string, location string, postal_code string, lat double, lng double, status string"
+    now = datetime(2026, 10, 3)
+    rows = [
+        ("city", "a@x", "Now", "20261003", None, None, "Hall", None, None, None, None), ("city", "b", "Over", "20261001", None, None, None, None, None, None, None),
+        ("all", "c", "London", "20261005", None, "Address:\nPub", None, None, None, None, None), ("all", "d", "S'pore meetup", "20261005T020000Z", None, "Hosted by X", "https://a.com/event/1", None, None, None, None),
+        ("city", "e", "Odd", "soon", None, None, None, None, None, None, None),
+    ]
+    got = pages.feed_listings(spark.createDataFrame(rows, schema), now, ("city",)).collect()
+    assert {(r.source_event_id, r.venue, r.description, r.registration_url) for r in got} == {("a", "Hall", None, "https://luma.com/event/a"), ("d", None, None, "https://luma.com/event/d")}
+
+
+def test_price_lines():
+    offer = lambda **k: k
+    assert pages.price_line([offer(price="12.50"), offer(lowPrice=5, highPrice="1,000")]) == "S$5 – S$1000"
+    assert pages.price_line(offer(price="Free admission")) == "Free" and pages.price_line(None, True) == "Free" and pages.price_line(offer(price=100)) == "S$100"
+    assert pages.price_line([offer(price=1, priceCurrency="USD")]) is None and pages.price_line([offer(price="NaN"), 3]) is None and pages.price_line(None) is None
+
+
 def test_tickets(spark):
     good = {"id": "9", "name": {"text": " Fair "}, "start": {"utc": "2026-10-03T02:00:00Z"}, "venue": {"name": "Hall", "latitude": "x"}}
     rows = spark.createDataFrame([(json.dumps(good),), (json.dumps({"id": "1"}),), ("{",)], "body string")

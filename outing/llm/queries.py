@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from outing.llm import centroid_clustering
+from outing.llm.centroid_clustering import op11_centroid_clustering
 from outing.llm.decontamination import op5_benchmark_decontamination
 from outing.llm.embedding_dedup import op2_embedding_near_dedup
 from outing.llm.language_id import op6_language_id
@@ -24,8 +26,9 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_secret_scan": op10_secret_scan,
+    "op11_centroid_clustering": op11_centroid_clustering,
 }
 
-#: DuckDB SQL where it can state an operator on whole tables. It states none of these: tokenizers, trained models,
-#: random projections and character offsets are outside it, and all pairs by SQL are too slow on whole tables.
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL where it can state an operator on whole tables. The rest is beyond it or too slow there: tokenizers,
+#: trained models, random projections, character offsets and all pairs.
+ORACLE_SQL: dict[str, str] = {"op11_centroid_clustering": centroid_clustering.ORACLE_SQL}

@@ -13,6 +13,7 @@ from outing.llm.packing import op1_best_fit_packing
 from outing.llm.quality import op3_quality_classifier
 from outing.llm.secrets import op10_secret_scan
 from outing.llm.token_counts import op9_token_counts
+from outing.llm.token_output import op12_token_output
 from outing.llm.toxicity import op4_toxicity
 
 QUERIES = {
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_secret_scan": op10_secret_scan,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_token_output": op12_token_output,
 }
 
 #: DuckDB SQL where it can state an operator on whole tables. The rest is beyond it or too slow there: tokenizers,

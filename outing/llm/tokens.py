@@ -1,4 +1,4 @@
-"""Token ids of whole texts by a public tokenizer, remembered by white-space chunk."""
+"""Token ids of whole texts by a public tokenizer, remembered by white-space chunk or by word after a space."""
 
 from __future__ import annotations
 
@@ -19,6 +19,10 @@ _SPECIAL = "<|"
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 #: The tokenizer settings that the shortcuts below are made for.
 _EXPECTED = ("NFC", "Replace", "Lowercase"), r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The words that byte-level BPE's pre-tokenizer makes of ASCII without white space but a space in front.
+_BYTE_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+")
+#: ASCII punctuation that ends words often.
+_STOPS = ".,;:!?"
 #: Latin letters up to here are the same letters in every version of Unicode that is in use.
 _LATIN = "ɏ"
 
@@ -37,6 +41,17 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(others)}
 
 
+def _has_byte_rules(tokenizer) -> bool:
+    """Whether the tokenizer prepares texts by byte-level BPE's pattern alone, without normalising them."""
+    import json
+
+    made = json.loads(tokenizer.to_str())
+    steps = made["pre_tokenizer"] or {}
+    plain = steps.get("type") == "ByteLevel" and steps.get("use_regex", True) and not steps.get("add_prefix_space")
+    specials = all(t["content"].startswith(_SPECIAL) for t in made["added_tokens"])
+    return bool(plain) and made["normalizer"] is None and not made["truncation"] and specials
+
+
 def _has_word_rules(tokenizer) -> bool:
     """Whether the tokenizer prepares texts as word_bpe_49k does, which the shortcuts rely on."""
     import json
@@ -79,16 +94,63 @@ class _Chunks(dict):
         return found
 
 
+class _SpacedWords(_Chunks):
+    """chunk without white space, but for a space in front if `lead` -> its ids as bytes, by byte-level BPE."""
+
+    def __init__(self, tokenizer, lead: str):
+        super().__init__(tokenizer)
+        self._lead, self._front = lead, self._letters[0x20] if lead else None
+        self._stop = {c: self._word(c) for c in _STOPS}.__getitem__
+
+    def _make(self, chunk: str) -> bytes:
+        if len(chunk) > 1 and chunk[-1] in _STOPS and chunk[-2].isalnum() and chunk[-2] <= _LATIN:
+            return self[chunk[:-1]] + self._stop(chunk[-1])  # a stop after a letter or digit is a word of its own
+        if chunk.isascii() and chunk.isprintable():
+            if chunk.isalpha():
+                return self._word((chr(self._front) if self._lead else "") + chunk)
+            words = _BYTE_WORDS.findall(self._lead + chunk)
+            return b"".join(self._word(w.replace(" ", chr(self._letters[0x20]))) for w in words)
+        if chunk.isalpha() and max(chunk) <= _LATIN:
+            return self._word((self._lead + chunk).encode().decode("latin-1").translate(self._letters))
+        return array("I", self._tokenizer.encode_batch_fast([self._lead + chunk], add_special_tokens=False)[0].ids).tobytes()
+
+
+class _Spaced:
+    """ids of whole texts by byte-level BPE: its words never span a space between two others, nor a line break."""
+
+    def __init__(self, tokenizer):
+        self._tokenizer = tokenizer
+        self._first, self._next = _SpacedWords(tokenizer, ""), _SpacedWords(tokenizer, " ")
+        self._break = self._whole("\n")
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def __call__(self, text: str) -> bytes:
+        words = text.split()
+        if _SPECIAL in text or not words or " ".join(words) != text.replace("\n", " "):
+            return self._whole(text)  # white space in runs, at the ends or of other kinds
+        if "\n" not in text:
+            return self._first[words[0]] + b"".join(map(self._next.__getitem__, words[1:]))
+        lines = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            lines.append(self._first[first] + b"".join(map(self._next.__getitem__, rest)))
+        return self._break.join(lines)
+
+
 class Encoder:
     """ids(text) of a tokenizers file; texts prepared as word_bpe_49k prepares them are encoded by chunk.
 
     Such a tokenizer never joins text across white space, so a text's ids are those of its chunks in turn, and a
-    frequent chunk is encoded once. Any other tokenizer encodes whole texts.
+    frequent chunk is encoded once. So is one of a byte-level BPE like byte_bpe_50k, whose words may begin with a
+    space. Any other tokenizer encodes whole texts.
     """
 
     def __init__(self, path: str):
         self._tokenizer = _tokenizer(path)
         self._known = _Chunks(self._tokenizer) if path in _BY_WORD else None
+        self._spaced = _Spaced(self._tokenizer) if path in _BY_BYTE else None
 
     @staticmethod
     def _by_chunk(text: str) -> bool:
@@ -103,6 +165,8 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
+        if self._spaced is not None:
+            return list(map(self._spaced, texts))
         known, out = self._known, []
         for text in texts:
             if known is not None and self._by_chunk(text):
@@ -114,6 +178,7 @@ class Encoder:
 
 _TOKENIZERS: dict[str, object] = {}
 _BY_WORD: set[str] = set()
+_BY_BYTE: set[str] = set()
 
 
 def _tokenizer(path: str):
@@ -125,9 +190,21 @@ def _tokenizer(path: str):
         made = _TOKENIZERS[path] = Tokenizer.from_file(path)
         if _has_word_rules(made):
             _BY_WORD.add(path)
+        elif _has_byte_rules(made):
+            _BY_BYTE.add(path)
     return _TOKENIZERS[path]
 
 
 def encoder(path: str) -> Encoder:
     """An encoder for one task: what it remembers goes when the task ends."""
     return Encoder(path)
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def worker_encoder(path: str) -> Encoder:
+    """This worker's encoder, which later tasks in the worker find warm; what it remembers stays bounded."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]

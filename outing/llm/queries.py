@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from outing.llm import centroid_clustering
+from outing.llm import centroid_clustering, collocations
 from outing.llm.centroid_clustering import op11_centroid_clustering
+from outing.llm.collocations import op13_collocations
 from outing.llm.decontamination import op5_benchmark_decontamination
 from outing.llm.embedding_dedup import op2_embedding_near_dedup
 from outing.llm.language_id import op6_language_id
@@ -29,8 +30,12 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
     "op11_centroid_clustering": op11_centroid_clustering,
     "op12_token_output": op12_token_output,
+    "op13_collocations": op13_collocations,
 }
 
 #: DuckDB SQL where it can state an operator on whole tables. The rest is beyond it or too slow there: tokenizers,
 #: trained models, random projections, character offsets and all pairs.
-ORACLE_SQL: dict[str, str] = {"op11_centroid_clustering": centroid_clustering.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op11_centroid_clustering": centroid_clustering.ORACLE_SQL,
+    "op13_collocations": collocations.ORACLE_SQL,
+}

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from outing.llm.common import ensure_checkpoint_dir, table
+from outing.llm.common import batches_of, ensure_checkpoint_dir, table
 from outing.llm.tokens import tokenizer_path, worker_encoder
 
 #: Longest code, for up to 2^(LONGEST - 2) ids; a larger vocabulary gets two bits more than its numbers need.
@@ -63,9 +63,11 @@ def id_counts(ids: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(0, np.int64)
-        for pdf in batches:
-            for wide, got in zip(pdf["wide"], pdf["ids"]):
-                n = np.bincount(_ids(wide, got), minlength=len(total))
+        for pdf in batches_of(batches, 1024):
+            wide = pdf["wide"].to_numpy(bool)
+            for width, rows in ((np.uint16, ~wide), (np.uint32, wide)):
+                ids = np.frombuffer(b"".join(pdf["ids"][rows]), width)
+                n = np.bincount(ids, minlength=len(total))
                 n[: len(total)] += total
                 total = n
         found = np.flatnonzero(total)

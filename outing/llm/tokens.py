@@ -11,6 +11,8 @@ from array import array
 LONGEST_CHUNK = 64
 #: Chunks that a task remembers; with LONGEST_CHUNK this bounds the memory, at some 100 MB.
 CACHE_LIMIT = 400_000
+#: As CACHE_LIMIT, for words after a space, which a worker remembers from one task to the next: some 250 MB.
+WORKER_CACHE_LIMIT = 1_000_000
 #: Python's split() takes these as white space, the tokenizer does not.
 _NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Begins the strings of special tokens, which the tokenizer looks for before it lowers a text.
@@ -66,6 +68,8 @@ def _has_word_rules(tokenizer) -> bool:
 class _Chunks(dict):
     """white-space chunk (in lower case) -> its ids as bytes, remembered up to CACHE_LIMIT chunks."""
 
+    limit = CACHE_LIMIT
+
     def __init__(self, tokenizer):
         super().__init__()
         self._tokenizer, self._model, self._letters = tokenizer, tokenizer.model, _byte_letters()
@@ -88,7 +92,7 @@ class _Chunks(dict):
     def __missing__(self, chunk: str) -> bytes:
         found = self._make(chunk)
         if len(chunk) <= LONGEST_CHUNK:
-            if len(self) >= CACHE_LIMIT:
+            if len(self) >= self.limit:
                 self.clear()
             self[chunk] = found
         return found
@@ -97,6 +101,8 @@ class _Chunks(dict):
 class _SpacedWords(_Chunks):
     """chunk without white space, but for a space in front if `lead` -> its ids as bytes, by byte-level BPE."""
 
+    limit = WORKER_CACHE_LIMIT
+
     def __init__(self, tokenizer, lead: str):
         super().__init__(tokenizer)
         self._lead, self._front = lead, self._letters[0x20] if lead else None

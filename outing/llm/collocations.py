@@ -29,11 +29,11 @@ LEAST, SHARE = 10, 50
 #: Phrases returned of each language.
 TOP = 2000
 #: Bytes of text whose edges a task combines at once.
-FLUSH = 16 << 20
+FLUSH = 8 << 20
 #: Bytes of text for each class of edges, which one call adds up; classes that a partition may have to take in turn.
-CLASS_BYTES, MOST_PARTITIONS = 16 << 20, 20_000
+CLASS_BYTES, MOST_PARTITIONS = 8 << 20, 20_000
 #: Rows that a class adds up before more come.
-HELD = 4_000_000
+HELD = 1_500_000
 #: What ends a piece, beside which only space and tab part words.
 PIECE_ENDS = ".,;:!?\n\x0b\x0c\r"
 
@@ -48,10 +48,12 @@ def _hash(words: pa.Array) -> np.ndarray:
     offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
     data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     lengths = np.diff(offsets)
-    place = np.arange(len(data)) - np.repeat(offsets[:-1] - offsets[0], lengths)
+    place = np.arange(len(data), dtype=np.int32)
+    place -= np.repeat(offsets[:-1] - offsets[0], lengths)
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(max(int(lengths.max(initial=0)), 1), 0x9E3779B97F4A7C15, np.uint64))
-        return _mix(np.add.reduceat((data + np.uint64(1)) * power[place], offsets[:-1] - offsets[0]))
+        values = np.cumprod(np.full(max(int(lengths.max(initial=0)), 1), 0x9E3779B97F4A7C15, np.uint64))[place]
+        values *= data + np.uint16(1)
+        return _mix(np.add.reduceat(values, offsets[:-1] - offsets[0]))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -108,7 +110,7 @@ def _edges(texts: list[bytes]) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarr
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(1, len(order) + 1)  # 0 is the end of a piece
     code = rank[found.indices.to_numpy()]
-    piece = np.cumsum(data == 10)[starts]
+    piece = np.cumsum(data == 10, dtype=np.int32)[starts]
     after = lambda k: np.where(piece[k:] == piece[:-k], code[k:], 0)
     second = np.concatenate([after(1), [0]])
     third = np.concatenate([after(2), [0, 0]])[: len(code)]

@@ -263,6 +263,46 @@ DRAFT_SELECTION_NOTE = " Your highlighted text is in the description."
 ASK_FOR_PLACE = "share your location (or name a place) to search near you"
 
 
+#: English stop words of text search.
+STOP_WORDS = frozenset(
+    """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it
+    its itself they them their theirs themselves what which who whom this that these those am is are was were be been
+    being have has had having do does did doing a an the and but if or because as until while of at by for with about
+    against between into through during before after above below to from up down in out on off over under again
+    further then once here there when where why how all any both each few more most other some such no nor not only
+    own same so than too very s t can will just don should now""".split()
+)
+
+#: The English stemmer (Porter2): words with stems of their own, words left as they are once plurals are cut, and for
+#: each later step its endings, what replaces them, the region they must lie in (1 or 2) and letters that must precede.
+STEM_EXCEPTIONS = {
+    "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl",
+    "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl", "sky": "sky", "news": "news", "howe": "howe",
+    "atlas": "atlas", "cosmos": "cosmos", "bias": "bias", "andes": "andes",
+}
+STEM_LEFT = ("inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed")
+STEM_STEPS = (
+    {
+        "tional": ("tion", 1, ""), "enci": ("ence", 1, ""), "anci": ("ance", 1, ""), "abli": ("able", 1, ""),
+        "entli": ("ent", 1, ""), "izer": ("ize", 1, ""), "ization": ("ize", 1, ""), "ational": ("ate", 1, ""),
+        "ation": ("ate", 1, ""), "ator": ("ate", 1, ""), "alism": ("al", 1, ""), "aliti": ("al", 1, ""),
+        "alli": ("al", 1, ""), "fulness": ("ful", 1, ""), "ousli": ("ous", 1, ""), "ousness": ("ous", 1, ""),
+        "iveness": ("ive", 1, ""), "iviti": ("ive", 1, ""), "biliti": ("ble", 1, ""), "bli": ("ble", 1, ""),
+        "ogi": ("og", 1, "l"), "fulli": ("ful", 1, ""), "lessli": ("less", 1, ""), "li": ("", 1, "cdeghkmnrt"),
+    },
+    {
+        "tional": ("tion", 1, ""), "ational": ("ate", 1, ""), "alize": ("al", 1, ""), "icate": ("ic", 1, ""),
+        "iciti": ("ic", 1, ""), "ical": ("ic", 1, ""), "ful": ("", 1, ""), "ness": ("", 1, ""), "ative": ("", 2, ""),
+    },
+    {
+        "al": ("", 2, ""), "ance": ("", 2, ""), "ence": ("", 2, ""), "er": ("", 2, ""), "ic": ("", 2, ""),
+        "able": ("", 2, ""), "ible": ("", 2, ""), "ant": ("", 2, ""), "ement": ("", 2, ""), "ment": ("", 2, ""),
+        "ent": ("", 2, ""), "ism": ("", 2, ""), "ate": ("", 2, ""), "iti": ("", 2, ""), "ous": ("", 2, ""),
+        "ive": ("", 2, ""), "ize": ("", 2, ""), "ion": ("", 2, "st"),
+    },
+)
+
+
 @dataclass(frozen=True)
 class Settings:
     """Thresholds; the values are those that give the known results."""

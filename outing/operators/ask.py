@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from outing import model
 from outing.functions import timewin
 from outing.model import SETTINGS
-from outing.operators import retrieval, search
+from outing.operators import fulltext, retrieval, search
 
 _MOST = 15
 
@@ -95,7 +95,7 @@ def retrieve(
 ) -> DataFrame:
     """At most top_k events for a question, best first: columns of search.matching with rank (from 1), score, matched.
 
-    `events` has text, and embedding if a vector is given. The nearest candidates, or the soonest without a radius, are
+    `events` has text or a search_vector (stemmed search then), and embedding if a vector is given. The nearest candidates, or the soonest without a radius, are
     ranked by vector and by words; without a vector by words alone. Where nothing is close, or nothing was asked for
     beside filters, the first candidates come in their own order, unmatched in the first case.
     """
@@ -108,7 +108,10 @@ def retrieve(
     words = words.strip()
     if not words:
         return _numbered(plain.withColumn("score", F.lit(None).cast("double")).withColumn("matched", F.lit(True)), keys)
-    lists = [retrieval.text_ranks(pool, words, settings)]
+    if "search_vector" in events.columns:
+        lists = [fulltext.ranked(fulltext.inverted(pool), words, pool.select("id"), settings)]
+    else:
+        lists = [retrieval.text_ranks(pool, words, settings)]
     if vector is not None:
         lists.insert(0, retrieval.vector_ranks(pool.filter("embedding is not null"), vector, settings))
     hours = max(1.0, (q.end - max(q.start, now)).total_seconds() / 3600)

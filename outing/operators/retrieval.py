@@ -30,12 +30,12 @@ def vector_ranks(candidates: DataFrame, query: list[float], settings=SETTINGS) -
 
 
 def lexemes(text: Column) -> Column:
-    """Lower-case words of letters and digits, with repeats."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)
+    """Lower-case words of letters and digits of any script, with repeats."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
 def query_words(question: str) -> list[str]:
-    return sorted(set(re.findall("[a-z0-9]+", question.lower())))
+    return sorted(set(re.findall(r"[^\W_]+", question.lower())))
 
 
 def text_ranks(candidates: DataFrame, question: str, settings=SETTINGS) -> DataFrame:

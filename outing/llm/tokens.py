@@ -99,16 +99,22 @@ class _Chunks(dict):
 
 
 class _SpacedWords(_Chunks):
-    """chunk without white space, but for a space in front if `lead` -> its ids as bytes, by byte-level BPE."""
+    """chunk without white space, but for a space in front if `lead` -> its ids as bytes, by byte-level BPE.
+
+    A chunk that begins with a line break has no space in front: its ids are `line_break` and those of the rest.
+    """
 
     limit = WORKER_CACHE_LIMIT
 
-    def __init__(self, tokenizer, lead: str):
+    def __init__(self, tokenizer, lead: str, line_break: bytes = b"", after_break: _SpacedWords | None = None):
         super().__init__(tokenizer)
+        self._line_break, self._after_break = line_break, after_break
         self._lead, self._front = lead, self._letters[0x20] if lead else None
         self._stop = {c: self._word(c) for c in _STOPS}.__getitem__
 
     def _make(self, chunk: str) -> bytes:
+        if chunk[0] == "\n":
+            return self._line_break + self._after_break[chunk[1:]]
         if len(chunk) > 1 and chunk[-1] in _STOPS and chunk[-2].isalnum() and chunk[-2] <= _LATIN:
             return self[chunk[:-1]] + self._stop(chunk[-1])  # a stop after a letter or digit is a word of its own
         if chunk.isascii() and chunk.isprintable():
@@ -126,23 +132,18 @@ class _Spaced:
 
     def __init__(self, tokenizer):
         self._tokenizer = tokenizer
-        self._first, self._next = _SpacedWords(tokenizer, ""), _SpacedWords(tokenizer, " ")
-        self._break = self._whole("\n")
+        self._first = _SpacedWords(tokenizer, "")
+        self._next = _SpacedWords(tokenizer, " ", self._whole("\n"), self._first)
 
     def _whole(self, text: str) -> bytes:
         return array("I", self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        words = text.split()
-        if _SPECIAL in text or not words or " ".join(words) != text.replace("\n", " "):
-            return self._whole(text)  # white space in runs, at the ends or of other kinds
-        if "\n" not in text:
-            return self._first[words[0]] + b"".join(map(self._next.__getitem__, words[1:]))
-        lines = []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            lines.append(self._first[first] + b"".join(map(self._next.__getitem__, rest)))
-        return self._break.join(lines)
+        flat = text.replace("\n", " ")
+        if _SPECIAL in text or not flat.strip(" ") or " " in (flat[0], flat[-1]) or "  " in flat or not flat.isprintable():
+            return self._whole(text)  # white space in runs, at the ends or of other kinds, or control characters
+        first, *rest = (flat if flat == text else text.replace("\n", " \n")).split(" ")
+        return self._first[first] + b"".join(map(self._next.__getitem__, rest))
 
 
 class Encoder:

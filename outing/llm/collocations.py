@@ -28,6 +28,8 @@ from outing.llm.common import cut, cut_table, table
 LEAST, SHARE = 10, 50
 #: Phrases returned of each language.
 TOP = 2000
+#: Shares of a language's phrases that are ranked apart first.
+SHARES = 16
 #: Bytes of text whose edges a task combines at once.
 FLUSH = 8 << 20
 #: Bytes of text for each class of edges, which one call adds up; classes that a partition may have to take in turn.
@@ -346,8 +348,10 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
         F.when(F.col("l2").isNotNull(), F.struct(_score("l2", "f3").alias("score"), F.lit(2).alias("k"), F.col("l2").alias("l"), F.col("f3").alias("r"))).alias("two"),
     )
     scored = cuts.select("lang", "phrase", "a", F.least("one", "two").alias("x")).select("lang", "phrase", "a", "x.l", "x.r", "x.score")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    # each share of a language's phrases keeps its own first ones, so that few rows meet in one task
+    share, order = F.pmod(F.xxhash64("phrase"), F.lit(SHARES)), [F.desc("score"), F.desc("a"), F.col("phrase")]
+    first = scored.withColumn("rank", F.row_number().over(Window.partitionBy("lang", share).orderBy(*order))).filter(F.col("rank") <= top)
+    best = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
     return best.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 

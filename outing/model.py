@@ -332,6 +332,9 @@ class Settings:
     drafts_per_page: int = 10
     per_domain: int = 5
     most_pages: int = 40
+    most_searches: int = 10
+    most_events: int = 25
+    most_seconds: int = 600
 
 
 SETTINGS = Settings()

@@ -37,6 +37,35 @@ def missing_sources(events: DataFrame, sources: DataFrame, runs: DataFrame, now:
     return rows.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= limit).select("source_id", F.col("event_id").alias("id"), "source_url")
 
 
+def recheck(events: DataFrame, missing: DataFrame, checks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, counts) after the pages of missing_sources() rows were asked for again.
+
+    `checks` (source_id, source_url, answer: gone, there, blocked or error) is what asking gave; sources without any
+    answer can't be asked. A source's pages are asked for in order of event and URL until one is blocked, which ends
+    the source; errors change nothing. An event whose page is gone is cancelled, with the last such source named in
+    the reason. counts: (source_id, rechecked, cancelled, errors, blocked); a page that wasn't asked for counts nowhere.
+    """
+    asked = missing.join(checks, ["source_id", "source_url"])
+    # missing_sources gives at most its limit for a source
+    turn = Window.partitionBy("source_id").orderBy("id", "source_url")
+    before = F.coalesce(F.max(F.col("answer") == "blocked").over(turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    rows = asked.withColumn("_over", before).filter("not _over").drop("_over")
+    is_ = lambda *a: F.col("answer").isin(*a)
+    counts = rows.groupBy("source_id").agg(
+        F.count_if(is_("gone", "there")).alias("rechecked"),
+        F.count_if(is_("gone")).alias("cancelled"),
+        F.count_if(is_("error")).alias("errors"),
+        F.count_if(is_("blocked")).alias("blocked"),
+    )
+    gone = rows.filter(is_("gone")).groupBy("id").agg(F.max("source_id").alias("_by"))
+    after = events.join(gone, "id", "left")
+    reason = F.when(F.col("_by").isNotNull(), F.concat("_by", F.lit(" page gone (404/410)")))
+    status = F.when(F.col("_by").isNotNull(), "cancelled").otherwise(F.col("status"))
+    old = F.col("status_reason") if "status_reason" in events.columns else F.lit(None).cast("string")
+    columns = [status.alias(c) if c == "status" else F.col(f"`{c}`") for c in events.columns if c != "status_reason"]
+    return after.select(*columns, F.coalesce(reason, old).alias("status_reason")), counts
+
+
 def run_alerts(runs: DataFrame, settings=SETTINGS) -> DataFrame:
     """Runs with the alerts that each raises, compared with the source's ok runs of the days before (and any later)."""
     other = runs.filter("status = 'ok'").select("source_id", F.col("id").alias("o_id"), F.col("started_at").alias("o_at"), F.col("events_found").alias("o_found"))

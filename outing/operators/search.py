@@ -5,8 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from outing.functions import geo, timewin
 
@@ -118,6 +119,32 @@ def search(events: DataFrame, venues: DataFrame, q: EventQuery, now: datetime) -
     return page.withColumn("rank", F.row_number().over(Window.orderBy(*order(q, now))) + q.offset)
 
 
+@dataclass(frozen=True)
+class Page:
+    """A page of rows, how many match in all, and where the next page begins, if there is one."""
+
+    rows: DataFrame
+    total: int
+    next_offset: int | None
+
+
+def page(events: DataFrame, venues: DataFrame, q: EventQuery, now: datetime) -> Page:
+    """A page and its total in one job: the scan that feeds the top-k counts what passes the filters on the way.
+
+    The page, at most 100 rows, is computed at once.
+    """
+    seen = Observation()
+    counted = matching(events, venues, q, now).observe(seen, F.count(F.lit(1)).alias("total"))
+    by = order(q, now)
+    got = counted.orderBy(*by).offset(q.offset).limit(q.limit)
+    rows = got.collect()
+    total = seen.get["total"]
+    numbered = [(*r, k) for k, r in enumerate(rows, q.offset + 1)]
+    schema = StructType([*got.schema.fields, StructField("rank", IntegerType())])
+    after = q.offset + q.limit
+    return Page(events.sparkSession.createDataFrame(numbered, schema), total, after if after < total else None)
+
+
 def total(events: DataFrame, venues: DataFrame, q: EventQuery, now: datetime) -> DataFrame:
     """How many events match, on the same plan but without the distance."""
     return with_venues(events, venues).filter(conditions(q, now)).agg(F.count("*").alias("total"))

@@ -180,8 +180,19 @@ _EMBED = f"""SELECT id, content, sha256(concat('model-1', chr(31), content)) AS
 
 
 def token_batches(spark, sf_dir):
-    rows = embedding_text(spark, sf_dir).select((F.col("id") % 16).alias("part"), "id", "content")
-    return answers.token_batches(rows)
+    """All documents in batches: rows and tokens of them all, and how many batches break a limit or could have taken
+    the row after them."""
+    rows = bridge.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    batches = answers.token_batches(rows)
+    each = batches.groupBy("part", "batch").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"), F.min_by("tokens", "id").alias("first"))
+    after = Window.partitionBy("part").orderBy("batch")  # a part is a range of ids
+    each = each.withColumn("next", F.lead("first").over(after))
+    room = (F.col("n") < model.SETTINGS.batch_items) & (F.col("tokens") + F.col("next") <= model.SETTINGS.batch_tokens)
+    over = (F.col("n") > model.SETTINGS.batch_items) | ((F.col("tokens") > model.SETTINGS.batch_tokens) & (F.col("n") > 1))
+    return each.agg(F.sum("n").alias("rows"), F.sum("tokens").alias("tokens"), F.count_if(over).alias("over"), F.count_if(room).alias("with_room"))
+
+
+_BATCHES = "SELECT count(*) AS rows, CAST(sum(length(coalesce(text, '')) // 3 + 1) AS BIGINT) AS tokens, 0 AS over, 0 AS with_room FROM documents"
 
 
 # --- dedup and upsert --------------------------------------------------------------------------------
@@ -551,6 +562,6 @@ ORACLE_SQL = {
     "upsert_actions": _UPSERT, "upsert_result": _UPSERT_RESULT, "venue_get_or_create": _VENUE_NEW, "venue_geocode_cache": _CACHE,
     "first_per_url": _FIRST_URL, "expire_ended": _EXPIRE, "missing_sources": _MISSING, "latest_runs": _LATEST, "admin_status": _ADMIN,
     "run_alerts": _ALERTS, "plan_queries": _PLAN, "judge_verdict": _JUDGE, "domain_rules": _DOMAINS, "html_titles": _TITLES,
-    "jsonld_events": _JSONLD, "ticket_events": _TICKETS, "cited_answers": _CITED,
+    "token_batches": _BATCHES, "jsonld_events": _JSONLD, "ticket_events": _TICKETS, "cited_answers": _CITED,
     "parse_when": _PARSE_WHEN, "normalise_events": _NORMALISE, "repaired_times": _REPAIRED, "template_answers": _TEMPLATE,
 }

@@ -6,9 +6,11 @@ import html
 import json
 import re
 from collections.abc import Iterator
-from datetime import datetime
+from datetime import UTC, datetime
 from decimal import Decimal, InvalidOperation
+from functools import lru_cache
 from html.parser import HTMLParser
+from zoneinfo import ZoneInfo
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,29 +27,90 @@ EVENT_FIELDS = "title string, start_raw string, end_raw string, venue string, ad
 _NAMES = [f.split()[0] for f in EVENT_FIELDS.split(", ")]
 
 
+#: Elements without an end, and the attribute that holds an element's value where it isn't its text.
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_VALUE_OF = {
+    "meta": "content", "audio": "src", "embed": "src", "iframe": "src", "img": "src", "source": "src", "track": "src",
+    "video": "src", "a": "href", "area": "href", "link": "href", "object": "data", "data": "value", "meter": "value",
+    "time": "datetime",
+}
+#: Open elements of a page that are kept track of; deeper ones add nothing to items.
+_DEEPEST = 2000
+
+
 class _Reader(HTMLParser):
-    """Visible words and the bodies of JSON-LD scripts."""
+    """Visible words, the bodies of JSON-LD scripts, and the microdata items that lie in no other item."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.words: list[str] = []
         self.data: list[str] = []
+        self.items: list[dict] = []
         self._hidden = 0
         self._ld = False
+        self._open: list[tuple[str, dict | None, list[str], int | None]] = []  # tag, its item, properties, start of its text
+        self._text: list[str] = []
+
+    def _put(self, names: list[str], value, depth: int) -> None:
+        """Add a property to the item around the element at `depth`."""
+        around = next((item for _, item, *_ in reversed(self._open[:depth]) if item is not None), None)
+        for name in names if around is not None else ():
+            around.setdefault(name, []).append(value)
+
+    def _element(self, tag: str, attrs: dict) -> None:
+        names, item, start = (attrs.get("itemprop") or "").split(), None, None
+        if "itemscope" in attrs:
+            kinds = [k.rstrip("/").rsplit("/", 1)[-1] for k in (attrs.get("itemtype") or "").split()]
+            item = {"@type": kinds} | ({"@id": attrs["itemid"]} if attrs.get("itemid") else {})
+            if names:
+                self._put(names, item, len(self._open))
+            else:
+                self.items.append(item)
+        elif names:
+            if (said := attrs.get(_VALUE_OF.get(tag, ""))) is not None or tag in _VOID:
+                self._put(names, said, len(self._open))
+            else:
+                start = len(self._text)
+        if tag not in _VOID and len(self._open) < _DEEPEST:
+            self._open.append((tag, item, names, start))
+
+    def _close(self, depth: int) -> None:
+        while len(self._open) > depth:
+            _, _, names, start = self._open.pop()
+            if start is not None:
+                self._put(names, "".join(self._text[start:]), len(self._open))
+        if not self._open:
+            self._text.clear()
 
     def handle_starttag(self, tag, attrs):
         self._hidden += tag in _HIDDEN
-        self._ld = tag == "script" and (dict(attrs).get("type") or "").lower() == "application/ld+json"
+        named = dict(attrs)
+        self._ld = tag == "script" and (named.get("type") or "").lower() == "application/ld+json"
+        if self._open or "itemscope" in named:
+            self._element(tag, named)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
         self._hidden = max(0, self._hidden - (tag in _HIDDEN))
         self._ld = False
+        depth = next((k for k in range(len(self._open) - 1, -1, -1) if self._open[k][0] == tag), None)
+        if depth is not None:
+            self._close(depth)
 
     def handle_data(self, data):
         if self._ld:
             self.data.append(data)
         elif not self._hidden:
             self.words += data.split()
+        if self._open:
+            self._text.append(data)
+
+    def close(self):
+        super().close()
+        self._close(0)
 
 
 def _read(page: str | None) -> _Reader:
@@ -102,6 +165,8 @@ def price_line(offers, free=None) -> str | None:
     if str(free).lower() == "true":
         return "Free"
     offers = [o for o in (offers if isinstance(offers, list) else [offers]) if isinstance(o, dict)]
+    one = lambda x: x[0] if isinstance(x, list) and x else x
+    offers = [{k: one(v) for k, v in o.items()} for o in offers]
     said = [o.get(k) for o in offers for k in ("price", "lowPrice", "highPrice")]
     amounts = sorted(x for x in (_amount(v) for v in said if v not in (None, "")) if x is not None)
     if not amounts or {str(o.get("priceCurrency") or "SGD").upper() for o in offers} != {"SGD"}:
@@ -118,13 +183,14 @@ def _number(value) -> float | None:
 
 
 def structured_events(page: str | None, url: str | None) -> list[dict]:
-    """Up to MOST_EVENTS events of a page's JSON-LD; broken scripts are passed over."""
-    found = []
-    for block in _read(page).data:
+    """Up to MOST_EVENTS events of a page's JSON-LD, then of its microdata; broken scripts are passed over."""
+    found, blocks, read = [], [], _read(page)
+    for block in read.data:
         try:
-            data = json.loads(block)
+            blocks.append(json.loads(block))
         except (ValueError, RecursionError):  # broken, or nested beyond what any page needs
             continue
+    for data in [*blocks, read.items]:
         for e in find_events(data):
             place = e.get("location")
             place = place[0] if isinstance(place, list) and place else place
@@ -132,13 +198,14 @@ def structured_events(page: str | None, url: str | None) -> list[dict]:
             mode, virtual = clean(e.get("eventAttendanceMode")), "VirtualLocation" in str(place.get("@type"))
             if virtual:
                 place, mode = {}, mode or ONLINE_MODE
-            geo = place["geo"] if isinstance(place.get("geo"), dict) else {}
-            address = place.get("address")
+            one = lambda x: x[0] if isinstance(x, list) and x else x
+            geo = {k: one(v) for k, v in one(place.get("geo")).items()} if isinstance(one(place.get("geo")), dict) else {}
+            address = one(place.get("address"))
             parts = [address.get(k) for k in ("streetAddress", "addressLocality", "postalCode")] if isinstance(address, dict) else [address]
             line = ", ".join(p for p in map(clean, parts) if p) or None
             code = re.search(r"\b\d{6}\b", line or "")
             row = (clean(e.get("name")), clean(e.get("startDate")), clean(e.get("endDate")), clean(place.get("name")), line, code and code[0], clean(e.get("description")), clean(e.get("url")) or url, clean(e.get("image")), clean(e.get("organizer")))
-            row += (price_line(e.get("offers"), e.get("isAccessibleForFree")), _number(geo.get("latitude")), _number(geo.get("longitude")), mode, clean(e.get("eventStatus")), clean(e.get("@id")))
+            row += (price_line(e.get("offers"), one(e.get("isAccessibleForFree"))), _number(geo.get("latitude")), _number(geo.get("longitude")), mode, clean(e.get("eventStatus")), clean(e.get("@id")))
             if row[0] and row[1]:
                 found.append(dict(zip(_NAMES, row)))
     return found[:MOST_EVENTS]
@@ -152,8 +219,8 @@ def page_events(pages: DataFrame) -> DataFrame:
             rows = [{"page_id": i, **e} for i, u, h in zip(pdf["page_id"], pdf["url"], pdf["html"]) for e in structured_events(h, u)]
             yield pd.DataFrame(rows, columns=["page_id", *_NAMES])
 
-    # most pages have no such script, and need no parser
-    some = pages.filter(F.col("html").rlike("(?i)ld(?:\\+|&)")).select("page_id", "url", "html")
+    # most pages have no such script or item, and need no parser
+    some = pages.filter(F.col("html").rlike("(?i)ld(?:\\+|&)|itemscope")).select("page_id", "url", "html")
     return some.mapInPandas(run, "page_id long, " + EVENT_FIELDS)
 
 
@@ -170,19 +237,53 @@ def _unescape(value: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] in "nN" else m[1], value)
 
 
+#: A line of a calendar: name, parameters (values may be quoted) and value.
+_LINE = re.compile(r'([A-Za-z0-9-]+)((?:;[A-Za-z0-9-]+=(?:"[^"]*"|[^";:,]*)(?:,(?:"[^"]*"|[^";:,]*))*)*):(.*)', re.DOTALL)
+_PARAMETER = re.compile(r';([A-Za-z0-9-]+)=("[^"]*"|[^";:]*)')
+_LOCAL_TIME = re.compile(r"(\d{8}T\d{6})")
+
+
+def utc_time(value: str, zone: str | None) -> str:
+    """A calendar's local time in `zone` as a UTC time of the same form; all else stays as it is.
+
+    A time that the clocks skip or repeat is read with the offset before the change. A zone that is unknown leaves the
+    time floating.
+    """
+    if zone is None or not _LOCAL_TIME.fullmatch(value):
+        return value
+    try:
+        local = datetime.strptime(value, "%Y%m%dT%H%M%S").replace(tzinfo=_zone(zone.strip("/").removeprefix("freeassociation.sourceforge.net/")))
+    except (ValueError, KeyError, OSError):
+        return value
+    return local.astimezone(UTC).strftime("%Y%m%dT%H%M%SZ")
+
+
+@lru_cache(maxsize=1024)
+def _zone(name: str) -> ZoneInfo:
+    return ZoneInfo(name)
+
+
 def calendar_events(feed: str | None) -> list[dict]:
-    """Properties of each VEVENT of an iCalendar text: unfolded lines, unescaped values, the first of each name."""
+    """Properties of each VEVENT of an iCalendar text: unfolded lines, unescaped values, the first of each name; times
+    with a zone in UTC, and the organiser's name as ORGANIZER_CN. Parts nested in an event (alarms) count for nothing."""
     lines = re.sub(r"\r?\n[ \t]", "", feed or "").splitlines()
     found, now = [], None
     for line in lines:
         if line == "BEGIN:VEVENT":
-            now = {}
+            now, nested = {}, 0
         elif line == "END:VEVENT" and now is not None:
             found.append(now)
             now = None
-        elif now is not None and ":" in line:
-            name, value = line.split(":", 1)
-            now.setdefault(name.split(";")[0].upper(), _unescape(value))
+        elif now is not None and line.startswith(("BEGIN:", "END:")):
+            nested += 1 if line.startswith("BEGIN:") else -1
+        elif now is not None and not nested and (part := _LINE.fullmatch(line)):
+            name, value = part[1].upper(), _unescape(part[3])
+            said = {k.upper(): v.strip('"') for k, v in _PARAMETER.findall(part[2])}
+            if name in ("DTSTART", "DTEND") and said.get("VALUE", "").upper() != "DATE":
+                value = utc_time(value.strip(), said.get("TZID"))
+            now.setdefault(name, value)
+            if name == "ORGANIZER" and said.get("CN", "").strip():
+                now.setdefault("ORGANIZER_CN", said["CN"].strip())
     return found
 
 
@@ -201,10 +302,10 @@ def feed_events(feeds: DataFrame) -> DataFrame:
                         continue
                     place = e.get("LOCATION")
                     code = re.search(r"\bSingapore (\d{6})\b", place or "")
-                    rows.append((name, e["UID"], e["SUMMARY"], e["DTSTART"], e.get("DTEND"), e.get("DESCRIPTION"), place, code and code[1], lat, lng, (e.get("STATUS") or "").lower() or None))
+                    rows.append((name, e["UID"], e["SUMMARY"], e["DTSTART"], e.get("DTEND"), e.get("DESCRIPTION"), place, code and code[1], lat, lng, (e.get("STATUS") or "").lower() or None, e.get("ORGANIZER_CN")))
             yield pd.DataFrame(rows, columns=names)
 
-    schema = "feed string, uid string, title string, start_raw string, end_raw string, description string, location string, postal_code string, lat double, lng double, status string"
+    schema = "feed string, uid string, title string, start_raw string, end_raw string, description string, location string, postal_code string, lat double, lng double, status string, organizer string"
     names = [c.split()[0] for c in schema.split(", ")]
     return feeds.select("feed", "body").mapInPandas(run, schema)
 
@@ -212,7 +313,7 @@ def feed_events(feeds: DataFrame) -> DataFrame:
 def feed_listings(rows: DataFrame, now: datetime, local_feeds: tuple[str, ...] = ()) -> DataFrame:
     """feed_events rows that are still to come at `now` (UTC), with their descriptions taken apart: feed,
     source_event_id, title, start_raw, end_raw, description, venue, address, postal_code, lat, lng, status, source_url,
-    registration_url.
+    registration_url, organizer, source_tags (the feed's name, of feeds that aren't local).
 
     An event ends at its end, else at its start, or a day later if that is a day; one whose times can't be read is left
     out. Events without a point count only if the feed is local or a text mentions the country.
@@ -252,6 +353,8 @@ def feed_listings(rows: DataFrame, now: datetime, local_feeds: tuple[str, ...] =
         "status",
         page.alias("source_url"),
         F.coalesce(F.when(away & ~place.contains("/event/"), place), "_link", page).alias("registration_url"),
+        "organizer",
+        F.array_compact(F.array(F.when(~c("feed").isin(*local_feeds), c("feed")))).alias("source_tags"),
     )
 
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from outing.llm.common import batches_of, ensure_checkpoint_dir, table
+from outing.llm.common import ensure_checkpoint_dir, table
 from outing.llm.tokens import tokenizer_path, worker_encoder
 
 #: Longest code, for up to 2^(LONGEST - 2) ids; a larger vocabulary gets two bits more than its numbers need.
@@ -37,21 +37,31 @@ END = 0
 
 
 def token_ids(docs: DataFrame, path: str, end: int = END) -> DataFrame:
-    """(doc_id, ids): the ids of each whole text and `end`, two bytes each where all are below 65,536, else four."""
+    """(doc_id, wide, ids, counts): the ids of each whole text and `end`, two bytes each where all are below 65,536, else
+    four; and from each task a row with counts alone, which holds its ids and how often each occurs."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = worker_encoder(path), np.array([end], np.uint32).tobytes()
+        encoder, last, total = worker_encoder(path), np.array([end], np.uint32).tobytes(), np.zeros(0, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 made = [b + last for b in encoder.ids([t or "" for t in part.column(1).to_pylist()])]
-                ids = [np.frombuffer(b, np.uint32) for b in made]
-                narrow = [x.astype(np.uint16).tobytes() if x.max() < 1 << 16 else x.tobytes() for x in ids]
-                wide = [bool(x.max() >= 1 << 16) for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(wide), pa.array(narrow, pa.binary())], names=names)
+                every = np.frombuffer(b"".join(made), np.uint32)
+                n = np.bincount(every, minlength=len(total))
+                n[: len(total)] += total
+                total, ends = n, np.cumsum([len(b) // 4 for b in made])
+                wide = np.maximum.reduceat(every, np.concatenate([[0], ends[:-1]])) >= 1 << 16
+                short, begins = memoryview(every.astype(np.uint16).tobytes()), (ends * 2 - [len(b) // 2 for b in made]).tolist()
+                ids = [b if w else short[x:y] for b, w, x, y in zip(made, wide, begins, (ends * 2).tolist())]
+                none = pa.nulls(len(ids), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(wide), pa.array(ids, pa.binary()), none], names=names)
+        found = np.flatnonzero(total)
+        counts = np.concatenate([found, total[found]]).astype(np.int64).tobytes()
+        row = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.binary()), pa.array([counts])]
+        yield pa.RecordBatch.from_arrays(row, names=names)
 
-    names = ["doc_id", "wide", "ids"]
-    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, wide boolean, ids binary")
+    names = ["doc_id", "wide", "ids", "counts"]
+    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, wide boolean, ids binary, counts binary")
 
 
 def _ids(wide: bool, ids: bytes) -> np.ndarray:
@@ -59,21 +69,16 @@ def _ids(wide: bool, ids: bytes) -> np.ndarray:
 
 
 def id_counts(ids: DataFrame) -> DataFrame:
-    """(id, n) of all ids; tasks report each id once."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(0, np.int64)
-        for pdf in batches_of(batches, 1024):
-            wide = pdf["wide"].to_numpy(bool)
-            for width, rows in ((np.uint16, ~wide), (np.uint32, wide)):
-                ids = np.frombuffer(b"".join(pdf["ids"][rows]), width)
-                n = np.bincount(ids, minlength=len(total))
-                n[: len(total)] += total
-                total = n
-        found = np.flatnonzero(total)
-        yield pd.DataFrame({"id": found, "n": total[found]})
+    """(id, n) of all ids, from the rows of counts that tasks left in token_ids()."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for counts in pdf["counts"]:
+                found, n = np.frombuffer(counts, np.int64).reshape(2, -1)
+                yield pd.DataFrame({"id": found, "n": n})
 
-    return ids.select("wide", "ids").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    told = ids.filter("counts is not null").select("counts").mapInPandas(read, "id long, n long")
+    return told.groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -201,7 +206,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end: int
     names = ["part", "before", "doc_ids", "lengths", "checkpoints", "codes"]
     schema = "part int, before long, doc_ids array<string>, lengths array<long>, checkpoints binary, codes binary"
     order = ["doc_id", "h", "ids"]
-    sorted_ids = ids.withColumn("h", F.xxhash64("ids")).repartitionByRange("doc_id", "h").sortWithinPartitions(*order)
+    sorted_ids = ids.filter("counts is null").drop("counts").withColumn("h", F.xxhash64("ids")).repartitionByRange("doc_id", "h").sortWithinPartitions(*order)
     # ids travel as text, since pandas turns integers next to a null into floats
     blocks = sorted_ids.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(encode, schema)
     blocks = blocks.withColumn("doc_ids", F.col("doc_ids").cast("array<long>"))

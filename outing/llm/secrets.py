@@ -22,14 +22,17 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 #: Nats a character by which a token must be likelier as a random string.
 MARGIN = 0.4
-#: Documents from which ordinary identifiers are taken, and random strings of each form.
+#: Documents from which ordinary identifiers are taken, about so many of any table, and random strings of each form.
 SAMPLE_DOCS, SAMPLE_STRINGS = 2000, 3000
+#: Values that one step of a running fold takes; a text's matches cost their number times this at most.
+BLOCK = 512
 
 
 def labelled_samples(docs: DataFrame, most_docs: int = SAMPLE_DOCS, strings: int = SAMPLE_STRINGS) -> DataFrame:
     """(token, random): about `most_docs` documents' words, also joined to identifiers, and strings from digests."""
     share = min(1.0, most_docs / max(1, docs.count()))
-    chosen = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    # hashes as doubles, so that no table is too large for the share
+    chosen = docs.filter((F.xxhash64("doc_id").cast("double") / 2.0**64 + 0.5) <= share)
     words = F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z]{3,}(?![A-Za-z0-9+/_=-])"), 0)
     pairs = F.zip_with(
         F.col("words"), F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))
@@ -83,32 +86,61 @@ def train_markov(samples: DataFrame) -> Column:
     return F.from_json(F.lit(values), "array<double>")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), where value is computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(values: Column, op) -> Column:
+    """For each of the integers `values`, op folded over those before it, from 0; block by block, since an array that
+    grows by one value is copied each time."""
+
+    def fold(block: Column) -> Column:
+        start = F.struct(F.lit(0).alias("all"), F.expr("cast(array() as array<int>)").alias("before"))
+        step = lambda acc, x: F.struct(op(acc["all"], x).alias("all"), F.concat(acc["before"], F.array(acc["all"])).alias("before"))
+        return F.aggregate(block, start, step)
+
+    last = F.floor((F.size(values) - 1) / BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(values, b * BLOCK + 1, BLOCK))
+    joined = lambda parts: F.flatten(
+        F.zip_with(parts["before"], fold(parts["all"])["before"], lambda inner, outer: F.transform(inner, lambda x: op(outer, x)))
+    )
+    return F.when(F.size(values) > 0, _let(F.transform(blocks, fold), joined)).otherwise(F.expr("cast(array() as array<int>)"))
+
+
 def _spans(kind: str, text: str, matches: str, pattern: str) -> Column:
     """start, rank, end, kind of each of `matches`, whose places follow from the text between them."""
     between = F.transform(F.split(F.col(text), pattern, -1), lambda x: F.length(x))
     sizes = F.transform(F.col(matches), lambda x: F.length(x))
-    walk = F.aggregate(
-        F.zip_with(between, sizes, lambda gap, size: F.struct(gap.alias("gap"), size.alias("size"))),
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.coalesce(x["size"], F.lit(0))).alias("at"),
-            F.concat(acc["starts"], F.array(acc["at"] + x["gap"])).alias("starts"),
-        ),
-        lambda acc: acc["starts"],
-    )
+    # what lies between the match before and the end of this one
+    steps = F.zip_with(F.slice(between, 1, F.size(matches)), sizes, lambda gap, size: gap + size)
+    ends = F.zip_with(_running(steps, lambda a, b: a + b), steps, lambda before, step: before + step)
     made = F.zip_with(
-        F.slice(walk, 1, F.size(matches)),
+        ends,
         sizes,
-        lambda start, size: F.struct(
-            start.alias("start"),
+        lambda end, size: F.struct(
+            (end - size).alias("start"),
             F.lit(KINDS.index(kind)).alias("rank"),
-            (start + size).alias("end"),
+            end.alias("end"),
             F.lit(kind).alias("kind"),
         ),
     )
     return F.when(F.size(matches) > 0, made).otherwise(F.expr(f"cast(array() as {_SPAN})"))
 
 
+def _apart(spans: Column) -> Column:
+    """`spans`, sorted by start, without those of the models that a span of a pattern overlaps: an earlier one reaches
+    past their start, or one begins before their end."""
+    reach = _running(F.transform(spans, lambda s: F.when(s["kind"] == "markov", 0).otherwise(s["end"])), F.greatest)
+    # starts of later spans count down from a place behind them all, so that the nearest is the greatest
+    behind = F.lit(2**31 - 1)
+    left = F.transform(F.reverse(spans), lambda s: F.when(s["kind"] == "markov", 0).otherwise(behind - s["start"]))
+    follows = F.reverse(_running(left, F.greatest))
+    limits = F.zip_with(reach, follows, lambda a, b: F.struct(a.alias("reach"), (behind - b).alias("follows")))
+    free = lambda s, x: (s["kind"] != "markov") | ((x["reach"] <= s["start"]) & (x["follows"] >= s["end"]))
+    return F.array_compact(F.zip_with(spans, limits, lambda s, x: F.when(free(s, x), s)))
+
+
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
@@ -126,7 +158,6 @@ def find_secrets(docs: DataFrame, log_ratio: Column, margin: float = MARGIN) ->
         "doc_id",
         "text",
         F.regexp_extract_all("text", F.lit(ASSIGN), 0).alias("m_assign"),
-        F.regexp_extract_all("text", F.lit(ASSIGN), 2).alias("m_value"),
         F.regexp_extract_all("text", F.lit(ACCESS), 0).alias("m_access"),
         F.regexp_extract_all("text", F.lit(HEX), 0).alias("m_hex"),
         F.regexp_extract_all("text", F.lit(CANDIDATE), 0).alias("m_markov"),
@@ -136,8 +167,8 @@ def find_secrets(docs: DataFrame, log_ratio: Column, margin: float = MARGIN) ->
         "doc_id",
         F.zip_with(
             _spans("assign", "text", "m_assign", ASSIGN),
-            F.col("m_value"),
-            lambda s, v: F.when(F.length(v) >= LEAST_ASSIGNED, s),
+            F.col("m_assign"),
+            lambda s, match: F.when(F.length(F.regexp_extract(match, ASSIGN, 2)) >= LEAST_ASSIGNED, s),
         ).alias("s_assign"),
         _spans("access", "text", "m_access", ACCESS).alias("s_access"),
         _spans("hex", "text", "m_hex", HEX).alias("s_hex"),
@@ -157,16 +188,14 @@ def find_secrets(docs: DataFrame, log_ratio: Column, margin: float = MARGIN) ->
     )
     present = placed.select("doc_id", *[F.array_compact(f"s_{k}").alias(f"s_{k}") for k in KINDS])
     base = present.withColumn("base", F.array_sort(F.concat("s_assign", "s_access", "s_hex")))
-    new = F.filter(
-        "s_markov", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    )
-    both = base.withColumn("new", new).withColumn("all", F.array_sort(F.concat("base", "new")))
+    every = F.array_sort(F.concat("base", "s_markov"))
+    both = base.withColumn("all", F.when(F.size("s_markov") > 0, _let(every, _apart)).otherwise(F.col("base")))
     return both.select(
         "doc_id",
         *[F.size(f"s_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:3]],
         F.sha2(_joined("base"), 256).alias("base_sha256"),
         _joined("all").alias("spans"),
-        F.size("new").cast("long").alias("n_markov"),
+        (F.size("all") - F.size("base")).cast("long").alias("n_markov"),
     )
 
 

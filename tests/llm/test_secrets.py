@@ -1,7 +1,11 @@
 import hashlib
 import random
 import re
+import time
 
+from pyspark.sql import functions as F
+
+from outing.llm import secrets
 from outing.llm.secrets import find_secrets, labelled_samples, train_markov
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -51,3 +55,41 @@ def test_empty_table_and_long_text(spark):
     assert find_secrets(docs.filter("doc_id > 5"), model).collect() == []
     rows = find_secrets(docs, model).collect()
     assert sorted(r.n_assign for r in rows) == [0, 0, 5000]
+
+
+def test_many_matches_in_one_text_take_time_in_proportion(spark):
+    key = "Zk3qXw9RtB7mLp2VsN8yHd4C"
+    line = f"token=abcdefgh1 {key} secret={key} "
+    docs = spark.createDataFrame([(1, line * 25_000), (2, "see " + key + "AKIA" + "Q7" * 8)], "doc_id long, text string")
+    words = spark.createDataFrame([(k, "the house there with another question about nothing") for k in range(50)], "doc_id long, text string")
+    model = train_markov(labelled_samples(words))
+    began = time.monotonic()
+    got = {r.doc_id: r for r in find_secrets(docs, model).collect()}
+    assert time.monotonic() - began < 60
+    assert (got[1].n_assign, got[1].n_markov) == (50_000, 25_000)
+    spans = got[1].spans.split(",")
+    n = len(line)
+    assert spans[-3:] == [f"assign:{24_999 * n}:{24_999 * n + 15}", f"markov:{24_999 * n + 16}:{24_999 * n + 40}", f"assign:{24_999 * n + 41}:{24_999 * n + 72}"]
+
+
+def test_spans_of_the_models_that_meet_a_pattern_go(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "BLOCK", 3)
+    rng = random.Random(9)
+    rows = []
+    for k in range(300):
+        cuts = sorted(rng.sample(range(200), 2 * rng.randint(0, 12)))
+        model = [(a, 3, b, "markov") for a, b in zip(cuts[::2], cuts[1::2])]
+        rest = [(a, rng.randrange(3), a + rng.randint(1, 40), "hex") for a in (rng.randrange(220) for _ in range(rng.randint(0, 8)))]
+        rows.append((k, sorted(model + rest)))
+    df = spark.createDataFrame(rows, f"id int, spans {secrets._SPAN}")
+    for r in df.select("id", secrets._apart(F.col("spans")).alias("x")).collect():
+        spans = rows[r.id][1]
+        fixed = [s for s in spans if s[3] != "markov"]
+        want = [s for s in spans if s[3] != "markov" or not any(b[0] < s[2] and s[0] < b[2] for b in fixed)]
+        assert [tuple(x) for x in r.x] == want
+
+
+def test_a_share_of_a_huge_table_is_still_a_sample(spark, monkeypatch):
+    docs = spark.range(4000).selectExpr("id as doc_id", "'one two three' as text")
+    n = lambda most: labelled_samples(docs, most, 1).filter("random = 0 and token = 'one'").count()
+    assert n(4000) == n(10**9) == 4000 and 300 < n(400) < 500 and n(1) < 10

@@ -4,7 +4,8 @@ Documents are dealt by hash into partitions of a fixed size, each packed by best
 functions give a lower bound on the bins of each partition and of the whole table; where the total meets the bound,
 it is proven least. Otherwise every bin with a gap gives its documents back: they are dealt anew, into fewer
 partitions, and packed again, until the bound is met, one partition was left or a round saved less than LEAST_GAIN
-of the sequences above the bound.
+of the sequences above the bound. If that leaves some above the bound, all documents are dealt into partitions that
+are WIDER times as large and exchanged again, up to MOST_ROWS or one partition; the best packing found counts.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ CAPACITY = 4096
 END = 1
 #: Pieces that one task packs at once.
 GROUP_ROWS = 20_000
-#: Share of the sequences above the bound that a round has to save for another to follow.
-LEAST_GAIN = 0.01
+#: Share of the sequences above the bound that a round has to save for another to follow, how many times larger
+#: partitions become after the last, and the most pieces that one may have (some 100 bytes each).
+LEAST_GAIN, WIDER, MOST_ROWS = 0.01, 4, 1_280_000
 
 
 def tokenize_pieces(
@@ -101,7 +103,7 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
 
 
 def pack_pieces(
-    pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, least_gain: float = LEAST_GAIN
+    pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, least_gain: float = LEAST_GAIN, most_rows: int = MOST_ROWS
 ) -> tuple[DataFrame, dict[str, int]]:
     """`pieces` (uid long, length long from 1 to capacity, any more columns) with sequence_id and offset.
 
@@ -112,10 +114,24 @@ def pack_pieces(
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in pieces.groupBy("length").count().collect():  # at most `capacity` rows
         counts[length] = n
-    bound, left, used, done, turn = lower_bound(counts, capacity), int(counts.sum()), 0, [], 0
+    bound, left = lower_bound(counts, capacity), int(counts.sum())
     if not left:
         empty = pieces.select(*names, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
         return empty, {"sequences": 0, "bound": 0, "rounds": 0, "partitions": 0, "certified": 0}
+    best, turn = None, 0
+    while True:
+        found = _exchanged(pieces, capacity, group_rows, least_gain, bound, turn)
+        turn = found[1]["rounds"]
+        if best is None or found[1]["sequences"] < best[1]["sequences"]:
+            best = found
+        if found[1]["sequences"] == bound or left <= group_rows or group_rows >= most_rows:
+            return best[0].select(*names, "sequence_id", "offset"), best[1] | {"rounds": turn}
+        group_rows = min(WIDER * group_rows, most_rows)
+
+
+def _exchanged(pieces: DataFrame, capacity: int, group_rows: int, least_gain: float, bound: int, turn: int) -> tuple[DataFrame, dict[str, int]]:
+    """One packing by rounds of partitions of `group_rows`, from round `turn` on, and its certificate."""
+    names, left, used, done = pieces.columns, pieces.count(), 0, []
     added = "sequence_id long, offset long, fill long, opens int, partition long, certified boolean"
     schema = StructType([*pieces.schema.fields, *pieces.sparkSession.createDataFrame([], added).schema.fields])
     active, before = pieces, None
@@ -160,7 +176,7 @@ def pack_pieces(
     for more in done[1:]:
         packed = packed.union(more)
     certificate = {"sequences": total, "bound": bound, "rounds": turn, "partitions": partitions, "certified": certified}
-    return packed.select(*names, "sequence_id", "offset"), certificate
+    return packed, certificate
 
 
 def pack_documents(

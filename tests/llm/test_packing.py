@@ -53,6 +53,19 @@ def test_exchange_reaches_the_bound(spark):
     assert certificate["rounds"] > 1
 
 
+def test_small_partitions_reach_what_one_partition_does(spark):
+    rng = np.random.default_rng(6)
+    for sizes in (rng.integers(1, 4097, 6000), np.minimum(rng.geometric(1 / 900, 6000), 4096), rng.integers(1300, 1500, 3000)):
+        pieces = spark.createDataFrame([(k, int(n)) for k, n in enumerate(sizes)], "uid long, length long")
+        one = len(best_fit_decreasing(sizes, 4096)[2])
+        packed, certificate = pack_pieces(pieces, 4096, group_rows=500)
+        assert certificate["bound"] <= certificate["sequences"] <= one
+        assert packed.select("sequence_id").distinct().count() == certificate["sequences"]
+        # where partitions may not grow, the rounds end all the same
+        least = pack_pieces(pieces, 4096, group_rows=500, most_rows=500)[1]
+        assert least["bound"] <= least["sequences"]
+
+
 def test_round_trip(spark):
     rng = random.Random(2)
     texts = ODD + [None, " ".join(rng.choice("the of and lorem ipsum dolor".split()) for _ in range(3000))]

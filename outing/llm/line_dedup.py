@@ -5,22 +5,27 @@ blocks of its words get 64-bit SimHashes, and two lines meet where enough of the
 principle: a few changes can't touch all blocks. One Hamming distance over a whole line could not do that: a changed
 word turns a fifth of the bits of a line of six words, and no set of bit blocks is left whole by so many errors.
 
-- up to SHORT words: the line, and the line without each one of its words, so one word changed, added or gone leaves a
-  common block whatever the line;
-- up to LONG words: two blocks from the front and two from the back, of a size that a few neighbouring lengths share;
-  any two of the four make a key, so one change anywhere, and two changes in most places, leave a key;
+- up to FEW words: the line, the line without any one or two of its words, and any three of six blocks of its letters
+  without spaces, so that two words may change, be added or go, three letters may change and a space may be lost;
+- up to SHORT words: the line, without any one word, without any two neighbours, and any three of six blocks of words,
+  three from the front and three from the back, so that three words may change;
+- up to LONG words: any two of five blocks, two of them from the back, of a size that a few neighbouring lengths share;
 - longer lines: PARTS or more parts cut where words of the line have the least hash near even distances; one part is a
   key, so all but one may change, and words added or gone move few cuts.
 
-Pairs that meet are filtered by the Hamming distance of SimHashes of the whole lines (NEAR bits, a bound that edits
-within PERCENT hardly ever pass), by half of their distinct words in common, and verified by edit similarity. Linked lines form connected groups, and of each group
-the first occurrence stays: the one with the smallest (doc_id, line number).
+Pairs that meet are filtered by the Hamming distance of SimHashes of the whole lines (a bound for each length that edits
+within PERCENT hardly ever pass; none for FEW words), by half of their distinct words in common (letters, where one
+has FEW words), and verified by edit similarity. Linked lines form connected groups, and of each group the first
+occurrence stays: the one with the smallest (doc_id, line number).
+
+Keys travel in packed runs, dealt by their hash. A class keeps one state for each key, whatever the lines that have it.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -31,17 +36,22 @@ from pyspark.sql import functions as F
 from outing.llm.common import batches_of, bitmap_has, connected_components, cut, cut_table, membership_bitmap, table
 
 #: Words up to which every single word is left out; words up to which there are front and back blocks; parts beyond.
-SHORT, LONG, PARTS = 12, 48, 6
+FEW, SHORT, LONG, PARTS = 7, 12, 48, 6
 #: Words of a part of a line that has more than PARTS, and words around an even cut among which the least hash is
 #: sought; words whose votes a byte can count for certain.
 PER_PART, REACH, PART_WORDS = 16, 3, 200
 #: Neighbouring lengths share their block size: each size is this much larger than the one before.
 GROWTH = 1.2
-#: Bits of 64 that the SimHashes of two whole lines may differ in.
-NEAR = 22
+#: Bits of 64 that the SimHashes of two whole lines may differ in: of lines beyond SHORT words, up to SHORT and up to
+#: FEW; lines of LONG_LINE characters count as longer, however few words they have.
+NEAR, NEAR_SHORT, NEAR_FEW, LONG_LINE = 22, 27, 64, 120
 #: Lines with fewer words say too little to be a fuzzy repetition, unless they have so many characters; such lines are
 #: compared by their characters instead of words, as scripts without spaces need.
 LEAST_WORDS, LEAST_CHARS = 5, 20
+#: Least letters of a line that is cut into blocks of letters.
+LEAST_LETTERS = 12
+#: Characters of text for each class of keys; keys that a task sends at once; classes that a partition may take in turn.
+CLASS_CHARS, FLUSH, MOST_PARTITIONS = 32 << 20, 1 << 19, 20_000
 #: Longest line of those whose edit distances are found side by side, and how many are.
 SIDE_BY_SIDE, PACK = 1000, 24
 #: Edit similarity (1 - distance / longer length, in characters of the normalised lines) in percent.
@@ -139,42 +149,60 @@ def whole_simhashes(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np
     return _signs(np.add.reduceat(votes, first, axis=0, dtype=np.int64), size)
 
 
-def _without_one(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(stretch, key): SimHashes of each stretch and of the stretch without each of its words."""
+def _without(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stretch, key): SimHashes of each stretch and of it without each word, and each two words: any two of up to
+    FEW + 1 words, two neighbours of more. Three words are left at least."""
     size = end - start
     of = np.repeat(np.arange(len(start)), size)
     first = np.cumsum(size) - size
     own = _votes(words[np.repeat(start - first, size) + np.arange(size.sum())]).view(np.uint8).astype(np.int16)
     total = np.add.reduceat(own, first, axis=0) if len(first) else own
-    whole = _signs(total, size)
-    less = _signs(total[of] - own, size[of] - 1)
-    # the number of words belongs to the key: few words make equal signs likely
-    keys = np.concatenate([_mix(whole + size.astype(np.uint64)), _mix(less + (size[of] - 1).astype(np.uint64))])
-    return np.concatenate([np.arange(len(start)), of]), keys
+    owners, keys = [np.arange(len(start))], [_mix(_signs(total, size) + size.astype(np.uint64))]
+
+    def put(at: np.ndarray, votes: np.ndarray, left: np.ndarray) -> None:
+        owners.append(of[at])
+        # the number of words belongs to the key: few words make equal signs likely
+        keys.append(_mix(_signs(votes, left) + left.astype(np.uint64)))
+
+    one = np.nonzero(size[of] > 3)[0]
+    put(one, total[of[one]] - own[one], size[of[one]] - 1)
+    place = np.arange(len(of)) - first[of]
+    for apart in range(1, FEW + 1):
+        both = (place + apart < size[of]) & (size[of] > 4) & ((size[of] <= FEW + 1) | (apart == 1))
+        a = np.nonzero(both)[0]
+        put(a, total[of[a]] - own[a] - own[a + apart], size[of[a]] - 2)
+    return np.concatenate(owners), np.concatenate(keys)
 
 
 #: Least lengths of the sizes that front and back blocks have.
 _LENGTHS = np.unique([int(5 * GROWTH**k) for k in range(40)])
-_LENGTHS = _LENGTHS[_LENGTHS <= LONG]
+_LENGTHS = _LENGTHS[_LENGTHS <= max(LONG, LONG_LINE)]
 
 
-def _ends(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(stretch, key): pairs of SimHashes of two front and two back blocks."""
+def _ends(words: np.ndarray, start: np.ndarray, end: np.ndarray, blocks: int = 5, keep: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(stretch, key): SimHashes of any `keep` of `blocks` blocks, the first half of them from the front, the others from
+    the back."""
     n = end - start
     cell = np.searchsorted(_LENGTHS, n, "right") - 1
     # the first length of a cell is one word from the cell before, and has its keys too
-    edge = (n == _LENGTHS[cell]) & (_LENGTHS[cell] // 4 != _LENGTHS[cell - 1] // 4)
+    edge = (n == _LENGTHS[cell]) & (_LENGTHS[cell] // blocks != _LENGTHS[cell - 1] // blocks) & (_LENGTHS[cell - 1] >= blocks)
     of = np.concatenate([np.arange(len(n)), np.nonzero(edge)[0]])
     cell = np.concatenate([cell, cell[edge] - 1])
-    a, b, quarter = start[of], end[of], _LENGTHS[cell] // 4
-    starts = np.stack([a, a + quarter, b - 2 * quarter, b - quarter])
-    sims = _simhashes(words, starts.T.ravel(), (starts + quarter).T.ravel()).reshape(-1, 4)
+    a, b, size = start[of], end[of], _LENGTHS[cell] // blocks
+    front = (blocks + 1) // 2
+    starts = np.stack([a + k * size for k in range(front)] + [b - (blocks - k) * size for k in range(front, blocks)])
+    sims = _simhashes(words, starts.T.ravel(), (starts + size).T.ravel()).reshape(-1, blocks)
     keys = []
-    for i in range(4):
-        for j in range(i + 1, 4):
-            tag = np.uint64(1000 + 10 * i + j) + quarter.astype(np.uint64) * np.uint64(100_000)
-            keys.append(_mix(_mix(sims[:, i]) * np.uint64(_BASE) + _mix(sims[:, j] ^ tag)))
-    return np.tile(of, 6), np.concatenate(keys)
+    for k, chosen in enumerate(combinations(range(blocks), keep)):
+        key = np.uint64(1000 * blocks + k) + size.astype(np.uint64) * np.uint64(100_000)
+        for c in chosen:
+            key = _mix(key * np.uint64(_BASE) + sims[:, c])
+        keys.append(key)
+    return np.tile(of, len(keys)), np.concatenate(keys)
+
+
+def _six_ends(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return _ends(words, start, end, 6, 3)
 
 
 def _parts(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +245,11 @@ def block_keys(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[n
     n = end - start
     found_of, found = [], []
     # lengths where one rule ends and the next begins follow both
-    for rule, takes in ((_without_one, (n > 1) & (n <= SHORT + 1)), (_ends, (n >= 8) & (n <= LONG)), (_parts, n >= LONG)):
+    rules = (
+        (_without, (n > 3) & (n <= SHORT + 1)), (_six_ends, (n > FEW) & (n <= SHORT + 1)), (_ends, (n > SHORT) & (n <= LONG)),
+        (_parts, n >= LONG),
+    )
+    for rule, takes in rules:
         lines = np.nonzero(takes)[0]
         if len(lines):
             of, keys = rule(words, start[lines], end[lines])
@@ -232,7 +264,8 @@ class Lines:
     """The lines with a word of a stretch of text: line number, both halves of a 128-bit id, unit hashes.
 
     A unit is a word; of lines of less than LEAST_WORDS words and at least LEAST_CHARS characters, a character; shorter
-    lines have no units to compare (first == last).
+    lines have no units to compare (first == last). Lines up to FEW words have letters besides: their characters
+    without spaces.
     """
 
     def __init__(self, text: str, least_words: int = LEAST_WORDS):
@@ -251,28 +284,55 @@ class Lines:
         self.number = of[new]
         self.id1 = _Sums(self.words).of(self.first, self.last)
         self.id2 = _Sums(_mix(self.words ^ _OTHERS)).of(self.first, self.last)
-        few = np.nonzero(self.last - self.first < least_words)[0]
+        self.n_words = self.last - self.first
+        words_first, words_last = self.first.copy(), self.last.copy()
         more, n = [self.words], len(self.words)
-        for k in few:
+        letters, self.letters_first, self.letters_last = [], np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        at = 0
+        for k in np.nonzero((self.n_words <= FEW) | (self.n_words < least_words))[0]:
             start, end = a[self.first[k]], b[self.last[k] - 1]
-            self.first[k] = self.last[k] = n
-            if end - start >= LEAST_CHARS:
-                line = " ".join(normalise(data[start:end].decode("utf-8", "surrogatepass")).split())
-                if len(line) >= LEAST_CHARS:
-                    more.append(_mix(np.array([*map(ord, line)], np.uint64) + np.uint64(1 << 40)))
-                    n += len(line)
-                    self.last[k] = n
+            few = self.n_words[k] < least_words
+            line = " ".join(normalise(data[start:end].decode("utf-8", "surrogatepass")).split()) if not few or end - start >= LEAST_CHARS else ""
+            if few:
+                self.first[k] = self.last[k] = n
+                if len(line) < LEAST_CHARS:
+                    words_last[k] = words_first[k]
+                    continue
+                more.append(_mix(np.array([*map(ord, line)], np.uint64) + np.uint64(1 << 40)))
+                n += len(line)
+                self.last[k] = n
+            close = line.replace(" ", "")
+            if LEAST_LETTERS <= len(close) <= LONG_LINE:
+                letters.append(_mix(np.array([*map(ord, close)], np.uint64) + np.uint64(1 << 41)))
+                self.letters_first[k], at = at, at + len(close)
+                self.letters_last[k] = at
+        self._own, self._words_first, self._words_last = self.words, words_first, words_last
         self.words = np.concatenate(more)
+        self.letters = np.concatenate(letters) if letters else np.empty(0, np.uint64)
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """(place in these arrays, in order; key), each once."""
-        some = np.nonzero(self.last > self.first)[0]
-        of, keys = block_keys(self.words, self.first[some], self.last[some])
+        found = []
+        # lines of few words by their words as far as these go, and by their characters
+        by_words = np.nonzero(self._words_last > self._words_first)[0]
+        by_units = np.nonzero((self.last > self.first) & (self.first >= len(self._own)))[0]
+        by_letters = np.nonzero(self.letters_last > self.letters_first)[0]
+        for some, keys in (
+            (by_words, lambda x: block_keys(self._own, self._words_first[x], self._words_last[x])),
+            (by_units, lambda x: block_keys(self.words, self.first[x], self.last[x])),
+            (by_letters, lambda x: _six_ends(self.letters, self.letters_first[x], self.letters_last[x])),
+        ):
+            if len(some):
+                of, got = keys(some)
+                found.append((some[of], got))
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        of, keys = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
         order = np.lexsort((keys, of))
         of, keys = of[order], keys[order]
         new = np.ones(len(of), bool)
         new[1:] = (of[1:] != of[:-1]) | (keys[1:] != keys[:-1])
-        return some[of[new]], keys[new]
+        return of[new], keys[new]
 
 
 def _spans(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, str]]:
@@ -302,11 +362,26 @@ def _with_id(docs: DataFrame) -> DataFrame:
     return docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("text_id"), "text")
 
 
-def lines_of(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, text_id, line, h1, h2, keys) of every line with a word, in documents with an id."""
-    schema = "doc_id long, text_id long, line int, h1 long, h2 long, keys array<long>"
+def lines_of(docs: DataFrame, classes: int, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(doc_id, text_id, line, h1, h2) of every line with a word, in documents with an id; and rows with class and run
+    alone, which hold keys and the h1 of lines that have them."""
+    schema = "doc_id long, text_id long, line int, h1 long, h2 long, class int, run binary"
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            pairs = np.concatenate(held)
+            dealt = ((pairs[:, 0] >> np.uint64(8)) % np.uint64(classes)).astype(np.int32)
+            order = np.argsort(dealt, kind="stable")
+            pairs, dealt = pairs[order], dealt[order]
+            starts = np.nonzero(np.diff(dealt, prepend=-1))[0]
+            runs = [pairs[x:y].tobytes() for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(pairs)])]
+            none = [pa.nulls(len(runs), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(dealt[starts]), pa.array(runs, pa.binary())], names=names)
+
+        size = 0
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
@@ -314,16 +389,77 @@ def lines_of(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
                     lines = Lines(text, least_words)
                     piece = np.searchsorted(begins, lines.number, "right") - 1
                     rows, number = pa.array(of[piece]), lines.number - begins[piece] + starts[piece]
-                    owner, keys = lines.keys()
-                    offsets = np.searchsorted(owner, np.arange(len(number) + 1))
-                    listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.view(np.int64)))
                     ids = [pa.array(h.view(np.int64)) for h in (lines.id1, lines.id2)]
                     own = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number.astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays([*own, *ids, listed], names=["doc_id", "text_id", "line", "h1", "h2", "keys"])
+                    none = [pa.nulls(len(number), pa.int32()), pa.nulls(len(number), pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*own, *ids, *none], names=names)
+                    owner, keys = lines.keys()
+                    if len(keys):
+                        held.append(np.stack([keys, lines.id1[owner]], axis=1))
+                        size += len(keys)
+                    if size >= FLUSH:
+                        yield from flush()
+                        held, size = [], 0
+        if held:
+            yield from flush()
 
     return _with_id(docs).mapInArrow(split, schema)
 
 
+def shared_keys(runs: DataFrame, classes: int) -> DataFrame:
+    """(key, low, high, n): keys that different lines have, with the least and greatest of these and how often the key
+    came. A class keeps one state a key, so a key of any number of lines takes no more room."""
+
+    def added(state: np.ndarray) -> np.ndarray:
+        """One row for each key: key, low, high, n."""
+        state = state[np.argsort(state[:, 0], kind="stable")]
+        first = np.nonzero(np.concatenate([[True], state[1:, 0] != state[:-1, 0]]))[0]
+        pick = lambda op, c: op.reduceat(state[:, c], first)
+        return np.stack([state[first, 0], pick(np.minimum, 1), pick(np.maximum, 2), pick(np.add, 3)], axis=1)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size = None, [], 0
+
+        def rows() -> pa.RecordBatch:
+            state = added(np.concatenate(held))
+            state = state[state[:, 1] < state[:, 2]]
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in state.T], names=["key", "low", "high", "n"])
+
+        for batch in batches:
+            for of, run in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if of != now:
+                    if held:
+                        yield rows()
+                    now, held, size = of, [], 0
+                key, node = np.frombuffer(run.as_buffer(), np.int64).reshape(-1, 2).T
+                held.append(np.stack([key, node, node, np.ones_like(key)], axis=1))
+                size += len(key)
+                if size >= 4 * FLUSH:
+                    held = [added(np.concatenate(held))]
+                    size = len(held[0]) // 2  # as many again before the next time
+        if held:
+            yield rows()
+
+    parts = min(classes, MOST_PARTITIONS)
+    dealt = runs.repartitionById(parts, F.col("class") % parts).sortWithinPartitions("class")
+    return dealt.mapInArrow(make, "key long, low long, high long, n long")
+
+
+def members(runs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, node) of the lines that have one of `keys` (key); a bitmap spares the others."""
+    bitmap = runs.sparkSession.sparkContext.broadcast(membership_bitmap(keys, "key"))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in batch.column(0):
+                key, node = np.frombuffer(run.as_buffer(), np.int64).reshape(-1, 2).T
+                here = bitmap_has(bitmap.value, key)
+                if here.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(key[here]), pa.array(node[here])], names=["key", "node"])
+
+    return runs.select("run").mapInArrow(pick, "key long, node long").join(keys, "key", "left_semi")
+
+
 def edit_similar(a: str, b: str, percent: int) -> bool:
     """Whether 100 * (1 - Levenshtein(a, b) / longer length) >= percent."""
     if len(a) < len(b):
@@ -397,13 +533,20 @@ def similar_to(a: str, others: list[str], percent: int, letters: list[dict[str,
     return found
 
 
-def _sets(words: list[str], least_words: int) -> list[set[str]]:
-    """The units of lines: distinct words, or characters of lines that have few."""
-    return [set(w.split(" ")) if w.count(" ") >= least_words - 1 else set(w) for w in words]
+def _sets(words: list[str]) -> list[tuple[set[str] | None, set[str]]]:
+    """The distinct words of lines of more than FEW words, and the characters of all."""
+    return [(set(w.split(" ")) if w.count(" ") >= FEW else None, set(w)) for w in words]
+
+
+def _share(a: tuple[set[str] | None, set[str]], b: tuple[set[str] | None, set[str]]) -> bool:
+    k = 1 if a[0] is None or b[0] is None else 0
+    return 2 * len(a[k] & b[k]) >= max(len(a[k]), len(b[k]))
 
 
-def _share(a: set[str], b: set[str]) -> bool:
-    return 2 * len(a & b) >= max(len(a), len(b))
+def _bits(words: list[str]) -> np.ndarray:
+    """Bits that each line's SimHash may differ in."""
+    counts, chars = np.array([w.count(" ") + 1 for w in words]), np.array([len(w) for w in words])
+    return np.where(chars >= LONG_LINE, NEAR, np.where(counts <= FEW, NEAR_FEW, np.where(counts <= SHORT, NEAR_SHORT, NEAR)))
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -437,8 +580,8 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return picked.join(wanted, ["doc_id", "text_id", "line"]).select("node", "words", "sim").dropDuplicates(["node"])
 
 
-def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)) <= NEAR
+def _near(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)) <= bits
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -446,11 +589,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches_of(batches, 4096):
-            pdf = pdf[_near(pdf["sim_a"].to_numpy(np.int64), pdf["sim_b"].to_numpy(np.int64))]
+            bits = np.maximum(_bits(pdf["words_a"].tolist()), _bits(pdf["words_b"].tolist()))
+            pdf = pdf[_near(pdf["sim_a"].to_numpy(np.int64), pdf["sim_b"].to_numpy(np.int64), bits)]
             good = []
             for a, rows in pdf.groupby("a"):
                 words, b = rows["words_a"].iloc[0], rows["words_b"].tolist()
-                own, *units = _sets([words, *b], LEAST_WORDS)
+                own, *units = _sets([words, *b])
                 live = [k for k, u in enumerate(units) if _share(own, u)]
                 for k in range(0, len(live), PACK):
                     some = live[k : k + PACK]
@@ -497,9 +641,10 @@ def _links_within(mixed: DataFrame, texts: DataFrame, percent: int) -> DataFrame
         if len(root) < 2:
             return found
         own, others = np.nonzero(block == one)[0], np.nonzero((block != one) | inside)[0]
-        units, letters = _sets(words.tolist(), LEAST_WORDS), [_letters(w) if len(w) <= SIDE_BY_SIDE else {} for w in words]
+        bits = _bits(words.tolist())
+        units, letters = _sets(words.tolist()), [_letters(w) if len(w) <= SIDE_BY_SIDE else {} for w in words]
         for i in own:
-            near = others[(part[others] != part[i]) & _near(sim[others], sim[i : i + 1])]
+            near = others[(part[others] != part[i]) & _near(sim[others], sim[i : i + 1], np.maximum(bits[others], bits[i]))]
             left = [int(j) for j in near if (i < j or not inside) and _share(units[i], units[j])]
             while left:
                 left = [j for j in left if top(int(part[j])) != top(int(part[i]))]
@@ -536,14 +681,14 @@ def _links_within(mixed: DataFrame, texts: DataFrame, percent: int) -> DataFrame
 
 def repeated_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, text_id, line) of every line that repeats an earlier one, in documents named by id and text hash."""
-    lines = cut_table(lines_of(docs, least_words))
-    keyed = lines.select(F.explode("keys").alias("key"), F.col("h1").alias("node"))
-    # all numbers, so that partial aggregation takes in the copies of a line
-    keys = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"))
-    keys = cut_table(keys.filter("low < high"))
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    classes = int(chars // CLASS_CHARS) + 1
+    parsed = cut_table(lines_of(docs, classes, least_words))
+    lines, runs = parsed.filter("run is null").drop("class", "run"), parsed.filter("run is not null").select("class", "run")
+    keys = cut_table(shared_keys(runs, classes))
     # two members are a pair; of more, each is paired with the least at first
     more = keys.filter("n > 2").select("key", "low")
-    met = cut_table(keyed.join(more, "key").groupBy("key", "node").agg(F.first("low").alias("low")))
+    met = cut_table(members(runs, more.select("key")).join(more, "key").groupBy("key", "node").agg(F.first("low").alias("low")))
     pairs = keys.select(F.col("low").alias("a"), F.col("high").alias("b"))
     pairs = cut_table(pairs.union(met.filter("low < node").select(F.col("low").alias("a"), F.col("node").alias("b"))).distinct())
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()

@@ -41,20 +41,30 @@ _NORMAL_TITLE = "array_to_string(" + _NORMAL.format("concat(string_split(text, c
 
 
 def event_fingerprint(spark, sf_dir):
-    e = _placed(spark, sf_dir).filter("postal_code is not null or lat is null")
     print_ = text.fingerprint(F.col("title"), F.col("starts_at"), F.col("postal_code"), F.col("lat"), F.col("lng"))
-    return e.select("id", print_.alias("fingerprint"))
-
-
-_PRINT = (
-    "SELECT id, sha1(concat(array_to_string(" + _NORMAL.format("title") + f", ' '), '|', strftime(starts_at + INTERVAL 8 HOUR, '%Y-%m-%d'), '|', coalesce(postal_code, ''))) AS fingerprint FROM {_PLACED} WHERE postal_code IS NOT NULL OR lat IS NULL"
-)
+    return _placed(spark, sf_dir).select("id", print_.alias("fingerprint"))
 
 
 def geohash7(spark, sf_dir):
     return bridge.events(spark, sf_dir).select("id", geo.geohash(F.col("lat"), F.col("lng"), 7).alias("geohash"))
 
 
+def _geohash_sql() -> str:
+    """Seven digits of five bits, longitude first and then in turn, from 18 bits of longitude and 17 of latitude."""
+    x = "CAST(floor((lng + 180) / 360 * 262144e0) AS BIGINT)"
+    y = "CAST(floor((lat + 90) / 180 * 131072e0) AS BIGINT)"
+    bit = lambda p: f"(({x} >> {17 - p // 2}) & 1)" if p % 2 == 0 else f"(({y} >> {16 - p // 2}) & 1)"
+    digits = [" + ".join(f"{bit(5 * d + k)} * {16 >> k}" for k in range(5)) for d in range(7)]
+    return "concat(" + ", ".join(f"substr('0123456789bcdefghjkmnpqrstuvwxyz', CAST({d} AS INTEGER) + 1, 1)" for d in digits) + ")"
+
+
+_GEOHASH = f"SELECT id, CASE WHEN lat IS NOT NULL AND lng IS NOT NULL THEN {_geohash_sql()} END AS geohash FROM {_E}"
+_PRINT = (
+    "SELECT id, sha1(concat(array_to_string(" + _NORMAL.format("title") + ", ' '), '|', strftime(starts_at + INTERVAL 8 HOUR, '%Y-%m-%d'), '|',"
+    f" CASE WHEN postal_code IS NOT NULL THEN postal_code WHEN lat IS NOT NULL AND lng IS NOT NULL THEN {_geohash_sql()} ELSE '' END)) AS fingerprint FROM {_PLACED}"
+)
+
+
 _PRICE_TEXT = """CASE p_partkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'Free' WHEN 2 THEN concat('From S$', cents) WHEN 3 THEN concat('$', cents, ' to $1,', lpad(CAST(p_partkey % 1000 AS VARCHAR(10)), 3, '0'))
   WHEN 4 THEN concat('Free for members, SGD ', cents) WHEN 5 THEN concat(cents, ' dollars') ELSE 'ask at the door' END"""
 _PARTS = f"(SELECT p_partkey, {_PRICE_TEXT} AS said FROM (SELECT *, CAST(CAST(p_size AS DECIMAL(10,2)) + CAST(p_partkey % 100 AS DECIMAL(10,2)) / 100 AS DECIMAL(10,2)) AS cents FROM part))"
@@ -218,9 +228,9 @@ def dedup_scored(spark, sf_dir):
 
 
 def merge_result(spark, sf_dir):
-    """Events merged in pairs of ids 2n, 2n + 1 for every third n."""
+    """All events merged in pairs of ids 2n, 2n + 1."""
     e = bridge.events(spark, sf_dir)
-    groups = e.filter("floor(id / 2) % 3 = 0").select("id", F.floor(F.col("id") / 2).cast("long").alias("group"))
+    groups = e.select("id", F.floor(F.col("id") / 2).cast("long").alias("group"))
     groups = groups.withColumn("group", F.col("group") * 2 + 1_000_000_000)
     m = dedup.merge_groups(e, groups, bridge.event_sources(spark, sf_dir))
     return m.select("id", "description", "summary", text_of("ends_at").alias("ends_at"), "audience", "is_free", F.array_join("categories", ",").alias("categories"), "merged")
@@ -233,7 +243,7 @@ _MERGE = f"""SELECT id, description, summary, strftime(ends_at, '%Y-%m-%d %H:%M:
       CASE WHEN first(coalesce(audience, '') ORDER BY tier, rich DESC, id) = 'public' THEN coalesce(first(audience ORDER BY tier, rich DESC, id) FILTER (audience <> 'public'), 'public')
         ELSE first(audience ORDER BY tier, rich DESC, id) END AS audience,
       flatten(list(categories ORDER BY tier, rich DESC, id)) AS cats, count(*) AS merged
-    FROM (SELECT e.*, {_FILLED} + length(coalesce(description, '')) // 200 AS rich, coalesce(tier, 3) AS tier, CASE WHEN (e.id // 2) % 3 = 0 THEN e.id // 2 * 2 + 1000000000 ELSE e.id END AS grp
+    FROM (SELECT e.*, {_FILLED} + length(coalesce(description, '')) // 200 AS rich, coalesce(tier, 3) AS tier, e.id // 2 * 2 + 1000000000 AS grp
       FROM {_E} e LEFT JOIN (SELECT event_id, min(CASE source_id WHEN 'manual' THEN 1 WHEN 'luma' THEN 2 WHEN 'eventbrite' THEN 2 ELSE 3 END) AS tier FROM {_S} GROUP BY event_id) t ON t.event_id = e.id)
     GROUP BY grp)"""
 
@@ -520,18 +530,17 @@ def template_answers(spark, sf_dir):
     e = bridge.events(spark, sf_dir).withColumn("ask_id", (F.col("id") % 97).cast("long"))
     place = F.row_number().over(Window.partitionBy("ask_id").orderBy("id"))
     rows = e.withColumn("place", place).filter("place <= 7").withColumn("venue", F.when(F.col("id") % 2 == 0, "Hall")).withColumn("distance_m", F.lit(1500.0))
-    rows = rows.withColumn("ends_at", F.lit(None).cast("timestamp_ntz")).withColumn("starts_at", F.lit("2026-10-03 02:00:00").cast("timestamp_ntz")).withColumn("all_day", F.lit(False))
     asks = spark.range(100).select(F.col("id").alias("ask_id"), F.when(F.col("id") % 2 == 0, "opera").alias("unmatched"))
     got = answers.template_answers(asks, rows.withColumn("is_free", F.lit(True)).filter("ask_id % 10 <> 9"))
-    return got.select("ask_id", F.regexp_replace("answer", r"\]: [^·]*·", "]:").alias("answer"), F.array_join("cited", ",").alias("cited"))
+    return got.select("ask_id", "answer", F.array_join("cited", ",").alias("cited"))
 
 
 _TEMPLATE = f"""SELECT a.ask_id, CASE WHEN x.lines IS NULL THEN '{model.NO_MATCHES.replace("'", "''")}'
     ELSE concat(CASE WHEN a.ask_id % 2 = 0 THEN '{model.OTHERS_BEFORE.replace("'", "''")}opera{model.OTHERS_AFTER}' ELSE '{model.CLOSEST}' END, chr(10), x.lines) END AS answer, coalesce(x.cited, '') AS cited
   FROM (SELECT unnest(range(100)) AS ask_id) a LEFT JOIN (
-    SELECT ask_id, string_agg(concat('- ', title, ' [E', id, ']:', CASE WHEN id % 2 = 0 THEN ' Hall ·' WHEN is_online THEN ' Online ·' ELSE '' END, ' 1.5 km away · Free'), chr(10) ORDER BY id) AS lines,
+    SELECT ask_id, string_agg(concat('- ', title, ' [E', id, ']: ', {_when_sql("24h")}, ' ·', CASE WHEN id % 2 = 0 THEN ' Hall ·' WHEN is_online THEN ' Online ·' ELSE '' END, ' 1.5 km away · Free'), chr(10) ORDER BY id) AS lines,
       string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS cited
-    FROM (SELECT *, id % 97 AS ask_id, row_number() OVER (PARTITION BY id % 97 ORDER BY id) AS place FROM {_E}) WHERE place <= 5 AND ask_id % 10 <> 9 GROUP BY ask_id) x ON x.ask_id = a.ask_id"""
+    FROM (SELECT *, starts_at + INTERVAL 8 HOUR AS a, ends_at + INTERVAL 8 HOUR AS b, id % 97 AS ask_id, row_number() OVER (PARTITION BY id % 97 ORDER BY id) AS place FROM {_E}) WHERE place <= 5 AND ask_id % 10 <> 9 GROUP BY ask_id) x ON x.ask_id = a.ask_id"""
 
 
 def cited_answers(spark, sf_dir):
@@ -557,7 +566,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "normalise_title": f"SELECT doc_id, {_NORMAL_TITLE} AS title FROM documents",
-    "event_fingerprint": _PRINT, "price_parse": _PRICE, "price_format": _PRICE_FORMAT, "format_when": _WHEN, "keyword_categories": _KEYWORDS,
+    "event_fingerprint": _PRINT, "geohash7": _GEOHASH, "price_parse": _PRICE, "price_format": _PRICE_FORMAT, "format_when": _WHEN, "keyword_categories": _KEYWORDS,
     "tag_categories": _TAG_SQL, "detectors": _DETECT, "embedding_text": _EMBED, "dedup_candidates": _PAIRS, "merge_result": _MERGE,
     "upsert_actions": _UPSERT, "upsert_result": _UPSERT_RESULT, "venue_get_or_create": _VENUE_NEW, "venue_geocode_cache": _CACHE,
     "first_per_url": _FIRST_URL, "expire_ended": _EXPIRE, "missing_sources": _MISSING, "latest_runs": _LATEST, "admin_status": _ADMIN,

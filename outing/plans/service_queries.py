@@ -23,11 +23,11 @@ _events, _sources = bridge.events, bridge.event_sources
 def masked_paths(spark, sf_dir):
     e = _events(spark, sf_dir)
     path = F.concat(F.lit("/events?lat="), F.col("lat").cast("string"), F.lit("&lng="), F.col("lng").cast("string"), F.lit("&postal="), F.lpad(F.col("id").cast("string"), 6, "0"), F.lit("&q=lat=1.23456"))
-    return e.filter("lat is not null").select("id", display.masked_path(path).alias("path"))
+    return e.select("id", display.masked_path(path).alias("path"))
 
 
-_MASKED = f"""SELECT id, concat('/events?lat=', printf('%.2f', lat), '&lng=', printf('%.2f', lng), '&postal=', left(lpad(CAST(id AS VARCHAR), 6, '0'), 2), 'xxxx&q=lat=1.23456') AS path
-  FROM {_E} WHERE lat IS NOT NULL"""
+_MASKED = f"""SELECT id, CASE WHEN lat IS NOT NULL THEN concat('/events?lat=', printf('%.2f', lat), '&lng=', printf('%.2f', lng), '&postal=', left(lpad(CAST(id AS VARCHAR), 6, '0'), 2), 'xxxx&q=lat=1.23456') END AS path
+  FROM {_E}"""
 
 
 def map_points(spark, sf_dir):

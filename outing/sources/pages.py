@@ -311,7 +311,7 @@ def feed_events(feeds: DataFrame) -> DataFrame:
 
 
 def feed_listings(rows: DataFrame, now: datetime, local_feeds: tuple[str, ...] = ()) -> DataFrame:
-    """feed_events rows that are still to come at `now` (UTC), with their descriptions taken apart: feed,
+    """feed_events rows (organizer may be missing) that are still to come at `now` (UTC), with their descriptions taken apart: feed,
     source_event_id, title, start_raw, end_raw, description, venue, address, postal_code, lat, lng, status, source_url,
     registration_url, organizer, source_tags (the feed's name, of feeds that aren't local).
 
@@ -319,6 +319,8 @@ def feed_listings(rows: DataFrame, now: datetime, local_feeds: tuple[str, ...] =
     out. Events without a point count only if the feed is local or a text mentions the country.
     """
     c = F.col
+    if "organizer" not in rows.columns:
+        rows = rows.withColumn("organizer", F.lit(None).cast("string"))
     start, end = when.exact(c("start_raw")), when.exact(c("end_raw"))
     over = F.coalesce(end["value"], F.when(start["date_only"], start["value"] + F.expr("INTERVAL '1' DAY")).otherwise(start["value"]))
     rows = rows.filter(over > F.lit(str(now)).cast("timestamp_ntz")).withColumn("_text", F.trim(F.coalesce("description", F.lit("")), F.lit(" \n\t")))

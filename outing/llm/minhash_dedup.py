@@ -15,11 +15,12 @@ components alone.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outing.llm.common import (
@@ -35,8 +36,8 @@ from outing.llm.common import (
 
 CHUNKS, PER_CHUNK = 6, 6
 SYMBOLS = CHUNKS * PER_CHUNK
-#: Signatures further apart than this are no candidates: at J = 0.85 one pair in 100,000 is.
-MOST_APART = 16
+#: Share of pairs right at the threshold whose signatures may lie too far apart to be candidates.
+MISSED = 1e-5
 #: Members of a family that one block holds; a task compares two blocks.
 FAMILY_BLOCK = 1024
 _MASK = (1 << 64) - 1
@@ -44,6 +45,16 @@ _MULTIPLY = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 _ODD = np.array([xxhash.xxh3_64_intdigest(b"symbol %d" % k) | 1 for k in range(SYMBOLS)], dtype=np.uint64)[:, None]
 
 
+def most_apart(percent: int) -> int:
+    """The least distance that signatures of sets right at `percent` % exceed with probability MISSED at most, each
+    symbol differing on its own."""
+    differs, tail, d = 1 - percent / 100, 1.0, -1
+    while tail > MISSED and d < SYMBOLS:
+        d += 1
+        tail -= comb(SYMBOLS, d) * differs**d * (1 - differs) ** (SYMBOLS - d)
+    return d
+
+
 def shingle_ids(text: str | None, size: int, cache: WordCache) -> np.ndarray:
     """Sorted distinct 64-bit ids of a text's word shingles; the whole sequence where it has fewer words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # A-Z only; \\x20 and \\x09-\\x0D only
@@ -167,7 +178,8 @@ def _family_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     FAMILY_BLOCK members, and each pair of blocks is compared in full in one task, which returns one link for each
     pair of parts, not one for each pair of members.
     """
-    chained = mixed.select("rep", F.min("rep").over(Window.partitionBy("key")).alias("first"))
+    least = mixed.groupBy("key").agg(F.min("rep").alias("first"))
+    chained = mixed.join(least, "key").select("rep", "first")
     families = connected_components(chained, "rep", "first").withColumnRenamed("node", "rep")
     members = mixed.select("rep", "part").distinct().join(families, "rep", "left")
     members = members.select("rep", "part", F.coalesce("component", "rep").alias("family"))
@@ -206,13 +218,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     reps = cut(named.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
     # one doc_id may name several sets when its rows differ; such sets are one document, linked by their rep already
     keyed = reps.select("rep", F.explode(chunk_keys(F.col("sig"))).alias("key"))
-    by_key = Window.partitionBy("key")
-    met = cut(
-        keyed.withColumn("centre", F.min("rep").over(by_key))
-        .withColumn("last", F.max("rep").over(by_key))
-        .filter("centre < last")
-        .select("key", "rep", "centre")
-    )
+    # minima come by partial aggregates and go back by joins, whose hot keys are split; no task holds a key's members
+    ends = keyed.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).filter("centre < last")
+    met = cut(keyed.join(ends.select("key", "centre"), "key").select("key", "rep", "centre"))
     wanted = met.select("rep").distinct()
     sets = cut(
         _shingle_sets(docs, wanted, size)
@@ -225,8 +233,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     sig_a = sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
     sig_b = sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
 
+    furthest = most_apart(percent)
+
     def confirm(pairs: DataFrame) -> DataFrame:
-        close = pairs.join(sig_a, "a").join(sig_b, "b").filter(distance("sig_a", "sig_b") <= MOST_APART)
+        close = pairs.join(sig_a, "a").join(sig_b, "b").filter(distance("sig_a", "sig_b") <= furthest)
         return _confirmed(close.select("a", "b"), sets, percent)
 
     star = met.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
@@ -236,13 +246,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     def still_mixed() -> DataFrame:
         placed = met.select("key", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
         placed = placed.select("key", "rep", F.coalesce("component", "rep").alias("part"))
-        ends = placed.withColumn("low", F.min("part").over(by_key)).withColumn("high", F.max("part").over(by_key))
-        return cut(ends.filter("low < high").select("key", "rep", "part"))
+        ends = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high")
+        return cut(placed.join(ends.select("key"), "key").select("key", "rep", "part"))
 
     mixed = still_mixed()
     if not mixed.isEmpty():  # every key picks another member as its centre
-        pick = F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep", "part")).over(by_key)
-        again = mixed.withColumn("centre", pick).filter("part <> centre.part")
+        pick = mixed.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep", "part")).alias("centre"))
+        again = mixed.join(pick, "key").filter("part <> centre.part")
         again = again.select(F.least("centre.rep", "rep").alias("a"), F.greatest("centre.rep", "rep").alias("b"))
         edges = edges.union(cut(confirm(again.distinct())))
         parts = connected_components(edges)

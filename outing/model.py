@@ -159,6 +159,7 @@ QUESTION_YOUNG = r"\byouth|teen"
 
 #: Texts of answers.
 NO_MATCHES = "I couldn't find any events that match. Try a wider radius, a longer date range or fewer categories."
+REFUSED = "Sorry, I can't help with that. Try asking about events, places or dates in Singapore."
 CLOSEST = "Here are the closest matches I found:"
 OTHERS_BEFORE = "I couldn't find close matches for “"
 OTHERS_AFTER = "”. Other events that fit your dates and place:"

@@ -7,8 +7,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from outing import model
 from outing.model import SETTINGS
-from outing.operators import answers, ask, discovery, lifecycle, questions, search
+from outing.operators import answers, ask, discovery, ingest, lifecycle, questions, search
 from outing.sources import evals, pages
 
 EVENT = "struct<url:string,title:string,accept:boolean,reason:string,known_event:long,merged:boolean,event_id:long>"
@@ -244,3 +245,28 @@ def test_a_page_and_its_total_need_one_scan(spark, tmp_path):
     assert page.total == search.total(events, venues, q, now).first()["total"] == 300 and page.next_offset == 21
     last = search.page(events, venues, replace(q, offset=294, limit=7), now)
     assert last.next_offset is None and last.rows.count() == 6 and search.page(events, venues, replace(q, offset=900), now).total == 300
+
+
+def test_a_crawl_ends_at_its_block_or_limit(spark):
+    told = [("a", 0, "ok", None), ("a", 1, "failed", "boom"), ("a", 2, "ok", None), ("a", 3, "blocked", "robots"), ("a", 4, "ok", None), ("b", 0, "ok", None), ("b", 1, "ok", None), ("b", 2, "ok", None), ("c", 0, "blocked", None)]
+    rows = [("a", 0, 0, "u1", ["x"]), ("a", 0, 1, "u2", None), ("a", 1, 0, "u3", ["y"]), ("a", 2, 0, "u1", ["y", "x"]), ("a", 4, 0, "u9", []), ("b", 0, 0, "v1", []), ("b", 1, 0, "v2", []), ("b", 1, 1, "v3", []), ("b", 2, 0, "v4", [])]
+    pages_ = spark.createDataFrame(told, "source_id string, page int, outcome string, reason string")
+    raw = spark.createDataFrame(rows, "source_id string, page int, place int, source_url string, source_tags array<string>")
+    got, counts = ingest.collected(pages_, raw)
+    assert {(r.source_url, tuple(r.source_tags)) for r in got.filter("source_id = 'a'").collect()} == {("u1", ("x", "y")), ("u2", ())}
+    assert {r.source_id: tuple(r)[1:] for r in counts.collect()} == {"a": (2, 1, "robots", 2), "b": (3, 0, None, 4), "c": (0, 0, "", 0)}
+    got, counts = ingest.collected(pages_, raw, 2)
+    assert {r.source_url for r in got.collect()} == {"u1", "u2", "v1", "v2"} and set(got.columns) == set(raw.columns)
+    assert {r.source_id: tuple(r)[1:] for r in counts.collect()} == {"a": (1, 0, None, 2), "b": (2, 0, None, 2), "c": (0, 0, "", 0)}
+
+
+def test_answers_are_the_models_or_a_template(spark):
+    asks = spark.createDataFrame([(k, None) for k in range(1, 7)], "ask_id long, unmatched string")
+    columns = "ask_id long, place int, id long, title string, starts_at timestamp_ntz, ends_at timestamp_ntz, all_day boolean, venue string, is_online boolean, distance_m double, is_free boolean, price_min double, price_max double"
+    results = spark.createDataFrame([(k, 1, 10 * k, "Fair", datetime(2026, 10, 3), None, False, "Hall", False, None, True, None, None) for k in range(1, 6)], columns)
+    written = [(1, " Go to [E10] and [E99] . ", False, False), (2, "Well, ", True, False), (3, "no", False, True), (5, None, False, False), (6, "made up [E1]", False, False)]
+    got = {r.ask_id: r for r in answers.answered(asks, results, spark.createDataFrame(written, "ask_id long, text string, failed boolean, refused boolean")).collect()}
+    assert (got[1].answer, got[1].cited, got[1].by) == ("Go to [E10] and.", [10], "model")
+    assert got[2].answer.startswith("Well, \n\nHere are") and (got[2].cited, got[2].by) == ([20], "template")
+    assert (got[3].answer, got[3].cited) == (model.REFUSED, []) and (got[4].by, got[4].cited) == ("template", [40])
+    assert (got[5].answer, got[5].by) == ("", "model") and (got[6].answer, got[6].by) == (model.NO_MATCHES, "template")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from outing import model
 from outing.functions import display
 from outing.functions.text import content_hash
-from outing.operators import ask, enrich, questions, search, service
+from outing.operators import ask, enrich, fulltext, questions, search, service
 from outing.sources import model_output
 
 NOW = datetime(2024, 1, 15)
@@ -145,6 +145,11 @@ def test_retrieve_ranks_and_falls_back(spark):
     lost = ask.retrieve(events, venues, q, "opera", NOW).orderBy("rank").collect()
     assert [r.id for r in lost] == [0, 1, 2, 3] and not any(r.matched for r in lost)
     assert [r.id for r in ask.retrieve(events, venues, q, " ", NOW, top_k=2).orderBy("rank").collect()] == [0, 1]
+    # with search vectors, words meet by their stems
+    none = F.lit(None).cast("string")
+    stemmed = events.withColumn("search_vector", fulltext.event_vector(F.col("title"), none, none, none))
+    found = ask.retrieve(stemmed, venues, q, "booking clubs", NOW).collect()
+    assert [(r.id, r.matched) for r in found] == [(2, True)]
 
 
 #: Questions of each kind with what they mean.

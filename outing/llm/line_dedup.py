@@ -51,7 +51,7 @@ LEAST_WORDS, LEAST_CHARS = 5, 20
 #: Least letters of a line that is cut into blocks of letters.
 LEAST_LETTERS = 12
 #: Characters of text for each class of keys; keys that a task sends at once; classes that a partition may take in turn.
-CLASS_CHARS, FLUSH, MOST_PARTITIONS = 32 << 20, 1 << 19, 20_000
+CLASS_CHARS, FLUSH, MOST_PARTITIONS = 12 << 20, 1 << 18, 20_000
 #: Longest line of those whose edit distances are found side by side, and how many are.
 SIDE_BY_SIDE, PACK = 1000, 24
 #: Edit similarity (1 - distance / longer length, in characters of the normalised lines) in percent.
@@ -434,7 +434,7 @@ def shared_keys(runs: DataFrame, classes: int) -> DataFrame:
                 key, node = np.frombuffer(run.as_buffer(), np.int64).reshape(-1, 2).T
                 held.append(np.stack([key, node, node, np.ones_like(key)], axis=1))
                 size += len(key)
-                if size >= 4 * FLUSH:
+                if size >= 2 * FLUSH:
                     held = [added(np.concatenate(held))]
                     size = len(held[0]) // 2  # as many again before the next time
         if held:

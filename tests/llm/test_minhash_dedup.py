@@ -86,12 +86,3 @@ def test_large_ids_next_to_a_null(spark):
     rows = [(big + 1, text), (big + 2, text + " more"), (big + 3, "others"), (None, text)]
     got = {r.doc_id: (r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
     assert got == {big + 1: (big + 1, True), big + 2: (big + 1, False), big + 3: (big + 3, True), None: (None, None)}
-
-
-def test_most_apart_follows_from_the_threshold():
-    rng = np.random.default_rng(2)
-    for percent in (50, 80, 85, 95):
-        apart = rng.binomial(minhash_dedup.SYMBOLS, 1 - percent / 100, 2_000_000)
-        assert (apart > minhash_dedup.most_apart(percent)).mean() <= 3e-5
-        assert (apart > minhash_dedup.most_apart(percent) - 2).mean() > 1e-5
-    assert (minhash_dedup.most_apart(85), minhash_dedup.most_apart(100)) == (16, 0)

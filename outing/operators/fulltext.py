@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ from outing.model import SETTINGS, STOP_WORDS
 #: Words of a text or question: letters and digits, with hyphens inside.
 _RUN = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 _VECTOR = ArrayType(StructType([StructField("lexeme", StringType()), StructField("positions", ArrayType(IntegerType()))]))
+#: Places that a task gathers before it passes them on.
+MOST_PLACES = 100_000
 #: The words that are taken from a question.
 _ASKED = re.compile(r"[\w'-]+")
 
@@ -56,10 +59,67 @@ def _vector(english: str | None, simple: str | None) -> list[tuple[str, list[int
     return sorted(at.items())
 
 
-@F.pandas_udf(_VECTOR)
-def search_vector(english: pd.Series, simple: pd.Series) -> pd.Series:
+class _Postings:
+    """Lexemes and places of texts in flat buffers, a few bytes for each."""
+
+    def __init__(self):
+        self._lexemes: list[str] = []
+        self._places, self._ends, self._texts = array("i"), array("i", [0]), array("i", [0])
+
+    @property
+    def places(self) -> int:
+        return len(self._places)
+
+    def add(self, vector: list[tuple[str, list[int]]]) -> None:
+        """The vector of the next text."""
+        for lexeme, at in vector:
+            self._lexemes.append(lexeme)
+            self._places.extend(at)
+            self._ends.append(len(self._places))
+        self._texts.append(len(self._lexemes))
+
+    def _columns(self) -> tuple[pa.Array, pa.Array]:
+        of = lambda x: pa.array(x, pa.int32())
+        return pa.array(self._lexemes, pa.string()), pa.ListArray.from_arrays(of(self._ends), of(self._places))
+
+    def lists(self) -> pa.Array:
+        """A list of (lexeme, positions) for each text."""
+        return pa.ListArray.from_arrays(pa.array(self._texts, pa.int32()), pa.StructArray.from_arrays(list(self._columns()), ["lexeme", "positions"]))
+
+    def rows(self, ids: list[int]) -> pa.RecordBatch:
+        lexemes, positions = self._columns()
+        return pa.RecordBatch.from_arrays([lexemes, pa.array(ids, pa.int64()), positions], names=["lexeme", "id", "positions"])
+
+
+@F.arrow_udf(_VECTOR)
+def search_vector(english: pa.Array, simple: pa.Array) -> pa.Array:
     """The search vector of an English and a simple text; nulls are empty. Lexemes are sorted."""
-    return pd.Series([[{"lexeme": w, "positions": p} for w, p in _vector(e, s)] for e, s in zip(english, simple)], dtype=object)
+    parts = [_Postings()]
+    for e, s in zip(english, simple):
+        if parts[-1].places >= MOST_PLACES:
+            parts.append(_Postings())
+        parts[-1].add(_vector(e.as_py(), s.as_py()))
+    return pa.concat_arrays([p.lists() for p in parts])
+
+
+def postings(rows: DataFrame, english: str | None = None, simple: str | None = None) -> DataFrame:
+    """inverted() of the search vectors of rows (id, and the columns of an English and a simple text), without the
+    vectors: a task holds about MOST_PLACES places at a time, however many texts come in a batch."""
+    columns = {"id": F.col("id").cast("long"), "english": F.lit("") if english is None else F.col(english), "simple": F.lit("") if simple is None else F.col(simple)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, ids = _Postings(), []
+            for i, e, s in zip(*batch.columns):
+                vector = _vector(e.as_py(), s.as_py())
+                part.add(vector)
+                ids += [i.as_py()] * len(vector)
+                if part.places >= MOST_PLACES:
+                    yield part.rows(ids)
+                    part, ids = _Postings(), []
+            yield part.rows(ids)
+
+    return rows.select(*[c.cast("string" if n != "id" else "long").alias(n) for n, c in columns.items()]).mapInArrow(run, "lexeme string, id long, positions array<int>")
 
 
 def event_vector(title: Column, summary: Column, organizer: Column, venue: Column, title_alt: Column | None = None) -> Column:

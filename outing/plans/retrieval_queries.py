@@ -64,8 +64,8 @@ def fts_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexeme_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inverted table of all documents' words as they are: rows and places of the lexemes in 25 rows or more."""
-    docs = bridge.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), fulltext.search_vector(F.lit(""), F.col("text")).alias("search_vector"))
-    rows = fulltext.inverted(docs).groupBy("lexeme").agg(F.count("*").alias("n_rows"), F.sum(F.size("positions").cast("long")).alias("n_places"))
+    docs = bridge.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    rows = fulltext.postings(docs, simple="text").groupBy("lexeme").agg(F.count("*").alias("n_rows"), F.sum(F.size("positions").cast("long")).alias("n_places"))
     return rows.filter("n_rows >= 25")
 
 

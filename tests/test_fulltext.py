@@ -82,3 +82,12 @@ def test_a_stored_table_is_read_by_lexeme(spark, tmp_path):
     _postings(spark)[0].write.parquet(str(tmp_path / "lexemes"))
     plan = fulltext.ranked(spark.read.parquet(str(tmp_path / "lexemes")), "run")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(lexeme), EqualTo(lexeme,run)]" in plan.replace("In(lexeme, [run])", "EqualTo(lexeme,run)")
+
+
+def test_postings_are_the_inverted_vectors_in_bounded_parts(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, f"Clay workshops {k}", "naïve clay " * 50) for k in range(40)] + [(98, None, None), (99, "", "Ärger")], "id long, a string, b string")
+    monkeypatch.setattr(fulltext, "MOST_PLACES", 60)
+    vectors = rows.select("id", fulltext.search_vector("a", "b").alias("search_vector"))
+    got = lambda df: sorted((r.lexeme, r.id, tuple(r.positions)) for r in df.collect())
+    want = sorted((w, r.id, tuple(p)) for r in rows.collect() for w, p in fulltext._vector(r.a, r.b))
+    assert got(fulltext.postings(rows, "a", "b")) == got(fulltext.inverted(vectors)) == want

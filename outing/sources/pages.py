@@ -13,8 +13,10 @@ from html.parser import HTMLParser
 from zoneinfo import ZoneInfo
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType
 
 from outing import model
@@ -113,7 +115,47 @@ class _Reader(HTMLParser):
         self._close(0)
 
 
+#: Parts of a page that need no parser: text, comments, tags with quoted values or none, scripts. What else there is
+#: (broken or unquoted markup, elements that hold raw text) goes through the parser.
+_PART = re.compile(
+    r"""([^<]+)|<!--(?![-]?>)(?:(?!--|<!).)*-->|<!doctype[ \t\n\r\f][^<>\[\]]*>|</([a-z][a-z0-9]*)[ \t\n\r\f]*>"""
+    r"""|<(?:(script)|(?!script|style|iframe|xmp|noembed|noframes|noscript|textarea|title|plaintext|svg|math)([a-z][a-z0-9]*))((?:[ \t\n\r\f]+[a-z][a-z0-9-]*(?:="[^"<>&]*")?)*)[ \t\n\r\f]*>"""
+    r"""(?(3)((?:(?!</script|<!--).)*)</script[ \t\n\r\f]*>)""",
+    re.DOTALL | re.IGNORECASE | re.ASCII,
+)
+_ATTRIBUTE = re.compile(r'([a-z][a-z0-9-]*)(="([^"]*)")?', re.IGNORECASE | re.ASCII)
+
+
+def _read_plain(page: str) -> _Reader | None:
+    """What the parser reads of a page of plain parts; null for other pages."""
+    reader, at = _Reader(), 0
+    start, end, data = reader.handle_starttag, reader.handle_endtag, reader.handle_data
+    while at < len(page):
+        part = _PART.match(page, at)
+        if part is None:
+            return None
+        at = part.end()
+        kind = part.lastindex
+        if kind == 1:
+            data(html.unescape(part[1]) if "&" in part[1] else part[1])
+        elif kind == 2:
+            end(part[2].lower())
+        elif kind is not None:
+            said = part[5]
+            attrs = [(n.lower(), v if given else None) for n, given, v in _ATTRIBUTE.findall(said)] if said else []
+            start((part[3] or part[4]).lower(), attrs)
+            if part[3]:
+                if part[6]:
+                    data(part[6])
+                end("script")
+    reader._close(0)
+    return reader
+
+
 def _read(page: str | None) -> _Reader:
+    reader = _read_plain(page or "")
+    if reader is not None:
+        return reader
     reader = _Reader()
     reader.feed(page or "")
     reader.close()
@@ -125,6 +167,9 @@ def page_text(page: str | None) -> str:
     return " ".join(_read(page).words)[:MOST_TEXT]
 
 
+_TAG, _CODE = re.compile(r"<[^>]+>"), re.compile(r"\b\d{6}\b")
+
+
 def clean(value) -> str | None:
     """Text without tags and entities; lists give their first item."""
     if isinstance(value, list):
@@ -133,7 +178,10 @@ def clean(value) -> str | None:
         value = value.get("name") or value.get("url")
     if value is None:
         return None
-    return " ".join(html.unescape(re.sub(r"<[^>]+>", " ", str(value))).split()) or None
+    said = str(value)
+    if "<" in said or "&" in said:
+        said = html.unescape(_TAG.sub(" ", said))
+    return " ".join(said.split()) or None
 
 
 def find_events(data) -> Iterator[dict]:
@@ -203,7 +251,7 @@ def structured_events(page: str | None, url: str | None) -> list[dict]:
             address = one(place.get("address"))
             parts = [address.get(k) for k in ("streetAddress", "addressLocality", "postalCode")] if isinstance(address, dict) else [address]
             line = ", ".join(p for p in map(clean, parts) if p) or None
-            code = re.search(r"\b\d{6}\b", line or "")
+            code = _CODE.search(line or "")
             row = (clean(e.get("name")), clean(e.get("startDate")), clean(e.get("endDate")), clean(place.get("name")), line, code and code[0], clean(e.get("description")), clean(e.get("url")) or url, clean(e.get("image")), clean(e.get("organizer")))
             row += (price_line(e.get("offers"), one(e.get("isAccessibleForFree"))), _number(geo.get("latitude")), _number(geo.get("longitude")), mode, clean(e.get("eventStatus")), clean(e.get("@id")))
             if row[0] and row[1]:
@@ -214,14 +262,19 @@ def structured_events(page: str | None, url: str | None) -> list[dict]:
 def page_events(pages: DataFrame) -> DataFrame:
     """A row for each event in pages (page_id, url, html)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [{"page_id": i, **e} for i, u, h in zip(pdf["page_id"], pdf["url"], pdf["html"]) for e in structured_events(h, u)]
-            yield pd.DataFrame(rows, columns=["page_id", *_NAMES])
+    schema = "page_id long, " + EVENT_FIELDS
+    fields = to_arrow_schema(pages.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, urls, texts = (c.to_pylist() for c in batch.columns)
+            rows = [(i, *e.values()) for i, u, h in zip(ids, urls, texts) for e in structured_events(h, u)]
+            columns = zip(*rows) if rows else [[] for _ in fields]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=fields)
 
     # most pages have no such script or item, and need no parser
-    some = pages.filter(F.col("html").rlike("(?i)ld(?:\\+|&)|itemscope")).select("page_id", "url", "html")
-    return some.mapInPandas(run, "page_id long, " + EVENT_FIELDS)
+    some = pages.filter(F.col("html").rlike("(?i)ld(?:\\+|&)|itemscope")).select(F.col("page_id").cast("long"), "url", "html")
+    return some.mapInArrow(run, schema)
 
 
 @F.pandas_udf(StringType())

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -58,6 +59,8 @@ SIDE_BY_SIDE, PACK = 1000, 24
 PERCENT = 80
 #: Characters of text that are parsed at once (more only where one line is longer), and lines of a block of a key.
 SPAN, KEY_BLOCK = 1 << 18, 512
+#: Counters of a line's runs of three characters, which are dealt to them by their hash.
+GRAMS = 1024
 _OTHER = re.compile(r"[^\w\n]+|_+")
 #: What _OTHER takes of ASCII, as spaces; and what it takes beyond.
 _GAPS = {i: " " for i in range(128) if _OTHER.match(chr(i))}
@@ -580,6 +583,33 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return picked.join(wanted, ["doc_id", "text_id", "line"]).select("node", "words", "sim").dropDuplicates(["node"])
 
 
+def _grams(lines: list[str]) -> np.ndarray:
+    """(n, GRAMS) counts of each line's runs of three characters, dealt to counters by hash; up to 255 each."""
+    counts = np.zeros((len(lines), GRAMS), np.uint8)
+    for low in range(0, len(lines), 256):  # in pieces, so that these counters are all that grows
+        some = lines[low : low + 256]
+        of = np.repeat(np.arange(len(some)), [len(x) for x in some])
+        raw = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        inside = np.nonzero(of[2:] == of[:-2])[0]
+        run = (raw[inside] * np.uint64(_BASE) + raw[inside + 1]) * np.uint64(_BASE) + raw[inside + 2]
+        run = (_mix(run) % np.uint64(GRAMS)).astype(np.int64)
+        found = np.bincount(of[inside] * GRAMS + run, minlength=len(some) * GRAMS)
+        counts[low : low + 256] = np.minimum(found, 255).reshape(-1, GRAMS)
+    return counts
+
+
+def _may_be_similar(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether lines with _grams `a` and `b` (a row each, or one row for all) and these lengths can reach
+    `percent`: lengths differ by no more than the edits left, and an edit changes six runs at most (three go, three
+    come), whatever the counters hold."""
+    most = (100 - percent) * np.maximum(size_a, size_b) // 100
+    good = np.abs(size_a - size_b) <= most
+    some = np.nonzero(good)[0]
+    x, y = (v[some] if len(v) == len(good) else v for v in (a, b))
+    good[some] = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.uint32) <= 6 * most[some]
+    return good
+
+
 def _near(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)) <= bits
 
@@ -591,16 +621,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         for pdf in batches_of(batches, 4096):
             bits = np.maximum(_bits(pdf["words_a"].tolist()), _bits(pdf["words_b"].tolist()))
             pdf = pdf[_near(pdf["sim_a"].to_numpy(np.int64), pdf["sim_b"].to_numpy(np.int64), bits)]
-            good = []
-            for a, rows in pdf.groupby("a"):
-                words, b = rows["words_a"].iloc[0], rows["words_b"].tolist()
-                own, *units = _sets([words, *b])
-                live = [k for k, u in enumerate(units) if _share(own, u)]
+            both = [pdf[c].tolist() for c in ("words_a", "words_b")]
+            pdf = pdf[_may_be_similar(*map(_grams, both), *[np.array([len(w) for w in x], np.int64) for x in both], percent)]
+            pdf = pdf.sort_values("a", kind="stable")
+            a, b, words_a, words_b = pdf["a"].to_numpy(np.int64), pdf["b"].to_numpy(np.int64), pdf["words_a"].tolist(), pdf["words_b"].tolist()
+            starts, good = [*np.nonzero(np.diff(a, prepend=~a[:1]))[0].tolist(), len(a)], []
+            for low, high in zip(starts, starts[1:]):
+                own, *units = _sets([words_a[low], *words_b[low:high]])
+                live = [low + k for k, u in enumerate(units) if _share(own, u)]
                 for k in range(0, len(live), PACK):
                     some = live[k : k + PACK]
-                    same = similar_to(words, [b[j] for j in some], percent)
-                    good += [(a, rows["b"].iloc[j]) for j, x in zip(some, same) if x]
-            yield pd.DataFrame(good, columns=["a", "b"], dtype="int64")
+                    good += [j for j, x in zip(some, similar_to(words_a[low], [words_b[j] for j in some], percent)) if x]
+            yield pd.DataFrame({"a": a[good], "b": b[good]}, dtype="int64")
 
     a = texts.select(F.col("node").alias("a"), F.col("words").alias("words_a"), F.col("sim").alias("sim_a"))
     b = texts.select(F.col("node").alias("b"), F.col("words").alias("words_b"), F.col("sim").alias("sim_b"))
@@ -627,53 +659,64 @@ def _links_within(mixed: DataFrame, texts: DataFrame, percent: int) -> DataFrame
     dealt = dealt.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "part")
     groups = ["key", "one", "two"]
 
-    def links(rows: pd.DataFrame) -> list[tuple[int, int]]:
-        part, node, sim, block = (rows[c].to_numpy(np.int64) for c in ("part", "node", "sim", "block"))
-        words, found = rows["words"].to_numpy(), []
-        root = {p: p for p in part.tolist()}
+    def links(part: np.ndarray, sim: np.ndarray, block: np.ndarray, one: int, inside: bool, words: list[str], bits: np.ndarray, grams: np.ndarray) -> list[tuple[int, int]]:
+        """Places of linked lines of two blocks of a key."""
+        root, found = {p: p for p in part.tolist()}, []
 
         def top(p: int) -> int:
             while root[p] != p:
                 root[p] = p = root[root[p]]
             return p
 
-        one, inside = rows["one"].iloc[0], rows["one"].iloc[0] == rows["two"].iloc[0]
         if len(root) < 2:
             return found
         own, others = np.nonzero(block == one)[0], np.nonzero((block != one) | inside)[0]
-        bits = _bits(words.tolist())
-        units, letters = _sets(words.tolist()), [_letters(w) if len(w) <= SIDE_BY_SIDE else {} for w in words]
-        for i in own:
+        size, units = np.array([len(w) for w in words], np.int64), _sets(words)
+        letters: dict[int, dict[str, int]] = {}
+        for i in own.tolist():
             near = others[(part[others] != part[i]) & _near(sim[others], sim[i : i + 1], np.maximum(bits[others], bits[i]))]
-            left = [int(j) for j in near if (i < j or not inside) and _share(units[i], units[j])]
+            near = near[near > i] if inside else near
+            near = near[_may_be_similar(grams[i : i + 1], grams[near], size[i : i + 1], size[near], percent)] if len(near) else near
+            left = [j for j in near.tolist() if _share(units[i], units[j])]
             while left:
                 left = [j for j in left if top(int(part[j])) != top(int(part[i]))]
                 some, left = left[:PACK], left[PACK:]
+                for j in some:
+                    if j not in letters:
+                        letters[j] = _letters(words[j]) if len(words[j]) <= SIDE_BY_SIDE else {}
                 for j, same in zip(some, similar_to(words[i], [words[j] for j in some], percent, [letters[j] for j in some])):
                     x, y = top(int(part[i])), top(int(part[j]))
                     if same and x != y:
                         root[max(x, y)] = min(x, y)
-                        found.append((node[i], node[j]))
+                        found.append((i, j))
         return found
 
+    def linked(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links of rows that come in order of the groups, whole groups only; columns are taken once for all of them."""
+        part, node, sim, block, *of = (pdf[c].to_numpy(np.int64) for c in ("part", "node", "sim", "block", *groups))
+        words, found = pdf["words"].tolist(), []
+        bits, grams, inside, one = _bits(words), _grams(words), of[1] == of[2], of[1]
+        new = reduce(np.logical_or, [c[1:] != c[:-1] for c in of])
+        cuts = [0, *(np.nonzero(new)[0] + 1).tolist(), len(pdf)]
+        for a, b in zip(cuts, cuts[1:]):
+            at = slice(a, b)
+            found += [(a + i, a + j) for i, j in links(part[at], sim[at], block[at], one[a], bool(inside[a]), words[at], bits[at], grams[at])]
+        pairs = node[np.array(found, np.int64).reshape(-1, 2)]
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+        held = None
         for pdf in batches:
-            # rows come in order of the groups; the last group may go on in the next batch
-            new = (pdf[groups].to_numpy()[1:] != pdf[groups].to_numpy()[:-1]).any(axis=1)
-            cuts, found = [0, *(np.nonzero(new)[0] + 1), len(pdf)], []
-            for a, b in zip(cuts, cuts[1:]):
-                rows = pdf.iloc[a:b]
-                if held and (held[-1][groups].iloc[-1] != rows[groups].iloc[0]).any():
-                    found += links(pd.concat(held))
-                    held = []
-                if b < len(pdf) and not held:
-                    found += links(rows)
-                elif len(rows):
-                    held.append(rows)
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-        if held:
-            yield pd.DataFrame(links(pd.concat(held)), columns=["a", "b"], dtype="int64")
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            # the last group may go on in the next batch
+            last = int((pdf[groups].to_numpy() == pdf[groups].iloc[-1].to_numpy()).all(axis=1).argmax())
+            held, pdf = pdf.iloc[last:], pdf.iloc[:last]
+            if len(pdf):
+                yield linked(pdf)
+        if held is not None:
+            yield linked(held)
 
     rows = dealt.join(texts, "node").repartition(*groups).sortWithinPartitions(*groups)
     return rows.mapInPandas(compare, "a long, b long")

@@ -208,3 +208,21 @@ def test_long_lines_without_spaces_are_compared_by_characters(spark):
         rows.append((2 * i + 1, "".join(line)))
     got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in got if r.dropped) == list(range(1, 40, 2))
+
+
+def test_runs_of_characters_reject_no_similar_line():
+    """The bound before edit distances lets every pair of PERCENT pass, and stops lines that only share their letters."""
+    rng = np.random.default_rng(3)
+    lines = ["".join(rng.choice(list("abcdef é"), n)) for n in (1, 2, 3, 20, 60, 400, 1500) for _ in range(6)]
+    edited = []
+    for line in lines:
+        chars = list(line)
+        for _ in range(len(line) // 5):
+            k = int(rng.integers(len(chars) or 1))
+            chars[k : k + int(rng.integers(2))] = rng.choice(list("xyz "), int(rng.integers(2))).tolist()
+        edited.append("".join(chars))
+    size = lambda some: np.array([len(x) for x in some], np.int64)
+    may = lambda a, b: line_dedup._may_be_similar(line_dedup._grams(a), line_dedup._grams(b), size(a), size(b), 80)
+    similar = np.array([edit_similar(a, b, 80) for a, b in zip(lines, edited)])
+    assert similar.sum() > 20 and may(lines, edited)[similar].all()
+    assert not may(lines[24:30], ["".join(sorted(x)) for x in lines[24:30]]).any()

@@ -53,12 +53,16 @@ LEAST_WORDS, LEAST_CHARS = 5, 20
 LEAST_LETTERS = 12
 #: Characters of text for each class of keys; keys that a task sends at once; classes that a partition may take in turn.
 CLASS_CHARS, FLUSH, MOST_PARTITIONS = 12 << 20, 1 << 18, 20_000
-#: Longest line of those whose edit distances are found side by side, and how many are.
-SIDE_BY_SIDE, PACK = 1000, 24
+#: Pairs and characters of a step of arrays of pairs, and the widths of its band; pairs that need more go one by one.
+SIDE_PAIRS, SIDE_CHARS, _WIDTHS = 4096, 1 << 20, np.array([1, 2, 3, 4, 6, 8, 12, 16])
 #: Edit similarity (1 - distance / longer length, in characters of the normalised lines) in percent.
 PERCENT = 80
 #: Characters of text that are parsed at once (more only where one line is longer), and lines of a block of a key.
 SPAN, KEY_BLOCK = 1 << 18, 512
+#: Pairs of a key's lines that are looked at in one step.
+STEP = 1 << 17
+#: Edits of a narrow band that is tried first where two lines are compared by themselves.
+FEW_EDITS = 127
 #: Counters of a line's runs of three characters, which are dealt to them by their hash.
 GRAMS = 1024
 _OTHER = re.compile(r"[^\w\n]+|_+")
@@ -482,68 +486,178 @@ def edit_similar(a: str, b: str, percent: int) -> bool:
     a, b = a[low : len(a) - high], b[low : len(b) - high]
     if not b or max(len(a), len(b)) <= most:
         return max(len(a), len(b)) <= most
-    # bit-parallel columns (Myers, Hyyro): vp and vn mark where the column rises and falls
-    at: dict[str, int] = {}
-    for i, c in enumerate(b):
-        at[c] = at.get(c, 0) | 1 << i
-    full, top = (1 << len(b)) - 1, 1 << (len(b) - 1)
-    vp, vn, score = full, 0, len(b)
-    for k, c in enumerate(a):
-        if score - (len(a) - k) > most:  # every letter left can take one off at most
+    # few edits need a narrow band only
+    return FEW_EDITS < most and _in_band(a, b, FEW_EDITS) or _in_band(a, b, most)
+
+
+def _in_band(a: str, b: str, most: int) -> bool:
+    """_banded() for one pair, in numbers of any size; a is no shorter than b."""
+    apart, n = len(a) - len(b), len(b)
+    if apart > most:
+        return False
+    under = (most - apart) // 2
+    raw = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = {c: int.from_bytes(np.packbits(raw == ord(c), bitorder="little").tobytes(), "little") << under for c in set(a)}
+    full, end, least = (1 << most + 1) - 1, under + apart, apart - most
+    vp, vn, same = full >> under << under, 0, 0
+    for j, c in enumerate(b):
+        if same < least + j:
             return False
-        x = at.get(c, 0) | vn
-        d0 = ((((x & vp) + vp) ^ vp) | x) & full
-        hp, hn = (vn | ~(d0 | vp)) & full, d0 & vp
-        score += bool(hp & top) - bool(hn & top)
-        hp, hn = ((hp << 1) | 1) & full, (hn << 1) & full
-        vp, vn = (hn | ~(d0 | hp)) & full, d0 & hp
-    return score <= most
-
-
-def _letters(text: str) -> dict[str, int]:
-    """Each character's places in the text, as bits."""
-    at: dict[str, int] = {}
-    for i, c in enumerate(text):
-        at[c] = at.get(c, 0) | 1 << i
-    return at
-
-
-def similar_to(a: str, others: list[str], percent: int, letters: list[dict[str, int]] | None = None) -> list[bool]:
-    """edit_similar(a, b, percent) for each b of others: short lines side by side in one number's bits."""
-    if len(others) < 3 or max(map(len, others)) > SIDE_BY_SIDE:
-        return [edit_similar(a, b, percent) for b in others]
-    letters = letters or [_letters(b) for b in others]
-    starts, n = [], 0
-    for b in others:
-        starts.append(n)
-        n += len(b) + 1  # a bit between takes the carry
-    at = {c: sum(of[c] << start for of, start in zip(letters, starts) if c in of) for c in set(a)}
-    full = sum((1 << len(b)) - 1 << start for b, start in zip(others, starts))
-    first = sum(1 << start for b, start in zip(others, starts) if b)
-    vp, vn = full, 0
-    for c in a:
-        x = at[c] | vn
-        d0 = ((((x & vp) + vp) ^ vp) | x) & full
-        hp, hn = (vn | ~(d0 | vp)) & full, d0 & vp
-        hp, hn = ((hp << 1) | first) & full, (hn << 1) & full
-        vp, vn = (hn | ~(d0 | hp)) & full, d0 & hp
-    # the distance is that of the empty text, len(a), plus the last column's steps
-    found = []
-    for b, start in zip(others, starts):
-        own = (1 << len(b)) - 1
-        distance = len(a) + (vp >> start & own).bit_count() - (vn >> start & own).bit_count()
-        found.append(100 * distance <= (100 - percent) * max(len(a), len(b)))
-    return found
-
-
-def _sets(words: list[str]) -> list[tuple[set[str] | None, set[str]]]:
-    """The distinct words of lines of more than FEW words, and the characters of all."""
-    return [(set(w.split(" ")) if w.count(" ") >= FEW else None, set(w)) for w in words]
-
-
-def _share(a: tuple[set[str] | None, set[str]], b: tuple[set[str] | None, set[str]]) -> bool:
-    k = 1 if a[0] is None or b[0] is None else 0
-    return 2 * len(a[k] & b[k]) >= max(len(a[k]), len(b[k]))
+        x = at.get(c, 0) >> j & full
+        d0 = ((((x & vp) + vp) ^ vp) | x | vn) & full
+        hp = vn | full ^ (d0 | vp)
+        same += d0 >> end & 1
+        d1 = d0 >> 1
+        vp, vn = d0 & vp | full ^ (d1 | hp), d1 & hp
+    return same >= least + n
+
+
+def similar_pairs(words: list[str], one: np.ndarray, two: np.ndarray, percent: int, few: bool = True) -> np.ndarray:
+    """edit_similar(words[i], words[j], percent) for each i of `one` and j of `two`: pairs side by side in arrays, in as
+    wide a band as `percent` allows; with `few`, first in a band of 64 diagonals, which is enough for few edits."""
+    good = np.zeros(len(one), bool)
+    if not len(one):
+        return good
+    used, back = np.unique(np.concatenate([one, two]), return_inverse=True)
+    one, two = back[: len(one)], back[len(one) :]
+    lines = [words[k] for k in used.tolist()]
+    size = np.array([len(w) for w in lines], np.int64)
+    raw = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    known = np.zeros(int(raw.max(initial=0)) + 1, bool)
+    known[raw] = True
+    letters = (np.cumsum(known, dtype=np.int32) - 1)[raw]
+    swap = size[one] < size[two]
+    one, two = np.where(swap, two, one), np.where(swap, one, two)
+    most = (100 - percent) * size[one] // 100
+    left = np.nonzero(size[one] - size[two] <= most)[0]
+    for limit in (np.minimum(most, 63), most) if few else (most,):
+        todo, left = left, left[size[one[left]] - size[two[left]] <= limit[left]]
+        width = _WIDTHS[np.minimum(np.searchsorted(_WIDTHS, limit[left] // 64 + 1), len(_WIDTHS) - 1)]
+        order = np.lexsort((size[two[left]], width))
+        left, width = left[order], width[order]
+        step = np.maximum(np.cumsum(size[one[left]]) // SIDE_CHARS, np.arange(len(left)) // SIDE_PAIRS)
+        cuts = np.nonzero((np.diff(width, prepend=0) != 0) | (np.diff(step, prepend=-1) != 0))[0]
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(left)]):
+            some = left[a:b]
+            if b - a < 6 + 3 * width[a] or limit[left[a:b]].max() >= 64 * width[a] or not size[two[left[a]]]:
+                good[some] = [edit_similar(lines[i], lines[j], percent) for i, j in zip(one[some].tolist(), two[some].tolist())]
+                limit[some] = most[some]
+            else:
+                good[some] = _banded(letters, size, one[some], two[some], limit[some], int(width[a]))
+        left = todo[~good[todo] & (limit[todo] < most[todo])]
+    return good
+
+
+def _banded(letters: np.ndarray, size: np.ndarray, one: np.ndarray, two: np.ndarray, most: np.ndarray, width: int) -> np.ndarray:
+    """Whether each pair of lines is within `most` edits, less than 64 * width; `letters` are those of all lines, `size`
+    their lengths. Pairs come in order of size[two], none of it longer than of `one`. Bit-parallel columns (Myers, Hyyro)
+    of all pairs at once.
+
+    Between two lines whose lengths differ by `apart`, `most` edits leave the band of diagonals from -under to
+    apart + under at no time. Bit p of a column is row (column - under + p). The distance along a diagonal rises by one
+    wherever d0 has no bit, so the pair's own is that of its last diagonal; once it is over `most` the pair is given up.
+    """
+    full, at_end = np.uint64(2**64 - 1), np.cumsum(size)
+    apart, length = size[one] - size[two], size[two]
+    under = (most - apart) // 2
+    # each line of `one` with the place of its first letter
+    lines, of = np.unique(one * (64 * width) + under, return_inverse=True)
+    lines, begin = np.divmod(lines, 64 * width)
+    n, kinds = size[lines], int(letters.max()) + 1
+    line = np.repeat(np.arange(len(lines)), n)
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    cell = line * kinds + letters[np.repeat(at_end[lines] - n, n) + place]
+    # a row of bits for each line's letters; row 0 is for letters that it does not have
+    row = np.zeros(len(lines) * kinds, np.int32)
+    row[cell] = 1
+    row *= np.cumsum(row, dtype=np.int32)
+    place += np.repeat(begin, n)
+    bits = np.zeros((int(max((n + begin).max(), length[-1])) // 64 + width + 2, int(row.max()) + 1), np.uint64)
+    np.add.at(bits, (place >> 6, row[cell]), np.uint64(1) << (place & 63).astype(np.uint64))
+    # the row of each column's letter, for each pair
+    whose = np.repeat(np.arange(len(two)), length)
+    column = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    rows = np.zeros((int(length[-1]), len(two)), np.int32)
+    rows[column, whose] = row[(of * kinds)[whose] + letters[np.repeat(at_end[two] - length, length) + column]]
+
+    good, live = np.zeros(len(two), bool), np.arange(len(two))
+    word, bit = (under + apart) >> 6, ((under + apart) & 63).astype(np.uint64)
+    # edits so far: `apart` and one for each column, less those columns that have the bit
+    same = np.zeros(len(two), np.int64)
+    vn = np.zeros((width, len(two)), np.uint64)
+    vp = np.where(np.arange(width)[:, None] > under >> 6, full, np.uint64(0))
+    vp[under >> 6, live] = full << (under & 63).astype(np.uint64)
+    for j in range(int(length[-1])):
+        keep = None
+        if length[0] == j:
+            keep = slice(int(np.searchsorted(length, j, "right")), None)
+            good[live[: keep.start]] = (apart + j - same <= most)[: keep.start]
+        elif j % 16 == 0:
+            over = apart + j - same > most
+            keep = ~over if 8 * np.count_nonzero(over) > len(over) else None
+        if keep is not None:
+            live, length, word, bit, apart, same, most = (x[keep] for x in (live, length, word, bit, apart, same, most))
+            vp, vn = vp[:, keep], vn[:, keep]
+            if not len(live):
+                return good
+        now, shift, q = rows[j].take(live), np.uint64(j & 63), j >> 6
+        x = bits[q : q + width + 1].take(now, axis=1)
+        x = (x[:-1] >> shift) | (x[1:] << np.uint64(64 - int(shift))) if shift else x[:-1]
+        d0 = x & vp
+        d0 += vp
+        if width > 1:
+            out = d0 < vp
+            for w in range(1, width):
+                carry = out[w - 1].astype(np.uint64)
+                d0[w] += carry
+                if w < width - 1:
+                    out[w] |= d0[w] < carry
+        d0 ^= vp
+        d0 |= x
+        d0 |= vn
+        hp = d0 | vp
+        np.invert(hp, out=hp)
+        hp |= vn
+        same += ((d0[0] if width == 1 else d0[word, np.arange(len(word))]) >> bit & np.uint64(1)).view(np.int64)
+        d1 = d0 >> np.uint64(1)
+        if width > 1:
+            d1[:-1] |= d0[1:] << np.uint64(63)
+        d0 &= vp
+        vn = d1 & hp
+        d1 |= hp
+        np.invert(d1, out=d1)
+        d1 |= d0
+        vp = d1
+    good[live] = apart + length - same <= most
+    return good
+
+
+def similar_to(a: str, others: list[str], percent: int) -> list[bool]:
+    """edit_similar(a, b, percent) for each b of others."""
+    return similar_pairs([a, *others], np.zeros(len(others), np.int64), np.arange(len(others)) + 1, percent).tolist()
+
+
+def _sets(words: list[str]) -> list[tuple[set[str] | None, str]]:
+    """The distinct words of lines of more than FEW words, and all lines themselves."""
+    return [(set(w.split(" ")) if w.count(" ") >= FEW else None, w) for w in words]
+
+
+class _Units(dict):
+    """The _sets of each of these lines, by place; made when they are asked for."""
+
+    def __init__(self, words: list[str]):
+        super().__init__()
+        self._words = words
+
+    def __missing__(self, k: int) -> tuple[set[str] | None, str]:
+        value = self[k] = _sets([self._words[k]])[0]
+        return value
+
+
+def _share(a: tuple[set[str] | None, str], b: tuple[set[str] | None, str]) -> bool:
+    """Whether half of the words are common; of the characters, where one line has FEW words."""
+    x, y = (set(a[1]), set(b[1])) if a[0] is None or b[0] is None else (a[0], b[0])
+    return 2 * len(x & y) >= max(len(x), len(y))
 
 
 def _bits(words: list[str]) -> np.ndarray:
@@ -598,15 +712,21 @@ def _grams(lines: list[str]) -> np.ndarray:
     return counts
 
 
-def _may_be_similar(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether lines with _grams `a` and `b` (a row each, or one row for all) and these lengths can reach
+def _may_be_similar(
+    a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int, one: np.ndarray | None = None, two: np.ndarray | None = None
+) -> np.ndarray:
+    """Whether lines with _grams `a` and `b` and these lengths, row by row or of the rows `one` and `two`, can reach
     `percent`: lengths differ by no more than the edits left, and an edit changes six runs at most (three go, three
     come), whatever the counters hold."""
-    most = (100 - percent) * np.maximum(size_a, size_b) // 100
-    good = np.abs(size_a - size_b) <= most
+    one = np.arange(len(a)) if one is None else one
+    two = np.arange(len(b)) if two is None else two
+    most = (100 - percent) * np.maximum(size_a[one], size_b[two]) // 100
+    good = np.abs(size_a[one] - size_b[two]) <= most
     some = np.nonzero(good)[0]
-    x, y = (v[some] if len(v) == len(good) else v for v in (a, b))
-    good[some] = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.uint32) <= 6 * most[some]
+    for k in range(0, len(some), 512):  # so few that their counters stay in the processor's cache
+        here = some[k : k + 512]
+        x, y = a[one[here]], b[two[here]]
+        good[here] = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.uint32) <= 6 * most[here]
     return good
 
 
@@ -618,20 +738,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of lines with SimHashes within NEAR bits, half their units in common, and edit similarity."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches_of(batches, 4096):
+        for pdf in batches_of(batches, 8192):
             bits = np.maximum(_bits(pdf["words_a"].tolist()), _bits(pdf["words_b"].tolist()))
             pdf = pdf[_near(pdf["sim_a"].to_numpy(np.int64), pdf["sim_b"].to_numpy(np.int64), bits)]
             both = [pdf[c].tolist() for c in ("words_a", "words_b")]
             pdf = pdf[_may_be_similar(*map(_grams, both), *[np.array([len(w) for w in x], np.int64) for x in both], percent)]
-            pdf = pdf.sort_values("a", kind="stable")
-            a, b, words_a, words_b = pdf["a"].to_numpy(np.int64), pdf["b"].to_numpy(np.int64), pdf["words_a"].tolist(), pdf["words_b"].tolist()
-            starts, good = [*np.nonzero(np.diff(a, prepend=~a[:1]))[0].tolist(), len(a)], []
-            for low, high in zip(starts, starts[1:]):
-                own, *units = _sets([words_a[low], *words_b[low:high]])
-                live = [low + k for k, u in enumerate(units) if _share(own, u)]
-                for k in range(0, len(live), PACK):
-                    some = live[k : k + PACK]
-                    good += [j for j, x in zip(some, similar_to(words_a[low], [words_b[j] for j in some], percent)) if x]
+            words = pdf["words_a"].tolist() + pdf["words_b"].tolist()
+            units, n = _Units(words), len(pdf)
+            live = np.array([k for k in range(n) if _share(units[k], units[n + k])], np.int64)
+            good = live[similar_pairs(words, live, live + n, percent)]
+            a, b = pdf["a"].to_numpy(np.int64), pdf["b"].to_numpy(np.int64)
             yield pd.DataFrame({"a": a[good], "b": b[good]}, dtype="int64")
 
     a = texts.select(F.col("node").alias("a"), F.col("words").alias("words_a"), F.col("sim").alias("sim_a"))
@@ -649,9 +765,9 @@ def _mixed(met: DataFrame, parts: DataFrame) -> DataFrame:
 def _links_within(mixed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between parts that meet in a key: one for each two parts that are linked, found block by block.
 
-    A key's members are dealt into blocks of about KEY_BLOCK, and a task compares two blocks at a time: SimHashes of
-    all pairs at once, then the edit similarity of near ones whose parts it has not linked yet. A key of m members takes
-    m / KEY_BLOCK copies of each line's text.
+    A key's members are dealt into blocks of about KEY_BLOCK, and a task compares two blocks of each key: SimHashes of all
+    pairs at once, then the edit similarity of near ones whose parts it has not linked yet, pairs of all keys side by
+    side. A key of m members takes m / KEY_BLOCK copies of each line's text.
     """
     blocks = F.ceil(F.col("n") / KEY_BLOCK)
     dealt = mixed.withColumn("block", F.pmod(F.xxhash64("node"), blocks))
@@ -659,48 +775,54 @@ def _links_within(mixed: DataFrame, texts: DataFrame, percent: int) -> DataFrame
     dealt = dealt.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "part")
     groups = ["key", "one", "two"]
 
-    def links(part: np.ndarray, sim: np.ndarray, block: np.ndarray, one: int, inside: bool, words: list[str], bits: np.ndarray, grams: np.ndarray) -> list[tuple[int, int]]:
-        """Places of linked lines of two blocks of a key."""
-        root, found = {p: p for p in part.tolist()}, []
+    def linked(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links of rows that come in order of the groups, whole groups only: one for each two parts, whatever the key."""
+        part, node, sim, block, *of = (pdf[c].to_numpy(np.int64) for c in ("part", "node", "sim", "block", *groups))
+        # a line of several keys is looked at once
+        _, first, line = np.unique(node, return_index=True, return_inverse=True)
+        words = pdf["words"].iloc[first].tolist()
+        bits, grams, size, units = _bits(words), _grams(words), np.array([len(w) for w in words], np.int64), _Units(words)
+        new = np.concatenate([[True], reduce(np.logical_or, [c[1:] != c[:-1] for c in of])])
+        group = np.cumsum(new) - 1
+        # in each group the lines of its first block come first, and meet those of the second; within one, later lines
+        order = np.lexsort((block != of[1], group))
+        part, node, sim, line = part[order], node[order], sim[order], line[order]
+        own = np.bincount(group, weights=block == of[1]).astype(np.int64)
+        start, end = np.nonzero(new)[0], np.append(np.nonzero(new)[0][1:], len(new))
+        place = np.arange(len(new))
+        inside = of[1] == of[2]
+        low = np.where(inside, place + 1, (start + own)[group])
+        count = np.where(inside | (place < low), end[group] - low, 0)
+        total, found = np.cumsum(count), []
+        root = {p: p for p in np.unique(part).tolist()}
 
         def top(p: int) -> int:
             while root[p] != p:
                 root[p] = p = root[root[p]]
             return p
 
-        if len(root) < 2:
-            return found
-        own, others = np.nonzero(block == one)[0], np.nonzero((block != one) | inside)[0]
-        size, units = np.array([len(w) for w in words], np.int64), _sets(words)
-        letters: dict[int, dict[str, int]] = {}
-        for i in own.tolist():
-            near = others[(part[others] != part[i]) & _near(sim[others], sim[i : i + 1], np.maximum(bits[others], bits[i]))]
-            near = near[near > i] if inside else near
-            near = near[_may_be_similar(grams[i : i + 1], grams[near], size[i : i + 1], size[near], percent)] if len(near) else near
-            left = [j for j in near.tolist() if _share(units[i], units[j])]
-            while left:
-                left = [j for j in left if top(int(part[j])) != top(int(part[i]))]
-                some, left = left[:PACK], left[PACK:]
-                for j in some:
-                    if j not in letters:
-                        letters[j] = _letters(words[j]) if len(words[j]) <= SIDE_BY_SIDE else {}
-                for j, same in zip(some, similar_to(words[i], [words[j] for j in some], percent, [letters[j] for j in some])):
+        at, held = 0, []
+        while at < len(count):
+            # whole rows, with some STEP pairs
+            to = max(at + 1, int(np.searchsorted(total, total[at] - count[at] + STEP, "right")))
+            n = count[at:to]
+            i = np.repeat(np.arange(at, to), n)
+            j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[at:to], n)
+            live = (part[i] != part[j]) & _near(sim[i], sim[j], np.maximum(bits[line[i]], bits[line[j]]))
+            i, j = i[live], j[live]
+            for k in range(0, len(i), 4096):
+                x, y = i[k : k + 4096], j[k : k + 4096]
+                live = _may_be_similar(grams, grams, size, size, percent, line[x], line[y])
+                held += [p for p in zip(x[live].tolist(), y[live].tolist()) if _share(units[line[p[0]]], units[line[p[1]]])]
+            at = to
+            while len(held) >= SIDE_PAIRS or held and at == len(count):
+                some, held = held[: 4 * SIDE_PAIRS], held[4 * SIDE_PAIRS :]
+                some = np.array([(i, j) for i, j in some if top(int(part[i])) != top(int(part[j]))], np.int64).reshape(-1, 2)
+                for i, j in some[similar_pairs(words, line[some[:, 0]], line[some[:, 1]], percent, few=False)].tolist():
                     x, y = top(int(part[i])), top(int(part[j]))
-                    if same and x != y:
+                    if x != y:
                         root[max(x, y)] = min(x, y)
                         found.append((i, j))
-        return found
-
-    def linked(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Links of rows that come in order of the groups, whole groups only; columns are taken once for all of them."""
-        part, node, sim, block, *of = (pdf[c].to_numpy(np.int64) for c in ("part", "node", "sim", "block", *groups))
-        words, found = pdf["words"].tolist(), []
-        bits, grams, inside, one = _bits(words), _grams(words), of[1] == of[2], of[1]
-        new = reduce(np.logical_or, [c[1:] != c[:-1] for c in of])
-        cuts = [0, *(np.nonzero(new)[0] + 1).tolist(), len(pdf)]
-        for a, b in zip(cuts, cuts[1:]):
-            at = slice(a, b)
-            found += [(a + i, a + j) for i, j in links(part[at], sim[at], block[at], one[a], bool(inside[a]), words[at], bits[at], grams[at])]
         pairs = node[np.array(found, np.int64).reshape(-1, 2)]
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 

@@ -226,3 +226,37 @@ def test_runs_of_characters_reject_no_similar_line():
     similar = np.array([edit_similar(a, b, 80) for a, b in zip(lines, edited)])
     assert similar.sum() > 20 and may(lines, edited)[similar].all()
     assert not may(lines[24:30], ["".join(sorted(x)) for x in lines[24:30]]).any()
+
+
+def test_pairs_side_by_side_are_those_of_plain_distances(monkeypatch):
+    """Every width of band, pairs one by one and in arrays, narrow bands first or not."""
+    rng = random.Random(21)
+    words = [""]
+    for n in (1, 3, 30, 90, 140) * 24:
+        a = "".join(rng.choices("abcdé字 ", k=n))
+        b = list(a)
+        for _ in range(rng.randint(0, n // 3 + 1)):
+            k = rng.randint(0, len(b))
+            b[k : k + rng.randint(0, 2)] = rng.choices("abx", k=rng.randint(0, 2))
+        words += [a, "".join(b)]
+    one = np.arange(1, len(words), 2)
+    two = one + 1
+    one, two = np.concatenate([one, two[:60], [0, 1]]), np.concatenate([two, one[60:120], [0, 0]])
+    apart = [levenshtein(words[i], words[j]) for i, j in zip(one.tolist(), two.tolist())]
+    longer = [max(len(words[i]), len(words[j])) for i, j in zip(one.tolist(), two.tolist())]
+    for percent, few_edits in ((20, 2), (60, 7), (80, 127), (90, 2)):
+        monkeypatch.setattr(line_dedup, "FEW_EDITS", few_edits)
+        want = [100 * d <= (100 - percent) * n for d, n in zip(apart, longer)]
+        for few in (True, False):
+            assert line_dedup.similar_pairs(words, one, two, percent, few).tolist() == want
+        assert [edit_similar(words[i], words[j], percent) for i, j in zip(one.tolist(), two.tolist())] == want
+    assert line_dedup.similar_pairs(words, one[:0], two[:0], 80).tolist() == []
+
+
+def test_many_pairs_are_not_compared_one_by_one(monkeypatch):
+    """One line that is not like hundreds of copies with changes, as in a key of a notice that many documents have."""
+    rng = random.Random(22)
+    notice, other = ["".join(rng.choices("abcdefgh ", k=400)) for _ in range(2)]
+    lines = [notice[:k] + "xyz" + notice[k + 3 :] for k in range(300)]
+    monkeypatch.setattr(line_dedup, "edit_similar", None)
+    assert not any(line_dedup.similar_to(other, lines, 80)) and all(line_dedup.similar_to(notice, lines, 80))

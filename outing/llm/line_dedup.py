@@ -65,6 +65,8 @@ STEP = 1 << 17
 FEW_EDITS = 127
 #: Counters of a line's runs of three characters, which are dealt to them by their hash.
 GRAMS = 1024
+#: Joins of all lines or texts with a few long columns: these few are hashed, so that lines and texts need no sorting.
+BY_HASH = "shuffle_hash"
 _OTHER = re.compile(r"[^\w\n]+|_+")
 #: What _OTHER takes of ASCII, as spaces; and what it takes beyond.
 _GAPS = {i: " " for i in range(128) if _OTHER.match(chr(i))}
@@ -464,7 +466,7 @@ def members(runs: DataFrame, keys: DataFrame) -> DataFrame:
                 if here.any():
                     yield pa.RecordBatch.from_arrays([pa.array(key[here]), pa.array(node[here])], names=["key", "node"])
 
-    return runs.select("run").mapInArrow(pick, "key long, node long").join(keys, "key", "left_semi")
+    return runs.select("run").mapInArrow(pick, "key long, node long").join(keys.hint(BY_HASH), "key", "left_semi")
 
 
 def edit_similar(a: str, b: str, percent: int) -> bool:
@@ -752,7 +754,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     a = texts.select(F.col("node").alias("a"), F.col("words").alias("words_a"), F.col("sim").alias("sim_a"))
     b = texts.select(F.col("node").alias("b"), F.col("words").alias("words_b"), F.col("sim").alias("sim_b"))
-    return pairs.join(b, "b").join(a, "a").mapInPandas(check, "a long, b long")
+    return pairs.hint(BY_HASH).join(b, "b").join(a, "a").mapInPandas(check, "a long, b long")
 
 
 def _mixed(met: DataFrame, parts: DataFrame) -> DataFrame:
@@ -857,7 +859,7 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = L
     pairs = keys.select(F.col("low").alias("a"), F.col("high").alias("b"))
     pairs = cut_table(pairs.union(met.filter("low < node").select(F.col("low").alias("a"), F.col("node").alias("b"))).distinct())
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    at = lines.select(F.col("h1").alias("node"), "doc_id", "text_id", "line").join(ends, "node", "left_semi")
+    at = lines.select(F.col("h1").alias("node"), "doc_id", "text_id", "line").join(ends.hint(BY_HASH), "node", "left_semi")
     at = cut_table(at.groupBy("node").agg(*[F.first(c).alias(c) for c in ("doc_id", "text_id", "line")]))
     texts = cut_table(line_texts(docs, at))
     edges = cut(_verified(pairs, texts, percent))
@@ -870,15 +872,15 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, least_words: int = L
     own = F.col("component")
     parts = parts.union(parts.select(own.alias("node"), own).distinct())
     part = [F.coalesce("component", "h1").alias("part"), F.when(F.col("component").isNull(), F.col("h2")).alias("rest")]
-    named = lines.select("doc_id", "text_id", "line", "h1", "h2").join(parts.withColumnRenamed("node", "h1"), "h1", "left")
+    named = lines.select("doc_id", "text_id", "line", "h1", "h2").join(parts.withColumnRenamed("node", "h1").hint(BY_HASH), "h1", "left")
     named = named.select("doc_id", "text_id", "line", *part)
     again = named.groupBy("part", "rest").count().filter("count > 1").select(F.col("part").alias("of"), F.col("rest").alias("of_rest"))
     same = (F.col("part") == F.col("of")) & F.col("rest").eqNullSafe(F.col("of_rest"))
-    named = cut_table(named.join(again, same).drop("of", "of_rest"))
+    named = cut_table(named.join(again.hint(BY_HASH), same).drop("of", "of_rest"))
     place = F.struct("doc_id", "text_id", "line")
     keep = named.groupBy("part", "rest").agg(F.min(place).alias("keep"))
     keep = keep.select(F.col("part").alias("of"), F.col("rest").alias("of_rest"), "keep")
-    return named.join(keep, same).filter(place != F.col("keep")).select("doc_id", "text_id", "line")
+    return named.join(keep.hint(BY_HASH), same).filter(place != F.col("keep")).select("doc_id", "text_id", "line")
 
 
 def dedup_lines(
@@ -900,7 +902,7 @@ def dedup_lines(
     # the table's own columns stay in one struct, so that no name of theirs can clash
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     at = F.struct(F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("text_id"))
-    rows = rows.join(gone, at == F.col("at"), "left")
+    rows = rows.join(gone.hint(BY_HASH), at == F.col("at"), "left")
     lines = F.split("row.text", "\n", -1)
     left = F.filter(lines, lambda x, i: ~F.array_contains("gone", i))
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n"))
